@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustloom.llm.common import table, text_of, word_count
+from trustloom.llm.common import materialise, shared_path, table, text_of, word_count
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,33 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from trustloom.llm.token_files import read_token_files, write_token_files
+
+    docs = table(spark, sf_dir, "documents")
+    folder = shared_path(spark, "token-ids")
+    manifest = write_token_files(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
+def packed_documents(docs: DataFrame, capacity: int = 2048) -> DataFrame:
+    import public_tokenizers
+
+    from trustloom.llm.packing import place, tokenized_pieces
+
+    pieces = tokenized_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=capacity)
+    pieces = materialise(
+        pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "part", "rank"), "packing-pieces"
+    )
+    return place(pieces, capacity)
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trustloom.llm.chat_format import format_conversations, loss_texts, parse_formatted
 
@@ -51,6 +78,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op8_chat_format": op8_chat_format}
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_mixing": op2_mixing,
+    "op3_token_files": op3_token_files,
+    "op7_packing": op7_packing,
+    "op8_chat_format": op8_chat_format,
+}
 
 SQL: dict[str, str] = {}
