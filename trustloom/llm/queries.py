@@ -78,12 +78,36 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trustloom.llm.imatch import fingerprint, lexicon, likeness, with_next
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
+    held = lexicon(docs)
+    paired = with_next(docs.withColumn("fingerprint", fingerprint(F.col("text"), held)), ["text", "fingerprint"])
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
+    found = paired.select(
+        "doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", F.col("next_fingerprint").alias("following")
+    ).withColumn("edited_fingerprint", fingerprint(F.col("edited"), held))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("following")).alias("near_next"),
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
     "op3_token_files": op3_token_files,
     "op7_packing": op7_packing,
     "op8_chat_format": op8_chat_format,
+    "op10_imatch": op10_imatch,
 }
 
 SQL: dict[str, str] = {}
