@@ -38,6 +38,30 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trustloom.llm.warc import assemble, read_records, write_warc
+
+    folder = shared_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages").withColumn("payload", F.col("html")), folder, min_bytes=100)
+    records = materialise(read_records(spark, folder, payloads=False), "warc-records")
+    captures = assemble(records)
+    fields = F.col("metadata.fields")
+    return captures.select(
+        F.try_element_at(fields, F.lit("page-id")).cast("bigint").alias("page_id"),
+        F.coalesce("response.payload_bytes", "original.payload_bytes").alias("payload_bytes"),
+        F.coalesce("response.computed_digest", "original.computed_digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        F.try_element_at(fields, F.lit("refers-to-page-id")).cast("bigint").alias("refers_to"),
+    )
+
+
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trustloom.llm.substring import remove_repeats
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, k=50).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
@@ -105,6 +129,8 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
     "op3_token_files": op3_token_files,
+    "op5_warc": op5_warc,
+    "op6_substring": op6_substring,
     "op7_packing": op7_packing,
     "op8_chat_format": op8_chat_format,
     "op10_imatch": op10_imatch,
