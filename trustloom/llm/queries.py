@@ -38,6 +38,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trustloom.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trustloom.llm.warc import assemble, read_records, write_warc
 
@@ -129,6 +135,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
     "op3_token_files": op3_token_files,
+    "op4_ann": op4_ann,
     "op5_warc": op5_warc,
     "op6_substring": op6_substring,
     "op7_packing": op7_packing,
