@@ -3,12 +3,16 @@
 Each step replaces links by links to the smallest neighbour (a map-side minimum
 and a join), keeps connectivity, and ends when all nodes of a component point to
 its smallest node. The number of steps grows with the logarithm of the graph.
-The minima are written before they are joined, so that the join is a plain
+Before each step every input partition contracts its own links by union-find, without a
+shuffle; a small graph is then nearly done. The minima are written before they are joined, so that the join is a plain
 shuffled one of which Spark splits the hot nodes, or a broadcast where they are few.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +20,9 @@ from trustloom.llm.common import discard, materialise
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One step. ``links``: a > b, distinct."""
+    """One step. ``links``: a > b."""
+    if large:
+        links = materialise(_contracted(links), "components-contracted")
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionAll(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -28,11 +34,39 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     else:
         # u and its smaller neighbours are linked to the smallest of them
         pairs = joined.select(F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b"))
-    out = materialise(pairs.filter("a != b").distinct(), "components-links")
+    pairs = pairs.filter("a != b")
+    out = materialise(pairs if large else pairs.distinct(), "components-links")
     discard(least)
+    if large:
+        discard(links)
     return out
 
 
+def _contracted(links: DataFrame) -> DataFrame:
+    """Each partition's links as stars to the smallest node of what it connects itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def root(x):
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = up
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = root(a), root(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        pairs = [(x, r) for x in parent if (r := root(x)) != x]
+        for at in range(0, len(pairs), 50_000):
+            part = list(zip(*pairs[at : at + 50_000]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], ["a", "b"])
+
+    return links.select("a", "b").mapInArrow(run, links.select("a", "b").schema)
+
+
 def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 

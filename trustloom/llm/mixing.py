@@ -57,14 +57,13 @@ def _digit(level: int, bits: int) -> Column:
 
 
 def mix(docs: DataFrame, weights: DataFrame, share: float = 1.5, cap: float = 2.0, bits: int = 8) -> DataFrame:
-    """How often each document is taken.
+    """Add ``source_size``, ``target`` and ``times``, how often the mix takes each document (0, 1, ..., ``cap``).
 
-    ``docs``: doc_id, source, size and hash (long); ``weights``: source,
-    position, weight, one row per source. Returns doc_id, source, size,
-    source_size, target and ``times``, the number of times the mix takes the
-    document (0, 1, ..., ``cap``).
+    ``docs``: source, size and hash (long), and any other columns, which are kept; ``weights``: source,
+    position, weight, one row per source. Only source, size and hash are gathered; the decision is
+    applied to ``docs`` in place, by a join with one row per source.
     """
-    docs = materialise(docs.select("doc_id", "source", "size", "hash"), "mix-sizes")
+    whole, docs = docs, materialise(docs.select("source", "size", "hash"), "mix-sizes")
     totals = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = totals.join(weights, totals["source"].eqNullSafe(weights["source"])).drop(weights["source"])
     sources = (
@@ -104,11 +103,9 @@ def mix(docs: DataFrame, weights: DataFrame, share: float = 1.5, cap: float = 2.
     flip = lambda c: c.bitwiseXOR(F.lit(-(2**63)))
     below = flip(F.col("hash")) < flip(F.col("prefix"))
     extra = F.when(F.col("prefix").isNull(), F.col("budget") > 0).otherwise(below | (F.col("taken") & (F.col("hash") == F.col("prefix"))))
-    return (
-        docs.join(cut, docs["source"].eqNullSafe(cut["_source"]))
-        .withColumn("times", F.when(F.col("size") > 0, F.col("repeats") + extra.cast("int")).otherwise(0))
-        .select("doc_id", "source", "size", "source_size", "target", F.least("times", F.lit(int(cap))).alias("times"))
-    )
+    taken = F.when(F.col("size") > 0, F.col("repeats") + extra.cast("int")).otherwise(0)
+    joined = whole.join(cut, whole["source"].eqNullSafe(cut["_source"])).withColumn("times", F.least(taken, F.lit(int(cap))))
+    return joined.select(*whole.columns, "source_size", "target", "times")
 
 
 def cycled_weights(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0)) -> DataFrame:

@@ -22,7 +22,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = docs.select(
         "doc_id", "source", word_count(text_of()).alias("size"), F.xxhash64("doc_id", "source", text_of()).alias("hash")
     )
-    return mix(sized, cycled_weights(docs), share=1.5, cap=2.0).select(
+    sized = materialise(sized, "mix-documents")
+    return mix(sized, cycled_weights(sized), share=1.5, cap=2.0).select(
         "doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken")
     )
 
@@ -108,6 +109,13 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trustloom.llm.cotrain import score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "score", "text_score", "metadata_score", "keep")
+
+
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trustloom.llm.imatch import fingerprint, lexicon, likeness, with_next
 
@@ -140,6 +148,7 @@ QUERIES = {
     "op6_substring": op6_substring,
     "op7_packing": op7_packing,
     "op8_chat_format": op8_chat_format,
+    "op9_quality": op9_quality,
     "op10_imatch": op10_imatch,
 }
 

@@ -140,3 +140,65 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
     firsts = materialise(joined.groupBy("label").agg(F.min("first").alias("component_id")), "simhash-firsts")
     members = materialise(joined.join(firsts, "label").select("fp", "component_id"), "simhash-members")
     return fps.join(members, "fp").select("doc_id", "fp", "component_id")
+
+
+def _keyed_slices(classes: DataFrame, tables: int, bits: int) -> DataFrame:
+    """``t``, ``fp`` (the table's ``bits`` bits of the long fingerprint) and ``first`` of each class and table."""
+    at = lambda t: F.shiftrightunsigned(F.get("fps", F.lit(t // 2)), bits * (t % 2)).bitwiseAND(F.lit((1 << bits) - 1))
+    rows = F.array(*[F.struct(F.lit(t).alias("t"), at(t).alias("fp")) for t in range(tables)])
+    return classes.select("first", F.explode(rows).alias("x")).select("x.t", "x.fp", "first")
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs ``a``, ``b`` of doc_ids whose sets of shingles have at least this Jaccard similarity."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-wanted")
+    whole = docs.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id"])
+    whole = materialise(whole.mapInArrow(sets, "doc_id bigint, shingles binary"), "near-shingles")
+    one = pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = one.join(whole.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(compare, "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tables: int = 8, spare_bits: int = 6) -> DataFrame:
+    """``doc_id`` and ``component_id`` of every row with a doc_id: near-duplicates by word shingles.
+
+    Texts of this similarity differ in about 15 % of their SimHash bits, too many for a ball around 64 bits. So the
+    fingerprint is 256 bits long, and the ball hashing (radius 2) is done in each of ``tables`` slices of it, of
+    log2(number of texts) + ``spare_bits`` bits (24 to 32), which finds a pair at similarity 0.8 with probability 0.9 and
+    nearly every closer one. Candidates are verified on the long fingerprints (52 of 256 bits), then by
+    the Jaccard similarity of their sets of shingles. Equal fingerprints of a table meet in their first document.
+    """
+    fps = materialise(fingerprints(docs.filter("doc_id is not null"), shingle, words=4).withColumnRenamed("fp", "fps"), "near-fps")
+    classes = materialise(fps.groupBy("fps").agg(F.min("doc_id").alias("first")), "near-classes")
+    bits = min(32, max(24, int(classes.count()).bit_length() + spare_bits))
+    slices = materialise(_keyed_slices(classes, tables, bits), "near-slices")
+    firsts = materialise(slices.groupBy("t", "fp").agg(F.min("first").alias("rep")), "near-firsts")
+    balls = ball_links(firsts.select("t", "fp"), bits=bits, radius=2, key=("t",))
+    reps = lambda c: firsts.select("t", F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}"))
+    between = balls.join(reps("a"), ["t", "a"]).join(reps("b"), ["t", "b"]).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    within = slices.join(firsts, ["t", "fp"]).select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    pairs = between.unionAll(within).filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pairs = materialise(pairs.distinct(), "near-pairs")
+    long = lambda c: classes.select(F.col("first").alias(c), F.col("fps").alias(f"fps_{c}"))
+    apart = sum(F.bit_count(F.get("fps_a", F.lit(i)).bitwiseXOR(F.get("fps_b", F.lit(i)))) for i in range(4))
+    pairs = materialise(pairs.join(long("a"), "a").join(long("b"), "b").filter(apart <= 52).select("a", "b"), "near-close")
+    links = materialise(_similar(pairs, docs, shingle, similarity), "near-links")
+    labels = connected_components(links)
+    members = classes.join(labels, classes["first"] == labels["node"], "left")
+    members = materialise(members.select("fps", F.coalesce("component", "first").alias("component_id")), "near-members")
+    return fps.join(members, "fps").select("doc_id", "component_id")
