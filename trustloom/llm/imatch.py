@@ -52,33 +52,35 @@ def lexicon(docs: DataFrame, low_idf: float = 2.5, high_idf: float = 11.5) -> Co
     return F.lit(bytes(table))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def fingerprint(text: Column, held: Column) -> Column:
     """The 256 hex digits of a text."""
-    own = terms(text)
-    banded = F.filter(own, lambda t: F.substring(held, _bucket(t) + 1, F.lit(1)) == F.lit(b"\x01"))
-
-    def of(found: Column) -> Column:
-        def part(these: Column, slot: Column) -> Column:
-            mine = F.filter(these, lambda t: F.shiftrightunsigned(t, 40).bitwiseAND(F.lit(SLOTS - 1)) == slot)
-            digest = F.lower(F.lpad(F.hex(F.pmod(F.xxhash64(mine), F.lit(65535)) + 1), 4, "0"))
-            return F.when(F.size(mine) == 0, "0000").otherwise(digest)
-
-        def level(k: int) -> Column:
-            mask, want = ((1 << (k + 1)) - 1) << LEXICON_BITS, 1 << (k + LEXICON_BITS)
-            if k == LEVELS - 1:  # the last level takes what is left as well
-                mask, want = ((1 << k) - 1) << LEXICON_BITS, 0
-            these = F.filter(found, lambda t: t.bitwiseAND(F.lit(mask)) == want)
-            slots = F.array(*[F.lit(j).cast("long") for j in range(SLOTS)])
-            return F.array_join(F.transform(F.array(these), lambda own: F.array_join(F.transform(slots, lambda s: part(own, s)), "")), "")
-
-        return F.concat(*[level(k) for k in range(LEVELS)])
-
-    # bound once as a lambda variable, so that the terms are not computed for each level
-    chosen = F.transform(
-        F.array(F.struct(banded.alias("banded"), own.alias("own"))),
-        lambda x: F.sort_array(F.when(F.size(x["banded"]) > 0, x["banded"]).otherwise(x["own"])),
-    )
-    return F.get(F.transform(chosen, of), 0)
+
+    def digits(mine: Column) -> Column:
+        digest = F.lower(F.lpad(F.hex(F.pmod(F.xxhash64(mine), F.lit(65535)) + 1), 4, "0"))
+        return F.when(F.size(mine) == 0, "0000").otherwise(digest)
+
+    def slots(these: Column) -> Column:
+        def slot(j: Column) -> Column:
+            return _let(F.filter(these, lambda t: F.shiftrightunsigned(t, 40).bitwiseAND(F.lit(SLOTS - 1)) == j), digits)
+
+        return F.array_join(F.transform(F.array(*[F.lit(j).cast("long") for j in range(SLOTS)]), slot), "")
+
+    def level(found: Column, k: int) -> Column:
+        mask, want = ((1 << (k + 1)) - 1) << LEXICON_BITS, 1 << (k + LEXICON_BITS)
+        if k == LEVELS - 1:  # the last level takes what is left as well
+            mask, want = ((1 << k) - 1) << LEXICON_BITS, 0
+        return _let(F.filter(found, lambda t: t.bitwiseAND(F.lit(mask)) == want), slots)
+
+    def banded(own: Column) -> Column:
+        chosen = F.filter(own, lambda t: F.substring(held, _bucket(t) + 1, F.lit(1)) == F.lit(b"\x01"))
+        return _let(chosen, lambda b: F.sort_array(F.when(F.size(b) > 0, b).otherwise(own)))
+
+    return _let(terms(text), lambda own: _let(banded(own), lambda found: F.concat(*[level(found, k) for k in range(LEVELS)])))
 
 
 def likeness(a: Column, b: Column, enough: int = 16) -> Column:
@@ -103,8 +105,8 @@ def likeness(a: Column, b: Column, enough: int = 16) -> Column:
     counts = F.aggregate(
         F.sequence(F.lit(LEVELS - 1), F.lit(0), F.lit(-1)), F.struct(F.lit(0).alias("met"), F.lit(0).alias("same")), step
     )
-    share = F.transform(F.array(counts), lambda c: F.when(c["met"] == 0, F.lit(1.0)).otherwise(c["same"] / c["met"]))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.get(share, 0))
+    share = _let(counts, lambda c: F.when(c["met"] == 0, F.lit(1.0)).otherwise(c["same"] / c["met"]))
+    return F.when(a == b, F.lit(1.0)).otherwise(share)
 
 
 def with_next(docs: DataFrame, columns: list[str], rows_per_range: int = 2000) -> DataFrame:
