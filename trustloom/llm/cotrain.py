@@ -72,9 +72,9 @@ class Logistic:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 400) -> Logistic:
-    mean, scale = x.mean(0), x.std(0)
+    mean, scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64)
     scale = np.where(scale > 1e-9, scale, 1.0)
-    z = ((x - mean) / scale).astype(np.float64)
+    z = ((x - mean) / scale).astype(np.float32)
     w, b = np.zeros(z.shape[1]), 0.0
     vw, vb, sw, sb = np.zeros_like(w), 0.0, np.zeros_like(w), 0.0
     for t in range(1, steps + 1):  # Adam on the full sample
@@ -122,52 +122,43 @@ class CoTrained:
         return 1 / (1 + np.exp(-np.stack((self.joint.logit(np.stack((t, m), 1)), t, m), 1)))
 
 
-def _informative(found: list[tuple[set[str], list[float]]], y: np.ndarray, size: int) -> dict[str, int]:
-    """The words whose presence says most about the label, by signed root of chi-square."""
-    here, good = Counter(), Counter()
-    for (terms, _), label in zip(found, y):
-        here.update(terms)
-        if label:
-            good.update(terms)
-    n, share = len(y), y.mean()
-    gain = {t: (good[t] - c * share) ** 2 / (c * share * (1 - share)) * (1 - c / n) for t, c in here.items() if 3 <= c < n}
-    return {t: i for i, t in enumerate(sorted(gain, key=lambda t: (-gain[t], t))[:size])}
+def informative_terms(sample: DataFrame, size: int) -> dict[str, int]:
+    """The words whose presence says most about the label, by chi-square. ``sample``: good, terms."""
+    totals = sample.agg(F.count("*").alias("n"), F.avg("good").alias("share")).first()
+    n, share = totals["n"], totals["share"] or 0.0
+    counts = sample.select("good", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("c"), F.sum("good").alias("g"))
+    gain = (F.col("g") - F.col("c") * share) ** 2 / (F.col("c") * max(1e-9, share * (1 - share))) * (1 - F.col("c") / max(1, n))
+    best = counts.filter((F.col("c") >= 3) & (F.col("c") < n)).select("term", F.round(gain, 9).alias("gain"))
+    return {r["term"]: i for i, r in enumerate(best.orderBy(F.desc("gain"), "term").limit(size).collect())}
 
 
-def co_train(found, rows, y, pool_found, pool_rows, lexicon_size=400, values=60, rounds=3, confident=0.97) -> CoTrained:
-    """Fit on labelled rows in random order; the last quarter calibrates."""
-    cut = len(y) * 3 // 4
-    model = CoTrained()
-    if cut < 8 or len(set(y[:cut])) < 2 or len(set(y[cut:])) < 2:
+def co_train(model: CoTrained, text, metadata, y, held, rounds: int = 3, confident: float = 0.97) -> CoTrained:
+    """Fit the views. ``text``, ``metadata``: a row per document; ``y``: its label, NaN in the pool; ``held``: calibrates only."""
+    known = ~np.isnan(y)
+    own, check, pool = np.nonzero(known & ~held)[0], np.nonzero(known & held)[0], np.nonzero(~known)[0]
+    if len(set(y[own])) < 2 or len(set(y[check])) < 2:
         return model
-    model.lexicon = _informative(found[:cut], y[:cut], lexicon_size)
-    seen = Counter(k for lang, source, _ in rows[:cut] for k in (("lang", lang), ("source", source)))
-    model.metadata = {k: i for i, (k, _) in enumerate(seen.most_common(values))}
-    views = [(model.text_rows(found), model.text_rows(pool_found)), (model.metadata_rows(rows), model.metadata_rows(pool_rows))]
-    taught = [(np.zeros(0, int), np.zeros(0)) for _ in views]
-    fitted: list[Logistic] = []
+    taught = [(np.zeros(0, int), np.zeros(0))] * 2
     for turn in range(rounds):
-        fitted = []
-        for (x, pool), (who, what) in zip(views, taught):
-            fitted.append(fit_logistic(np.vstack((x[:cut], pool[who])), np.concatenate((y[:cut], what))))
-        if turn == rounds - 1 or not len(pool_rows):
+        fitted = [fit_logistic(x[np.concatenate((own, who))], np.concatenate((y[own], what))) for x, (who, what) in zip((text, metadata), taught)]
+        if turn == rounds - 1 or not len(pool):
             break
         says = []
-        for f, (x, pool) in zip(fitted, views):
-            scale = fit_logistic(f.logit(x[cut:])[:, None], y[cut:], steps=200)
-            p = 1 / (1 + np.exp(-scale.logit(f.logit(pool)[:, None])))
-            sure = np.nonzero((p >= confident) | (p <= 1 - confident))[0]
-            says.append((sure, (p[sure] > 0.5).astype(float)))
+        for f, x in zip(fitted, (text, metadata)):
+            scale = fit_logistic(f.logit(x[check])[:, None], y[check], steps=200)
+            p = 1 / (1 + np.exp(-scale.logit(f.logit(x[pool])[:, None])))
+            sure = (p >= confident) | (p <= 1 - confident)
+            says.append((pool[sure], (p[sure] > 0.5).astype(float)))
         taught = says[::-1]  # each view learns from the other
     model.text_view, model.metadata_view = fitted
-    logits = np.stack([f.logit(x[cut:]) for f, (x, _) in zip(fitted, views)], 1)
-    model.joint = fit_logistic(logits, y[cut:], steps=300)
+    logits = np.stack([f.logit(x[check]) for f, x in zip(fitted, (text, metadata))], 1)
+    model.joint = fit_logistic(logits, y[check], steps=300)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = 12_000, pool_rows: int = 4_000) -> CoTrained:
+def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = 12_000, pool_rows: int = 4_000, lexicon_size: int = 400, metadata_values: int = 60) -> CoTrained:
     """Fit on at most ``labelled_rows`` labelled and ``pool_rows`` other documents, the smallest by a hash of
-    their id; only these come to the driver, as words and numbers."""
+    their id; only their rows of features come to the driver."""
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int").alias("good")
     )
@@ -177,22 +168,37 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = 12_000, pool_
     pool = ids.join(marks, "doc_id", "left_anti").orderBy(order, "doc_id").limit(pool_rows).withColumn("good", F.lit(None).cast("int"))
     chosen = materialise(chosen.unionByName(pool), "quality-sample")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [tokens_and_shape(t.as_py() or "") for t in batch.column("text")]
+            found = [tokens_and_shape(t.as_py()) for t in batch.column("text")]
             columns = [batch.column(c) for c in ("doc_id", "good", "lang", "source", "n_chars")]
-            columns += [pa.array([" ".join(sorted(t)) for t, _ in found], pa.string()), pa.array([s for _, s in found], pa.list_(pa.float64()))]
+            columns += [pa.array([sorted(t) for t, _ in found], pa.list_(pa.string())), pa.array([s for _, s in found], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "good", "lang", "source", "n_chars", "terms", "shape"])
 
     # at most labelled_rows + pool_rows ids and marks are broadcast
     sample = _inputs(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "lang", "source", "n_chars", "text")
-    sample = sample.mapInArrow(run, "doc_id bigint, good int, lang string, source string, n_chars bigint, terms string, shape array<double>")
-    got = [(r["doc_id"], r["good"], (r["lang"], r["source"], r["n_chars"]), (set(r["terms"].split()), r["shape"])) for r in sample.toLocalIterator()]
-    rng = np.random.default_rng(11)
-    got.sort(key=lambda r: (r[0], repr(r[2])))
-    got = [got[i] for i in rng.permutation(len(got))]
-    known, other = [r for r in got if r[1] is not None], [r for r in got if r[1] is None]
-    return co_train([r[3] for r in known], [r[2] for r in known], np.array([float(r[1]) for r in known]), [r[3] for r in other], [r[2] for r in other])
+    sample = sample.mapInArrow(describe, "doc_id bigint, good int, lang string, source string, n_chars bigint, terms array<string>, shape array<double>")
+    sample = materialise(sample.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(4)) == 0), "quality-described")
+
+    model, fitting = CoTrained(), sample.filter("good is not null and not held")
+    model.lexicon = informative_terms(fitting, lexicon_size)
+    values = fitting.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in ("lang", "source")])).alias("x"))
+    common = values.groupBy("x").count().orderBy(F.desc("count"), "x").limit(metadata_values).collect()
+    model.metadata = {(r["x"]["c"], r["x"]["v"]): i for i, r in enumerate(common)}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = model.text_rows([(set(t), s) for t, s in zip(batch.column("terms").to_pylist(), batch.column("shape").to_pylist())])
+            metadata = model.metadata_rows(list(zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))))
+            columns = [batch.column(c) for c in ("doc_id", "good", "held")]
+            columns += [pa.array([r.astype("<f4").tobytes() for r in x], pa.binary()) for x in (text, metadata)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "good", "held", "text", "metadata"])
+
+    described = sample.mapInArrow(rows, "doc_id bigint, good int, held boolean, text binary, metadata binary")
+    got = sorted(described.toLocalIterator(), key=lambda r: (r["doc_id"], r["text"]))
+    text, metadata = (np.array([np.frombuffer(r[c], "<f4") for r in got], np.float32) for c in ("text", "metadata"))
+    y = np.array([np.nan if r["good"] is None else r["good"] for r in got], float)
+    return co_train(model, text, metadata, y, np.array([r["held"] for r in got], bool)) if got else model
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
