@@ -23,8 +23,24 @@ def shared_folder(spark: SparkSession) -> str:
     return (conf.get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
+_GIVEN: list[str] = []
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; :func:`release` deletes what lies there."""
+    _GIVEN.append(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
+    return _GIVEN[-1]
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this process, once their results have been written elsewhere."""
+    while _GIVEN:
+        _delete(spark, _GIVEN.pop())
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -41,11 +57,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that :func:`materialise` wrote."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
 
 
 def text_of(column: str = "text") -> Column:
