@@ -1,9 +1,30 @@
-"""Parquet tables."""
+"""Parquet tables, and the package on the executors."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application; Spark serves the file."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if context.applicationId in _SHIPPED:
+        return
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="ship-")), f"{root.name}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for module in sorted(root.rglob("*.py")):
+            archive.write(module, module.relative_to(root.parent))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
