@@ -7,15 +7,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trustloom.sources.tables import table
+
+__all__ = ["SPACE", "WORD", "discard", "materialise", "release", "shared_folder", "shared_path", "table", "text_of", "word_count"]
+
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that every executor can reach: ``spark.checkpoint.dir``, or
     the warehouse where that is unset (tests, a laptop)."""
