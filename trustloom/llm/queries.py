@@ -152,4 +152,34 @@ QUERIES = {
     "op10_imatch": op10_imatch,
 }
 
-SQL: dict[str, str] = {}
+_ESCAPED = r"regexp_replace({0}, '([<\[])(\\*)(/?s>|/?INST\]|/?ROLE\]|TURN\])', '\1\2\\\3', 'g')"
+
+#: The others hash with a seed, tokenize or search, which SQL can't say; tests hold them against brute force.
+SQL: dict[str, str] = {
+    "op5_warc": """
+      WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+      SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
+    "op6_substring": r"""
+      WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+        firsts AS (SELECT s, min(doc_id) AS f FROM win GROUP BY s),
+        hit AS (SELECT doc_id, i FROM win JOIN firsts USING (s) WHERE f < doc_id),
+        gone AS (SELECT DISTINCT doc_id, i + j AS k FROM (SELECT doc_id, i, unnest(range(50)) AS j FROM hit)),
+        word AS (SELECT doc_id, unnest(ws) AS t, generate_subscripts(ws, 1) AS k FROM w),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(t, ' ' ORDER BY k) AS text FROM word ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+      SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+      FROM w LEFT JOIN kept USING (doc_id)""",
+    "op8_chat_format": f"""
+      WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM c),
+        b AS (SELECT *, role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY n) AS opens FROM o)
+      SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        CAST(3 + sum(length({_ESCAPED.format("text")}) + CASE WHEN NOT opens THEN 6 WHEN role = 'user' THEN 13
+          ELSE 17 + length({_ESCAPED.format("role")}) END) AS BIGINT) AS formatted_chars
+      FROM b GROUP BY conv_id""",
+}
