@@ -141,6 +141,16 @@ SQL = {
     "search": f"WITH {_ASSESSED} SELECT * FROM assessed WHERE contains(lower(name), 'src1')",
     "predictions": """SELECT user_id, event_type AS label, CAST(greatest(0, least(100, round(value))) AS INT) AS confidence FROM (
         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id DESC) AS n FROM events) WHERE n = 1""",
+    "column_functions": f"""WITH l AS (SELECT *, {_LEVEL.format("c_acctbal / 10000", 0.3, 0.6, 0.9)} AS level FROM customer)
+      SELECT c_custkey, level, {_TONE.format("level")} AS tone, 'slate' AS audit_tone, round(greatest(0, least(100, c_acctbal / 100)), 6) AS clamped,
+        list_extract(['box', 'tag', 'users', 'file'], CAST(c_custkey % 4 + 1 AS INT)) AS icon,
+        CASE c_mktsegment WHEN 'MACHINERY' THEN 'Class' ELSE 'Feature' END AS tab,
+        CASE WHEN c_acctbal > 5000 THEN c_name ELSE 'default' END AS shown,
+        CASE WHEN c_acctbal > 5000 THEN 'Backend live' ELSE 'Processed' END AS status, upper(c_mktsegment) AS heading FROM l""",
+    "provenance_by_id": """SELECT event_id, sha256(props) AS input_sha256, sha256(event_type) AS config_sha256,
+        concat_ws('-', user_id, event_type, props) AS nonce, sha256(props)[1:4] || '...' || right(sha256(props), 4) AS input_shown
+      FROM events WHERE event_id = 1""",
+    "drift_by_kind": f"SELECT pos, label, reference, uploaded FROM ({_FEATURE})",
     "stream_event_counts": """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS events,
         round(avg(value), 6) AS mean_value FROM events GROUP BY ALL""",
     "stream_replay": "SELECT DISTINCT user_id, event_type, props FROM events",

@@ -163,6 +163,35 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     return best.select("user_id", F.col("b.event_type").alias("label"), C.clamp_pct(F.round("b.value")).cast("int").alias("confidence"))
 
 
+def column_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Each column function once, over customers."""
+    tabs = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(v).alias("name")) for k, v in (("BUILDING", "Feature"), ("MACHINERY", "Class"))])
+    level = C.risk_level(F.col("c_acctbal") / 10000, 0.3, 0.6, 0.9)
+    live = F.when(F.col("c_acctbal") > 5000, F.struct(F.col("c_name").alias("name")))
+    return table(spark, d, "customer").select(
+        "c_custkey",
+        level.alias("level"),
+        C.risk_tone(level).alias("tone"),
+        C.audit_tone(F.initcap("c_mktsegment")).alias("audit_tone"),
+        F.round(C.clamp_pct(F.col("c_acctbal") / 100), 6).alias("clamped"),
+        C.cycle_pick(F.array(*map(F.lit, ("box", "tag", "users", "file"))), F.col("c_custkey")).alias("icon"),
+        C.find_or_first(tabs, "id", F.col("c_mktsegment"))["name"].alias("tab"),
+        C.live_or_default(live, F.struct(F.lit("default").alias("name")))["name"].alias("shown"),
+        C.live_status(live, F.lit("Processed")).alias("status"),
+        F.upper("c_mktsegment").alias("heading"),
+    )
+
+
+def provenance_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """One inference by its id; the filter reaches the scan."""
+    return provenance.provenance(table(spark, d, "events").filter(F.col("event_id") == 1))
+
+
+def drift_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    """The series that the selector shows."""
+    return drift_series(spark, d).filter(F.col("drift_kind") == "feature").select("pos", "label", "reference", "uploaded")
+
+
 def report_document(spark: SparkSession, d: str) -> DataFrame:
     """The dataset document as JSON."""
     done = reports.dataset_document(
@@ -193,7 +222,7 @@ QUERIES = {
         dataset_quality, dataset_overview, suspicious_samples, quality_rollup, contributor_risk, training_source_risk, class_drift,
         domain_drift, feature_drift, confidence_drift, drift_score, label_flips, ood_samples, backdoor_triggers, anomaly_levels,
         evidence_topk, inference_provenance, replay_check, tamper_check, integrity_levels, audit_ledger, audit_chain, quarantine_view,
-        trust_score, assessments, recent_assessments, kpis, search, predictions, report_document, stream_event_counts, stream_replay,
+        trust_score, assessments, recent_assessments, kpis, search, predictions, column_functions, provenance_by_id, drift_by_kind, report_document, stream_event_counts, stream_replay,
         stream_ingest,
     )
 }
