@@ -3,7 +3,8 @@
 Terms are the distinct lower-case letter and digit runs of a text, as 64-bit hashes.
 Document frequencies are summed over ``2**LEXICON_BITS`` hash buckets, over all
 documents; the lexicon is the set of buckets whose inverse document frequency lies in the
-band. It is one byte per bucket, so its size is fixed, whatever the corpus.
+band. It is one byte per bucket, so its size is fixed, whatever the corpus. The upper end of the band (terms in
+0.1 % of the documents at least) stays above what rare terms add to a bucket by chance in a large corpus.
 
 A term of the lexicon falls into at most one of 64 disjoint random subsets, in eight levels of
 eight: a subset of level k holds a share of 2**-(k+1) / 8 of the lexicon. A
@@ -40,7 +41,7 @@ def _bucket(term: Column) -> Column:
     return term.bitwiseAND(F.lit((1 << LEXICON_BITS) - 1)).cast("int")
 
 
-def lexicon(docs: DataFrame, low_idf: float = 2.5, high_idf: float = 11.5) -> Column:
+def lexicon(docs: DataFrame, low_idf: float = 2.5, high_idf: float = 6.9) -> Column:
     """One byte per bucket, 1 for those with ``low_idf <= ln(documents / df) <= high_idf``."""
     buckets = F.array_distinct(F.transform(terms(text_of()), _bucket))
     df = docs.select(F.explode(buckets).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df"))
