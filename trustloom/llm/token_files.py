@@ -32,7 +32,7 @@ from trustloom.llm.tokenize import tokenize
 
 MAGIC = b"TLOOMS8B"
 #: Blocks that are coded or decoded at once.
-_GROUP = 512
+_GROUP = 256
 _MANIFEST = "file_no bigint, path string, n_docs bigint, n_ids bigint, n_bytes bigint"
 
 
