@@ -26,7 +26,7 @@ def replays(events: DataFrame, hours: int = 24) -> DataFrame:
     """Events whose nonce occurred within ``hours`` before, with the time since then in seconds."""
     previous = F.lag("ts").over(Window.partitionBy(*NONCE).orderBy("ts", "event_id"))
     seen = events.withColumn("previous_ts", previous).filter(F.col("previous_ts").isNotNull())
-    apart = F.timestampdiff("SECOND", F.col("previous_ts"), F.col("ts")) if hasattr(F, "timestampdiff") else F.expr("timestampdiff(SECOND, previous_ts, ts)")
+    apart = F.expr("timestampdiff(SECOND, previous_ts, ts)")
     return seen.select("event_id", "user_id", apart.alias("seconds")).filter(F.col("seconds") < hours * 3600)
 
 
