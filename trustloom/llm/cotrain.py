@@ -225,6 +225,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **
                 scores = model.value.score([tokens_and_shape(t) for t in texts], rows)
                 columns = [part.column(c) for c in names] + [pa.array(scores[:, i], pa.float64()) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(scores[:, 0] >= threshold)], [*names, *added])
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task with less
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{schema}, score double, text_score double, metadata_score double, keep boolean")

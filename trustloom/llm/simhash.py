@@ -33,6 +33,8 @@ from trustloom.llm.components import connected_components
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingles that are turned into bits at once.
 _CHUNK = 1 << 15
+#: Variants that a task emits.
+_VARIANTS = 1_000_000
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -83,6 +85,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame
         for batch in batches:
             fps = [fingerprint_words(shingle_hashes(t.as_py(), shingle), words) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "fp"])
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task with less
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp array<bigint>")
@@ -99,9 +102,11 @@ def ball_links(fps: DataFrame, bits: int = 64, radius: int = 2, key: tuple[str,
         raise ValueError("radius must be 0 or 2")
     if radius == 0:
         return fps.select(*key, F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    # a table of fingerprints is small to read and large once exploded, so it is spread by what a task emits
+    spread = fps.repartition(-(-fps.count() * (bits + 1) // _VARIANTS) or 1)
     flips = F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda i: i)
     variants = (
-        fps.select(*key, "fp", F.explode(flips).alias("i"))
+        spread.select(*key, "fp", F.explode(flips).alias("i"))
         # i = bits stands for the fingerprint itself
         .select(
             *key,
