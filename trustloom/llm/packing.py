@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustloom.llm.common import materialise
-from trustloom.llm.tokenize import tokenize
+from trustloom.llm.tokenize import encoder
 
 
 def reduce_dominated(count: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -116,13 +116,14 @@ def plan_sequences(histogram: dict[int, int], capacity: int) -> dict[int, np.nda
     return {length: np.array(x, np.int64).reshape(-1, 3) for length, x in runs.items()}
 
 
-def cut_pieces(tokens: DataFrame, capacity: int) -> DataFrame:
-    """Pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids, and
+def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048) -> DataFrame:
+    """The pieces of every text, of at most ``capacity`` ids: doc_id, piece, start, length, ids, and
     ``part`` and ``rank``, the place among the pieces of equal length in this input partition."""
+    encode = encoder(tokenizer, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), defaultdict(int)
-        for batch in batches:
+        for batch in encode(batches):
             rows = defaultdict(list)
             for name, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = ids.as_py()
@@ -139,7 +140,7 @@ def cut_pieces(tokens: DataFrame, capacity: int) -> DataFrame:
                     [pa.array(rows[f.name], f.type) for f in _PIECES], schema=_PIECES
                 )
 
-    return tokens.select("doc_id", "ids").mapInArrow(
+    return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id bigint, piece int, start bigint, length bigint, ids binary, part int, rank bigint"
     )
 
@@ -182,8 +183,3 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
     ranked = ranked.select(*keep, (F.col("rank") + F.col("_base")).alias("_rank"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*keep).schema)
     return ranked.mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint")
-
-
-def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048) -> DataFrame:
-    """The pieces of every text of ``docs``, with their ids."""
-    return cut_pieces(tokenize(docs, tokenizer, end_id), capacity)

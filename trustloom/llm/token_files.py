@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from trustloom.llm import simple8b
 from trustloom.llm.common import materialise
 from trustloom.llm.files import committed, reader
-from trustloom.llm.tokenize import tokenize
+from trustloom.llm.tokenize import encoder
 
 MAGIC = b"TLOOMS8B"
 #: Blocks that are coded or decoded at once.
@@ -91,7 +91,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int)
         yield pa.RecordBatch.from_pylist([dict(zip(("file_no", "path", "n_docs", "n_ids", "n_bytes"), row))])
 
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
-    manifest = materialise(tokenize(ordered, tokenizer, end_id).mapInArrow(run, _MANIFEST), "token-manifest")
+    encode = encoder(tokenizer, end_id)
+    manifest = materialise(ordered.mapInArrow(lambda batches: run(encode(batches)), _MANIFEST), "token-manifest")
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 #: Entries of each generation of the cache of pre-tokens; a full one becomes the old generation, whose
 #: entries move back when they are asked for.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 150_000
 #: Text that is encoded at once.
 _TEXT_BYTES = 3 << 20
 #: Longer words are not kept.
@@ -196,9 +196,9 @@ def load(path: str) -> WordTokenizer:
     return _LOADED[path]
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """``doc_id`` and ``ids`` (little-endian unsigned 32-bit integers, ``end_id``
-    last) of every row, in the order of ``docs``. Null text is the empty text."""
+def encoder(path: str, end_id: int):
+    """A function from batches of (doc_id, text) to batches of ``doc_id`` and ``ids`` (little-endian unsigned
+    32-bit integers, ``end_id`` last), for ``mapInArrow``. Null text is the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
@@ -218,6 +218,12 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 offsets = np.concatenate(([0], 4 * ends)).astype(np.int32)
                 data = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
                 yield pa.RecordBatch.from_arrays([part.column(0), data], ["doc_id", "ids"])
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task with less
+
+    return run
 
+
+def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """``doc_id`` and ``ids`` of every row, in the order of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(encoder(path, end_id), f"doc_id {kind}, ids binary")
