@@ -20,6 +20,7 @@ component has one; an empty table gives no row; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, ceil, comb, log, pi
 
 import numpy as np
 import pyarrow as pa
@@ -147,9 +148,17 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> Da
     return fps.join(members, "fp").select("doc_id", "fp", "component_id")
 
 
+def _tables(bits: int, similarity: float, recall: float) -> int:
+    """Slices of ``bits`` bits of which, with probability ``recall``, one differs by at most two for texts of this similarity."""
+    apart = acos(2 * similarity / (1 + similarity)) / pi  # by the angle between the sets of shingles
+    found = sum(comb(bits, i) * apart**i * (1 - apart) ** (bits - i) for i in range(3))
+    return max(1, ceil(log(1 - recall) / log(max(1e-12, 1 - found))))
+
+
 def _keyed_slices(classes: DataFrame, tables: int, bits: int) -> DataFrame:
     """``t``, ``fp`` (the table's ``bits`` bits of the long fingerprint) and ``first`` of each class and table."""
-    at = lambda t: F.shiftrightunsigned(F.get("fps", F.lit(t // 2)), bits * (t % 2)).bitwiseAND(F.lit((1 << bits) - 1))
+    each = 64 // bits
+    at = lambda t: F.shiftrightunsigned(F.get("fps", F.lit(t // each)), bits * (t % each)).bitwiseAND(F.lit((1 << bits) - 1))
     rows = F.array(*[F.struct(F.lit(t).alias("t"), at(t).alias("fp")) for t in range(tables)])
     return classes.select("first", F.explode(rows).alias("x")).select("x.t", "x.fp", "first")
 
@@ -179,18 +188,23 @@ def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
     return both.mapInArrow(compare, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tables: int = 8, spare_bits: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.9, spare_bits: int = 9) -> DataFrame:
     """``doc_id`` and ``component_id`` of every row with a doc_id: near-duplicates by word shingles.
 
     Texts of this similarity differ in about 15 % of their SimHash bits, too many for a ball around 64 bits. So the
-    fingerprint is 256 bits long, and the ball hashing (radius 2) is done in each of ``tables`` slices of it, of
-    log2(number of texts) + ``spare_bits`` bits (24 to 32), which finds a pair at similarity 0.8 with probability 0.9 and
-    nearly every closer one. Candidates are verified on the long fingerprints (52 of 256 bits), then by
-    the Jaccard similarity of their sets of shingles. Equal fingerprints of a table meet in their first document.
+    fingerprint is longer, and the ball hashing (radius 2) is done in slices of it, of log2(number of rows) +
+    ``spare_bits`` bits (24 at least): the slices widen with the corpus, so that the pairs that meet by chance grow as its
+    rows do and not as their square. There are as many slices as find a pair at ``similarity`` with probability
+    ``recall``; nearly every closer one is found. Candidates are verified on the long fingerprints (13 of each
+    64 bits), then by the Jaccard similarity of their sets of shingles. Equal fingerprints of a table meet in their
+    first document.
     """
-    fps = materialise(fingerprints(docs.filter("doc_id is not null"), shingle, words=4).withColumnRenamed("fp", "fps"), "near-fps")
+    docs = docs.filter("doc_id is not null")
+    bits = min(63, max(24, docs.count().bit_length() + spare_bits))
+    tables = _tables(bits, similarity, recall)
+    words = max(4, ceil(tables / (64 // bits)))
+    fps = materialise(fingerprints(docs, shingle, words).withColumnRenamed("fp", "fps"), "near-fps")
     classes = materialise(fps.groupBy("fps").agg(F.min("doc_id").alias("first")), "near-classes")
-    bits = min(32, max(24, int(classes.count()).bit_length() + spare_bits))
     slices = materialise(_keyed_slices(classes, tables, bits), "near-slices")
     firsts = materialise(slices.groupBy("t", "fp").agg(F.min("first").alias("rep")), "near-firsts")
     balls = ball_links(firsts.select("t", "fp"), bits=bits, radius=2, key=("t",))
@@ -200,8 +214,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     pairs = between.unionAll(within).filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = materialise(pairs.distinct(), "near-pairs")
     long = lambda c: classes.select(F.col("first").alias(c), F.col("fps").alias(f"fps_{c}"))
-    apart = sum(F.bit_count(F.get("fps_a", F.lit(i)).bitwiseXOR(F.get("fps_b", F.lit(i)))) for i in range(4))
-    pairs = materialise(pairs.join(long("a"), "a").join(long("b"), "b").filter(apart <= 52).select("a", "b"), "near-close")
+    apart = sum(F.bit_count(F.get("fps_a", F.lit(i)).bitwiseXOR(F.get("fps_b", F.lit(i)))) for i in range(words))
+    pairs = materialise(pairs.join(long("a"), "a").join(long("b"), "b").filter(apart <= 13 * words).select("a", "b"), "near-close")
     links = materialise(_similar(pairs, docs, shingle, similarity), "near-links")
     labels = connected_components(links)
     members = classes.join(labels, classes["first"] == labels["node"], "left")
