@@ -31,17 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustloom.llm.common import materialise
-from trustloom.llm.tokenize import _Cache
 
 _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 #: Windows in a super-k-mer at most, so that a text of one repeated word gives rows of bounded size.
 _LONGEST = 64
 
-_HASHES = _Cache(xxhash.xxh3_64_intdigest)
-
-
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -93,6 +89,7 @@ def _list_positions(docs: DataFrame, k: int, m: int) -> DataFrame:
             starts, lengths, minimisers, contents = (np.concatenate([x[i] for x in found] or [np.zeros(0, np.int64)]) for i in range(4))
             columns = [np.repeat(ids, sizes), np.repeat(keys, sizes), starts.astype(np.int32), lengths.astype(np.int32), minimisers, contents]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "uid", "start", "n", "minimiser", "content"])
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task with less
 
     listed = docs.filter("doc_id is not null and text is not null").select("doc_id", "uid", "text")
     return listed.mapInArrow(run, "doc_id bigint, uid bigint, start int, n int, minimiser bigint, content bigint")
@@ -116,6 +113,7 @@ def _pack(docs: DataFrame, k: int) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int64()]
                 names = [x.split(" ")[0] for x in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task with less
 
     return docs.select("doc_id", "text", "wanted").mapInArrow(run, schema)
 
@@ -227,6 +225,7 @@ def remove_repeats(docs: DataFrame, k: int = 50, m: int = 8, hot: int = 128) ->
                 kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
             columns = [batch.column(c) for c in names] + [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [*names, *added])
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task with less
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "_spans")
     return joined.mapInArrow(run, f"{schema}, n_words bigint, n_removed bigint, kept_text string")
