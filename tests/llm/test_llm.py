@@ -122,6 +122,16 @@ def test_near_duplicates_by_similarity(spark):
     assert got == {3: 2, 2: 2, 9: 2, 1: 1, 4: 4, 5: 5, 6: 5}
 
 
+def test_near_duplicates_by_sets_of_shingles(spark):
+    from trustloom.llm.simhash import near_duplicates
+
+    filler = ["0"] * 500  # one shingle that outweighs all others
+    base = sentence(60, 300)
+    rows = [(1, " ".join([*sentence(61, 100), *filler])), (2, " ".join([*sentence(62, 100), *filler])), (3, " ".join(base)), (4, " ".join([*base, *filler]))]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
 # 2 mixing
 
 

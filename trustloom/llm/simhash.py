@@ -92,6 +92,20 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp array<bigint>")
 
 
+def _set_fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """``doc_id``, ``fps`` (array of ``words`` longs) of the set of shingles, and ``digest`` (16 bytes) of that set, of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
+            columns = [pa.array([fingerprint_words(x, words) for x in sets], pa.list_(pa.int64())), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "fps", "digest"])
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task with less
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fps array<bigint>, digest binary")
+
+
 def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
 
@@ -203,8 +217,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     bits = min(63, max(24, docs.count().bit_length() + spare_bits))
     tables = _tables(bits, similarity, recall)
     words = max(4, ceil(tables / (64 // bits)))
-    fps = materialise(fingerprints(docs, shingle, words).withColumnRenamed("fp", "fps"), "near-fps")
-    classes = materialise(fps.groupBy("fps").agg(F.min("doc_id").alias("first")), "near-classes")
+    fps = materialise(_set_fingerprints(docs, shingle, words), "near-fps")
+    classes = materialise(fps.groupBy("fps", "digest").agg(F.min("doc_id").alias("first")), "near-classes")
     slices = materialise(_keyed_slices(classes, tables, bits), "near-slices")
     firsts = materialise(slices.groupBy("t", "fp").agg(F.min("first").alias("rep")), "near-firsts")
     balls = ball_links(firsts.select("t", "fp"), bits=bits, radius=2, key=("t",))
@@ -219,5 +233,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     links = materialise(_similar(pairs, docs, shingle, similarity), "near-links")
     labels = connected_components(links)
     members = classes.join(labels, classes["first"] == labels["node"], "left")
-    members = materialise(members.select("fps", F.coalesce("component", "first").alias("component_id")), "near-members")
-    return fps.join(members, "fps").select("doc_id", "component_id")
+    members = materialise(members.select("fps", "digest", F.coalesce("component", "first").alias("component_id")), "near-members")
+    return fps.join(members, ["fps", "digest"]).select("doc_id", "component_id")
