@@ -132,6 +132,40 @@ def test_near_duplicates_by_sets_of_shingles(spark):
     assert got == {1: 1, 2: 2, 3: 3, 4: 3}
 
 
+def test_near_duplicates_of_many_copies(spark):
+    """One original and hundreds of copies that are alike only through it, a template family below the similarity with true pairs in it."""
+    from trustloom.llm.simhash import near_duplicates, shingle_hashes
+
+    def edited(base, seed, edits, span):
+        r, out = random.Random(seed), list(base)
+        for at in r.sample(range(0, len(out) - 5, span), edits):
+            out[at] = f"e{seed}x{at}"
+        return " ".join(out)
+
+    base, template = sentence(70, 400), sentence(71, 400)
+    rows = [(1000, " ".join(base))] + [(i, edited(base, i, 6, 6)) for i in range(1, 301)]  # 0.86 to the original, 0.76 to each other
+    for i in range(100):
+        family = edited(template, 2000 + i, 15, 6)  # under 0.75 to the template, under 0.6 to each other
+        rows += [(2000 + i, family), (3000 + i, edited(family.split(), 3000 + i, 6, 6))]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    sets = [(i, set(shingle_hashes(t, 5).tolist())) for i, t in rows]
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if len(a & b) >= 0.8 * len(a | b):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    assert len({root(i) for i in parent}) == 101
+    assert all(got[i] == 1 for i in (1000, *range(1, 301)))
+    assert all(root(got[i]) == root(i) for i in got)
+    assert sum(got[3000 + i] == 2000 + i for i in range(100)) >= 95  # 0.86 alike, found with probability 0.98 each
+
+
 # 2 mixing
 
 
