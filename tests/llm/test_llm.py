@@ -498,6 +498,20 @@ def test_imatch_fingerprints(docs, empty):
     assert empty.select(fingerprint(F.col("text"), lexicon(empty))).collect() == []
 
 
+def test_imatch_of_rare_vocabulary(spark):
+    """Texts that share one term of medium frequency and have only rare or only common ones besides are not alike."""
+    from trustloom.llm.imatch import fingerprint, lexicon, likeness
+
+    rows = [(i, " ".join(["zed"] * (i < 10) + [f"r{i}x{k}" for k in range(50)])) for i in range(2000)]
+    rows += [(5000 + i, " ".join(["mid"] * (i < 10) + [f"c{(i % 2) * 20 + k}" for k in range(20)])) for i in range(1000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    held = lexicon(frame)
+    prints = {r["doc_id"]: r["f"] for r in frame.filter("doc_id in (0, 1, 5000, 5001, 5002)").select("doc_id", fingerprint(F.col("text"), held).alias("f")).collect()}
+    pairs = spark.createDataFrame([(prints[0], prints[1]), (prints[5000], prints[5001]), (prints[5000], prints[5002])], "a string, b string")
+    rare, common, equal = (r["l"] for r in pairs.select(likeness(F.col("a"), F.col("b")).alias("l")).collect())
+    assert rare < 0.3 and common < 0.3 and equal == 1.0
+
+
 @pytest.mark.parametrize("rows_per_range", [1, 3, 1000])
 def test_next_row(spark, rows_per_range):
     from trustloom.llm.imatch import with_next

@@ -3,8 +3,8 @@
 Terms are the distinct lower-case letter and digit runs of a text, as 64-bit hashes.
 Document frequencies are summed over ``2**LEXICON_BITS`` hash buckets, over all
 documents; the lexicon is the set of buckets whose inverse document frequency lies in the
-band. It is one byte per bucket, so its size is fixed, whatever the corpus. The upper end of the band (terms in
-0.1 % of the documents at least) stays above what rare terms add to a bucket by chance in a large corpus.
+band. It is one byte per bucket, so its size is fixed, whatever the corpus. The band has no upper end: rare terms stay,
+as texts of rare vocabulary have hardly any others. What rare terms add to a bucket by chance keeps it in the band.
 
 A term of the lexicon falls into at most one of 64 disjoint random subsets, in eight levels of
 eight: a subset of level k holds a share of 2**-(k+1) / 8 of the lexicon. A
@@ -14,7 +14,7 @@ that a document has about one term there, the share of equal ones follows the sh
 common terms. The likeness of two fingerprints therefore counts from the smallest subsets up
 until ``enough`` subsets with terms are met, and is the share of equal ones among these.
 
-Defined results: null text is the empty text; a text without terms of the lexicon is
+Defined results: null text is the empty text; a text with fewer than ``LEAST`` terms of the lexicon is
 fingerprinted by all its terms, one without terms has only zeros; two fingerprints
 of only zeros have likeness 1; repeated rows have equal fingerprints; an empty table gives no row.
 """
@@ -28,6 +28,8 @@ from trustloom.llm.common import text_of
 
 LEXICON_BITS = 20
 LEVELS = SLOTS = 8
+#: Terms of the lexicon that a fingerprint needs; fewer do not tell texts apart.
+LEAST = 16
 _NOT_A_TERM = r"[^\p{L}\p{N}]+"
 
 
@@ -41,7 +43,7 @@ def _bucket(term: Column) -> Column:
     return term.bitwiseAND(F.lit((1 << LEXICON_BITS) - 1)).cast("int")
 
 
-def lexicon(docs: DataFrame, low_idf: float = 2.5, high_idf: float = 6.9) -> Column:
+def lexicon(docs: DataFrame, low_idf: float = 2.5, high_idf: float = float("inf")) -> Column:
     """One byte per bucket, 1 for those with ``low_idf <= ln(documents / df) <= high_idf``."""
     buckets = F.array_distinct(F.transform(terms(text_of()), _bucket))
     df = docs.select(F.explode(buckets).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df"))
@@ -79,7 +81,7 @@ def fingerprint(text: Column, held: Column) -> Column:
 
     def banded(own: Column) -> Column:
         chosen = F.filter(own, lambda t: F.substring(held, _bucket(t) + 1, F.lit(1)) == F.lit(b"\x01"))
-        return _let(chosen, lambda b: F.sort_array(F.when(F.size(b) > 0, b).otherwise(own)))
+        return _let(chosen, lambda b: F.sort_array(F.when(F.size(b) >= LEAST, b).otherwise(own)))
 
     return _let(terms(text), lambda own: _let(banded(own), lambda found: F.concat(*[level(found, k) for k in range(LEVELS)])))
 
