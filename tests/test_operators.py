@@ -93,3 +93,26 @@ def test_http_source_falls_back_to_null(spark):
     got = {r["url"]: r["body"] for r in spark.read.format("http_json").option("urls", f"{base}/ok\n{base}/bad\n{base}/missing").load().collect()}
     server.shutdown()
     assert json.loads(got[f"{base}/ok"]) == {"a": 1} and got[f"{base}/bad"] is None and got[f"{base}/missing"] is None
+
+
+def test_stream_replay_over_many_files_in_any_order(spark, tmp_path):
+    """More files than one batch takes, over more days than a watermark spans: old first uses come late, late repeats too."""
+    import os
+    from datetime import datetime, timedelta
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from trustloom.plans.queries import stream_replay
+
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    days = [*range(100, 170), *range(70), *range(200, 270)]  # by age of file
+    for k, day in enumerate(days):
+        nonce = day % 100  # days 200 to 269 repeat days 0 to 69, and days 100 to 169 too
+        row = {"event_id": [k], "user_id": [nonce], "event_type": ["view" if 100 <= day < 170 else "buy"], "props": ["p"], "value": [1.0], "ts": [datetime(2024, 1, 1) + timedelta(days=day)]}
+        path = folder / f"part-{k:03}.parquet"
+        pq.write_table(pa.table(row), path)
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+    got = sorted(tuple(r) for r in stream_replay(spark, str(tmp_path)).collect())
+    assert got == sorted([(n, kind, "p") for n in range(70) for kind in ("view", "buy")])

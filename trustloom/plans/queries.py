@@ -207,7 +207,7 @@ def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_replay(spark: SparkSession, d: str) -> DataFrame:
     """First uses of each nonce: user_id, event_type, props of all that is not a replay."""
-    kept = streams.first_uses(streams.event_stream(spark, d)).select("user_id", "event_type", "props")
+    kept = streams.first_uses(streams.event_stream(spark, d), late=None).select("user_id", "event_type", "props")
     return streams.run_to_table(kept, "stream-replay", "append")
 
 

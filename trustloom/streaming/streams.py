@@ -35,8 +35,14 @@ def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days
     return counts.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "events", "mean_value")
 
 
-def first_uses(events: DataFrame, late: str = "40 days") -> DataFrame:
-    """The first event of each nonce; what is dropped is a replay."""
+def first_uses(events: DataFrame, late: str | None = "40 days") -> DataFrame:
+    """The first event of each nonce; what is dropped is a replay.
+
+    A live stream forgets nonces after ``late`` and drops what comes later than that. Over a whole table
+    that is wrong in any order of its files: None keeps every nonce and drops nothing.
+    """
+    if late is None:
+        return events.dropDuplicates(list(NONCE))
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(NONCE))
 
 
