@@ -53,4 +53,5 @@ def test_timestamps_round_trip(spark):
 def test_status_and_percent(spark):
     got = _one(spark, a=C.trust_status(F.lit(54)), b=C.trust_status(F.lit(68)), c=C.trust_status(F.lit(81)), d=C.percent(F.lit(1200), F.lit(10000)), e=C.percent(F.lit(0), F.lit(0)), f=C.trust_tone(F.lit(72)))
     assert tuple(got) == ("Quarantined", "Needs Review", "Trusted", 12.0, 0.0, "amber")
-    assert C.access_caption("white") != C.access_caption("black") == C.access_caption("other")
+    modes = _one(spark, a=C.access_caption(F.lit("white")), b=C.access_caption(F.lit("black")), c=C.access_caption(F.lit(None).cast("string")))
+    assert modes["a"] != modes["b"] == modes["c"]

@@ -84,10 +84,14 @@ def shown_timestamp(ts: Column) -> Column:
     return F.date_format(ts, TIMESTAMP_FORMAT)
 
 
+def shown_date(ts: Column) -> Column:
+    return F.date_format(ts, DATE_FORMAT)
+
+
 def parsed_timestamp(text: Column) -> Column:
     return F.try_to_timestamp(text, F.lit(TIMESTAMP_FORMAT))
 
 
-def access_caption(mode: str) -> str:
-    """The caption of an access mode; any mode but ``white`` is black-box."""
-    return "Full access to weights and gradients" if mode == "white" else "Query access to outputs only"
+def access_caption(mode: Column) -> Column:
+    """The caption of an access mode; any mode but ``white``, or none, is black-box."""
+    return F.when(mode == "white", "Full access to weights and gradients").otherwise("Query access to outputs only")

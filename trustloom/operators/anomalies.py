@@ -22,11 +22,20 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def centroid_scores(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, and the inner product with each label's centroid (``other``, ``score``)."""
+def centroid_scores(vectors: DataFrame, broadcast_labels: int = 4096) -> DataFrame:
+    """vec_id, label, and the inner product with each label's centroid (``other``, ``score``).
+
+    Up to ``broadcast_labels`` centroids are broadcast; more are joined in blocks of that many, to which the vectors are sent.
+    """
     own = centroids(vectors).select(F.col("label").alias("other"), F.transform("c", lambda p: p["x"]).alias("c"))
-    # one row per label
-    pairs = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")).join(F.broadcast(own))
+    labels = vectors.select("label").distinct().count()
+    rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    if labels <= broadcast_labels:
+        pairs = rows.join(F.broadcast(own))
+    else:
+        blocks = -(-labels // broadcast_labels)
+        own = own.withColumn("block", F.pmod(F.xxhash64("other"), F.lit(blocks)).cast("int"))
+        pairs = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(own, "block")
     return pairs.select("vec_id", "label", "other", F.round(_dot(F.col("v"), F.col("c")), 9).alias("score"))
 
 
@@ -39,9 +48,19 @@ def label_flips(vectors: DataFrame) -> DataFrame:
 def out_of_distribution(vectors: DataFrame, quantile: float = 0.02) -> DataFrame:
     """Vectors whose inner product with their own centroid is among the lowest ``quantile`` of their label (at least one)."""
     own = centroid_scores(vectors).filter("label = other").select("vec_id", "label", "score")
-    sizes = own.groupBy("label").agg(F.greatest(F.lit(1), F.floor(F.count("*") * F.lit(quantile))).alias("n"))
-    ranked = own.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("score", "vec_id")))
-    return ranked.join(sizes, "label").filter("place <= n").select("vec_id", "label", "score", F.col("place").cast("bigint").alias("place"))
+    # ranks in two steps, so that no task sorts a label: rows per thousandth of the score, then ranks inside the lowest ones
+    own = own.withColumn("step", F.floor(F.col("score") * 1000))
+    steps = own.groupBy("label", "step").agg(F.count("*").alias("k"))
+    below = Window.partitionBy("label").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.select(
+        "label",
+        "step",
+        F.coalesce(F.sum("k").over(below), F.lit(0)).alias("before"),
+        F.greatest(F.lit(1), F.floor(F.sum("k").over(Window.partitionBy("label")) * F.lit(quantile))).alias("n"),
+    ).filter("before < n")
+    inside = F.row_number().over(Window.partitionBy("label", "step").orderBy("score", "vec_id"))
+    ranked = own.join(steps, ["label", "step"]).withColumn("place", (F.col("before") + inside).cast("bigint"))
+    return ranked.filter("place <= n").select("vec_id", "label", "score", "place")
 
 
 def trigger_words(docs: DataFrame, labels: DataFrame, lift: float = 3.0, support: int = 5) -> DataFrame:
@@ -71,3 +90,13 @@ def evidence(flags: DataFrame, k: int = 3) -> DataFrame:
     rows = flags.select("doc_id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
     place = F.row_number().over(Window.partitionBy("rule").orderBy("doc_id")).cast("bigint")
     return rows.withColumn("place", place).filter(F.col("place") <= k).select("rule", "place", "doc_id")
+
+
+def evidence_chips(flips: DataFrame, hits: DataFrame, k: int = 3) -> DataFrame:
+    """The evidence cards: rule, place and the chips in order; the first ``k`` label flips and suspicious documents by id."""
+    true = F.concat(F.lit("True: "), F.col("label").cast("string"))
+    predicted = F.concat(F.lit("Pred: "), F.col("nearest").cast("string"))
+    cards = flips.select(F.lit("label flip").alias("rule"), F.col("vec_id").alias("id"), F.array(true, predicted).alias("chip"))
+    cards = cards.unionByName(hits.select(F.lit("suspicious").alias("rule"), F.col("doc_id").alias("id"), F.array(F.lit("Suspicious Pattern")).alias("chip")).distinct())
+    place = F.row_number().over(Window.partitionBy("rule").orderBy("id")).cast("bigint")
+    return cards.withColumn("place", place).filter(F.col("place") <= k).select("rule", "place", "id", "chip")

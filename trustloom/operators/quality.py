@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from trustloom.functions.columns import percent, risk_level, risk_tone
 
+#: Characters of a short item that are looked for as one.
+GRAM = 8
 #: A text of which less than this share are letters counts as corrupted.
 LETTER_SHARE = 0.6
 
@@ -19,27 +21,34 @@ def corrupted(text: Column) -> Column:
 def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id and item_id of the documents whose text contains an item's text.
 
-    A document that contains an item has all its inner words, so the longest inner word is an equi-join
-    key; the few candidates are verified. Items of fewer than three words have no inner word and
-    join on nothing else, so they are compared with each text.
+    A document that contains an item has all its inner words, so the item's inner word of fewest documents is an equi-join
+    key. Items of fewer than three words have no inner word; their first characters (``GRAM`` at most) are the key, and the
+    texts' runs of that many characters are made only for the lengths that such items have. Candidates are verified.
+    An empty item is contained nowhere, a null text contains nothing.
     """
     words = F.split(F.col("text"), r"\s+")
-    inner = F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 2))
-    longest = F.aggregate(inner, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    keyed = items.filter(F.length("text") > 0).withColumn("word", longest)
-    anchors = keyed.filter(F.col("word") != "").select("item_id", "word")
-    held = docs.select("doc_id", F.explode(F.array_distinct(words)).alias("word"))
-    pairs = held.join(anchors, "word").select("doc_id", "item_id").distinct()
-    found = pairs.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", F.col("text").alias("item")), "item_id")
-    found = found.filter(F.contains("text", "item")).select("doc_id", "item_id")
-    short = keyed.filter(F.col("word") == "").select("item_id", F.col("text").alias("item"))
-    direct = docs.select("doc_id", "text").join(short, F.contains(F.col("text"), F.col("item"))).select("doc_id", "item_id")
-    return found.unionAll(direct)
+    items = items.filter(F.length("text") > 0).select("item_id", F.col("text").alias("item"))
+    cut = F.split(F.col("item"), r"\s+")
+    inner = F.slice(cut, F.lit(2), F.greatest(F.lit(0), F.size(cut) - 2))
+    inner = F.filter(inner, lambda w: w != "")
+    choices = items.select("item_id", F.explode(F.array_distinct(inner)).alias("word"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(words)).alias("word")).join(choices.select("word").distinct(), "word", "left_semi")
+    counts = held.groupBy("word").agg(F.count("*").alias("n"))
+    anchors = choices.join(counts, "word").groupBy("item_id").agg(F.min(F.struct("n", "word")).alias("x")).select("item_id", "x.word")
+    pairs = held.join(anchors, "word").select("doc_id", "item_id")
+
+    short = items.filter(F.size(inner) == 0).withColumn("key", F.left("item", F.lit(GRAM)))
+    for n in sorted(r["n"] for r in short.select(F.length("key").alias("n")).distinct().collect()):  # GRAM rows at most
+        runs = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+        grams = docs.select("doc_id", F.explode(runs).alias("key"))
+        pairs = pairs.unionAll(grams.join(short.filter(F.length("key") == n).select("key", "item_id"), "key").select("doc_id", "item_id"))
+    found = pairs.join(docs.select("doc_id", "text"), "doc_id").join(items, "item_id")
+    return found.filter(F.contains("text", "item")).select("doc_id", "item_id").distinct()
 
 
 def flagged(docs: DataFrame, labels: DataFrame, items: DataFrame) -> DataFrame:
-    """Every document with its flags: duplicate (not the smallest id of its text), corrupted, unlabelled, suspicious."""
-    narrow = docs.select("doc_id", "source", "lang", F.sha2("text", 256).alias("digest"), corrupted(F.col("text")).alias("corrupted"))
+    """Every document with its flags: duplicate (not the smallest id of its text; null texts are equal), corrupted, unlabelled, suspicious."""
+    narrow = docs.select("doc_id", "source", "lang", F.coalesce(F.sha2("text", 256), F.lit("none")).alias("digest"), corrupted(F.col("text")).alias("corrupted"))
     first = narrow.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     marked = labels.select("doc_id", F.lit(True).alias("labelled")).distinct()
     hit = containing(docs, items).select("doc_id", F.lit(True).alias("suspicious")).distinct()

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustloom.functions import columns as C
 from trustloom.operators import anomalies, assess, drift, ledger, provenance, quality
 from trustloom.plans import reports
+from trustloom.sources.documents import read_documents, write_documents
 from trustloom.sources.tables import table
 from trustloom.streaming import streams
 
@@ -65,8 +69,21 @@ def feature_drift(spark: SparkSession, d: str) -> DataFrame:
     return drift.feature_drift(_events(spark, d), "value", "is_reference")
 
 
+def prediction_drift(spark: SparkSession, d: str) -> DataFrame:
+    """The predicted labels of two time windows: the type of each user's event of greatest value."""
+    best = _events(spark, d).groupBy("user_id", "is_reference").agg(F.max(F.struct("value", "event_id", "event_type")).alias("b"))
+    return drift.category_drift(best.select("is_reference", F.col("b.event_type").alias("label")), "label", "is_reference", "prediction")
+
+
 def confidence_drift(spark: SparkSession, d: str) -> DataFrame:
-    return drift.feature_drift(table(spark, d, "orders").withColumn("is_reference", F.col("o_orderstatus") == "F"), "o_totalprice", "is_reference", "confidence")
+    """The confidences of two time windows."""
+    rows = _events(spark, d).withColumn("confidence", C.clamp_pct(F.round("value")).cast("int"))
+    return drift.feature_drift(rows, "confidence", "is_reference", "confidence")
+
+
+def order_value_drift(spark: SparkSession, d: str) -> DataFrame:
+    """A numeric feature between two states instead of two windows."""
+    return drift.feature_drift(table(spark, d, "orders").withColumn("is_reference", F.col("o_orderstatus") == "F"), "o_totalprice", "is_reference", "order value")
 
 
 def drift_series(spark: SparkSession, d: str) -> DataFrame:
@@ -95,13 +112,30 @@ def anomaly_levels(spark: SparkSession, d: str) -> DataFrame:
     parts = [("Label Flips", anomalies.label_flips(vectors)), ("Out-of-Distribution", anomalies.out_of_distribution(vectors))]
     rates = [df.agg(F.count("*").alias("k")).join(F.broadcast(whole)).select(F.lit(n).alias("name"), (F.col("k") / F.col("n")).alias("rate")) for n, df in parts]
     rates.append(flags.agg(F.avg(F.col("duplicate").cast("double")).alias("rate")).select(F.lit("Duplicates").alias("name"), "rate"))
-    return anomalies.levels(rates[0].unionByName(rates[1]).unionByName(rates[2]))
+    words = table(spark, d, "documents").select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word"))
+    words = words.filter("word != ''").agg(F.countDistinct("word").alias("n"))
+    found = backdoor_triggers(spark, d).agg(F.count("*").alias("k"))
+    rates.append(found.join(F.broadcast(words)).select(F.lit("Backdoor Triggers").alias("name"), F.try_divide("k", "n").alias("rate")))
+    return anomalies.levels(reduce(lambda a, b: a.unionByName(b), rates))
 
 
 def evidence_topk(spark: SparkSession, d: str) -> DataFrame:
     return anomalies.evidence(_flags(spark, d))
 
 
+def evidence_chips(spark: SparkSession, d: str) -> DataFrame:
+    """The chips of the evidence cards, one row each."""
+    cards = anomalies.evidence_chips(label_flips(spark, d), suspicious_samples(spark, d))
+    return cards.select("rule", "place", "id", F.posexplode("chip").alias("pos", "chip"))
+
+
+def overview_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The overview as label and value."""
+    one = dataset_overview(spark, d)
+    pairs = (("Total Samples", "samples"), ("Domains", "domains"), ("Contributors", "contributors"), ("Languages", "domain_list"))
+    return one.select(F.inline(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(k).alias("label"), F.col(c).cast("string").alias("value")) for i, (k, c) in enumerate(pairs)])))
+
+
 def inference_provenance(spark: SparkSession, d: str) -> DataFrame:
     return provenance.provenance(table(spark, d, "events"))
 
@@ -110,11 +144,27 @@ def replay_check(spark: SparkSession, d: str) -> DataFrame:
     return provenance.replays(table(spark, d, "events"))
 
 
+def _recorded(events: DataFrame) -> DataFrame:
+    """Recorded digests are those of events with a value of 1 or more; the others have a record of another text."""
+    return events.select("event_id", F.sha2(F.when(F.col("value") >= 1, F.col("props")).otherwise(F.lit("changed")), 256).alias("digest"))
+
+
 def tamper_check(spark: SparkSession, d: str) -> DataFrame:
-    """Recorded digests are those of events with a positive value; the others have a record of another text."""
     events = table(spark, d, "events")
-    recorded = events.select("event_id", F.sha2(F.when(F.col("value") >= 1, F.col("props")).otherwise(F.lit("changed")), 256).alias("digest"))
-    return provenance.tampered(events, recorded)
+    return provenance.tampered(events, _recorded(events))
+
+
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events")
+    return provenance.checked(events, _recorded(events))
+
+
+def provenance_rows(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.provenance_rows(_checked(spark, d))
+
+
+def integrity_rows(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.integrity_rows(_checked(spark, d))
 
 
 def integrity_levels(spark: SparkSession, d: str) -> DataFrame:
@@ -140,13 +190,29 @@ def trust_score(spark: SparkSession, d: str) -> DataFrame:
     return score.withColumn("status", C.trust_status(F.col("score"))).withColumn("tone", C.trust_tone(F.col("score")))
 
 
+def _assessed(spark: SparkSession, d: str, n: int | None = None) -> DataFrame:
+    events, vectors = table(spark, d, "events"), table(spark, d, "embeddings")
+    newest = events.agg(F.max("ts").alias("at"))
+    parts = [
+        assess.dataset_scores(_flags(spark, d), newest),
+        assess.model_scores(vectors, anomalies.label_flips(vectors), newest),
+        assess.inference_scores(integrity_levels(spark, d), events),
+    ]
+    return assess.recent(parts, n)
+
+
 def assessments(spark: SparkSession, d: str) -> DataFrame:
-    return assess.recent([assess.dataset_scores(_flags(spark, d)), assess.inference_scores(integrity_levels(spark, d))])
+    return _assessed(spark, d)
 
 
 def recent_assessments(spark: SparkSession, d: str) -> DataFrame:
-    """The dashboard's five rows."""
-    return assess.recent([assess.dataset_scores(_flags(spark, d)), assess.inference_scores(integrity_levels(spark, d))], 5)
+    """The dashboard's five rows, newest first."""
+    return _assessed(spark, d, 5)
+
+
+def model_risks(spark: SparkSession, d: str) -> DataFrame:
+    moved = drift.drift_score(prediction_drift(spark, d).unionByName(confidence_drift(spark, d)))
+    return assess.risks(backdoor_triggers(spark, d), moved)
 
 
 def kpis(spark: SparkSession, d: str) -> DataFrame:
@@ -158,9 +224,10 @@ def search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
-    """Each user's event of greatest value, with a confidence clamped to a percentage."""
-    best = table(spark, d, "events").groupBy("user_id").agg(F.max(F.struct("value", "event_id", "event_type")).alias("b"))
-    return best.select("user_id", F.col("b.event_type").alias("label"), C.clamp_pct(F.round("b.value")).cast("int").alias("confidence"))
+    """Each user's event of greatest value, with a confidence clamped to a percentage, and its time."""
+    best = table(spark, d, "events").groupBy("user_id").agg(F.max(F.struct("value", "event_id", "event_type", "ts")).alias("b"))
+    shown = C.shown_timestamp(F.col("b.ts")).alias("timestamp")
+    return best.select("user_id", F.col("b.event_type").alias("label"), C.clamp_pct(F.round("b.value")).cast("int").alias("confidence"), shown)
 
 
 def column_functions(spark: SparkSession, d: str) -> DataFrame:
@@ -179,6 +246,7 @@ def column_functions(spark: SparkSession, d: str) -> DataFrame:
         C.live_or_default(live, F.struct(F.lit("default").alias("name")))["name"].alias("shown"),
         C.live_status(live, F.lit("Processed")).alias("status"),
         F.upper("c_mktsegment").alias("heading"),
+        C.access_caption(F.when(F.col("c_acctbal") > 0, "white")).alias("caption"),
     )
 
 
@@ -198,11 +266,61 @@ def report_document(spark: SparkSession, d: str) -> DataFrame:
         dataset_overview(spark, d), dataset_quality(spark, d), drift_series(spark, d), contributor_risk(spark, d),
         anomaly_levels(spark, d), evidence_topk(spark, d), trust_score(spark, d), "documents",
     )
-    return done.select("dataset_id", F.to_json("document").alias("document"))
+    return _json(done, "dataset_id")
+
+
+def _json(documents: DataFrame, *keys: str) -> DataFrame:
+    return documents.select(*keys, F.to_json("document", {"ignoreNullFields": "false"}).alias("document"))
+
+
+def dashboard_document(spark: SparkSession, d: str) -> DataFrame:
+    whole = assessments(spark, d)
+    recent = whole.limit(5).withColumn("place", F.monotonically_increasing_id())  # five rows of one sorted partition
+    return _json(reports.dashboard_document(assess.kpis(whole), recent))
+
+
+def audit_document(spark: SparkSession, d: str) -> DataFrame:
+    return _json(reports.audit_document(audit_ledger(spark, d)))
+
+
+def inference_document(spark: SparkSession, d: str) -> DataFrame:
+    """The document of one inference, by its id; the checks of its kind are those of all events."""
+    one = _checked(spark, d).filter("event_id = 1")
+    return _json(reports.inference_documents(one, provenance.provenance_rows(one), provenance.integrity_rows(one)), "event_id")
+
+
+def model_document(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings")
+    overview = vectors.agg(F.countDistinct("label").alias("classes"), F.max(F.size("embedding")).alias("dimensions"), F.count("*").alias("vectors"))
+    training = training_source_risk(spark, d).select(F.col("lang").alias("name"), "level")
+    newest = table(spark, d, "events").agg(F.max("ts").alias("at"))
+    models = assess.model_scores(vectors, anomalies.label_flips(vectors), newest)
+    return _json(reports.model_document(overview, model_risks(spark, d), training, models))
+
+
+def report_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """Reports looked up by dataset id; an id without one gets the default document."""
+    live = _assessed(spark, d).filter("type = 'Dataset'")
+    summary = lambda score, status: F.struct(score.alias("percent"), F.lit("Dataset Trust Score").alias("label"), status.alias("status"))
+    document = lambda name, state, whole: F.struct(F.struct(name.alias("name"), state.alias("status")).alias("file"), whole.alias("summary"))
+    made = document(F.col("name"), F.lit("Processed"), summary(F.col("score"), F.col("status")))
+    live = live.select(F.col("name").alias("dataset_id"), made.alias("document"))
+    asked = table(spark, d, "documents").select(F.concat(F.lit("dataset-"), "source").alias("dataset_id")).distinct()
+    asked = asked.unionByName(spark.createDataFrame([("00000000-0000-0000-0000-000000000001",)], "dataset_id string"))
+    fallback = document(F.lit("default"), F.lit("Sample"), summary(F.lit(0), F.lit("Needs Review")))
+    found = reports.with_live(asked.select("dataset_id", fallback.alias("document")), live, "dataset_id")
+    return found.select("dataset_id", F.to_json("document").alias("document"), "status", "is_live")
+
+
+def json_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The audit document written as a JSON file, read again by its schema, and its entries as rows."""
+    path = f"{streams.shared_folder(spark)}/audit-document-{uuid.uuid4().hex}"
+    write_documents(reports.audit_document(audit_ledger(spark, d)).select("document.*"), path)
+    return read_documents(spark, path, "audit").select(F.posexplode("entries").alias("pos", "e")).select("pos", "e.*")
 
 
 def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
-    return streams.run_to_table(streams.windowed_counts(streams.event_stream(spark, d)), "stream-counts", "complete")
+    return streams.run_to_table(streams.windowed_counts(streams.event_stream(spark, d), late=None), "stream-counts", "complete")
 
 
 def stream_replay(spark: SparkSession, d: str) -> DataFrame:
@@ -220,9 +338,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         dataset_quality, dataset_overview, suspicious_samples, quality_rollup, contributor_risk, training_source_risk, class_drift,
-        domain_drift, feature_drift, confidence_drift, drift_score, label_flips, ood_samples, backdoor_triggers, anomaly_levels,
-        evidence_topk, inference_provenance, replay_check, tamper_check, integrity_levels, audit_ledger, audit_chain, quarantine_view,
-        trust_score, assessments, recent_assessments, kpis, search, predictions, column_functions, provenance_by_id, drift_by_kind, report_document, stream_event_counts, stream_replay,
+        domain_drift, feature_drift, prediction_drift, confidence_drift, order_value_drift, drift_score, label_flips, ood_samples, backdoor_triggers, anomaly_levels,
+        evidence_topk, evidence_chips, overview_rows, inference_provenance, provenance_rows, integrity_rows, model_risks, replay_check, tamper_check, integrity_levels, audit_ledger, audit_chain, quarantine_view,
+        trust_score, assessments, recent_assessments, kpis, search, predictions, column_functions, provenance_by_id, drift_by_kind, report_document,
+        dashboard_document, audit_document, inference_document, model_document, report_by_id, json_documents, stream_event_counts, stream_replay,
         stream_ingest,
     )
 }

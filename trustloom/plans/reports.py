@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trustloom.functions.columns import live_or_default, live_status, trust_status
+from trustloom.functions.columns import clamp_pct, live_or_default, live_status, shown_timestamp, trust_status
 
 
 def _rows(df: DataFrame, order: str, **fields: Column) -> DataFrame:
@@ -43,6 +43,79 @@ def dataset_document(overview: DataFrame, quality: DataFrame, drift: DataFrame,
     return one.select(F.lit(dataset_id).alias("dataset_id"), F.struct(file.alias("file"), *names, summary.alias("summary")).alias("document"))
 
 
+def _array(rows: DataFrame, order: list[Column], **fields: Column) -> DataFrame:
+    """All rows of a short list as one array of structs, in this order."""
+    item = F.struct(*[c.alias(name) for name, c in fields.items()])
+    packed = rows.agg(F.sort_array(F.collect_list(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], item.alias("x")))).alias("a"))
+    return packed.select(F.transform("a", lambda x: x["x"]).alias("a"))
+
+
+def _together(first: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """Documents of one row each, side by side."""
+    out = first
+    for name, part in parts.items():
+        out = out.join(F.broadcast(part.withColumnRenamed("a", name)))  # one row
+    return out
+
+
+def dashboard_document(kpis: DataFrame, recent: DataFrame) -> DataFrame:
+    """``kpis`` in order of pos; ``recent`` in the order of its rows' ``place``."""
+    figures = _array(kpis, [F.col("pos")], label=F.col("label"), value=F.col("value"), sub=F.col("sub"))
+    fields = {c: F.col(c) for c in ("name", "type", "score", "status", "tone", "date")}
+    rows = _array(recent, [F.col("place")], **fields)
+    return _together(figures.withColumnRenamed("a", "kpis"), {"recent": rows}).select(F.struct("kpis", "recent").alias("document"))
+
+
+def audit_document(ledger: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` newest entries."""
+    newest = ledger.orderBy(F.desc("time_key"), F.desc("event_id")).limit(n)
+    fields = {c: F.col(c) for c in ("timestamp", "actor", "action", "target", "status")}
+    # sort_array sorts upwards, so the array is turned round
+    packed = _array(newest, [F.col("time_key"), F.col("event_id")], **fields)
+    return packed.select(F.struct(F.reverse("a").alias("entries")).alias("document"))
+
+
+def inference_documents(checked: DataFrame, provenance: DataFrame, integrity: DataFrame) -> DataFrame:
+    """``event_id`` and document of every inference in ``checked``, with its ``provenance`` and ``integrity`` rows."""
+    held = lambda rows, *fields: rows.groupBy("event_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", F.struct(*fields).alias("x")))), lambda r: r["x"]).alias("a")
+    )
+    rows = checked.join(held(provenance, "label", "value", "copyable").withColumnRenamed("a", "provenance"), "event_id")
+    rows = rows.join(held(integrity, "label", "value").withColumnRenamed("a", "integrity"), "event_id")
+    shown = shown_timestamp(F.col("ts"))
+    failed = F.col("replayed").isNotNull() | F.col("altered").isNotNull()
+    score = F.when(failed, 50).otherwise(F.lit(100))
+    file = F.struct(
+        F.concat(F.lit("event-"), F.col("event_id").cast("string")).alias("name"), F.lit("").alias("meta"),
+        F.when(failed, "Failed").otherwise("Verified").alias("status"), shown.alias("timestamp"), F.lit(None).cast("string").alias("scene"),
+    )
+    confidence = clamp_pct(F.round("value")).cast("int")
+    prediction = F.struct(F.col("event_type").alias("label"), confidence.alias("confidence"), shown.alias("timestamp"))
+    summary = F.struct(score.alias("percent"), F.lit("Inference Trust Score").alias("label"), trust_status(score).alias("status"))
+    return rows.select("event_id", F.struct(file.alias("file"), prediction.alias("prediction"), "provenance", "integrity", summary.alias("summary")).alias("document"))
+
+
+def model_document(overview: DataFrame, risks: DataFrame, training: DataFrame, models: DataFrame) -> DataFrame:
+    """``overview``: classes and vectors; ``training``: name and level of each training source; ``models``: assessed classes."""
+    facts = overview.select(
+        F.array(
+            F.struct(F.lit("Model Type").alias("label"), F.lit("Nearest centroid").alias("value")),
+            F.struct(F.lit("Classes").alias("label"), F.col("classes").cast("string").alias("value")),
+            F.struct(F.lit("Input Size").alias("label"), F.col("dimensions").cast("string").alias("value")),
+            F.struct(F.lit("Training Samples").alias("label"), F.col("vectors").cast("string").alias("value")),
+        ).alias("overview")
+    )
+    parts = {
+        "risks": _array(risks, [F.col("label")], label=F.col("label"), level=F.col("level"), icon=F.col("icon")),
+        "trainingRisk": _array(training, [F.col("name")], label=F.col("name"), level=F.col("level")),
+        "score": models.agg(F.round(F.avg("score")).cast("int").alias("a")),
+    }
+    file = F.struct(F.lit("embeddings").alias("name"), F.lit("").alias("meta"), F.lit("Processed").alias("status"), F.lit(None).cast("string").alias("timestamp"))
+    score = F.col("score")
+    summary = F.struct(score.alias("percent"), F.lit("Model Trust Score").alias("label"), trust_status(score).alias("status"))
+    return _together(facts, parts).select(F.struct(file.alias("file"), "overview", "risks", "trainingRisk", summary.alias("summary")).alias("document"))
+
+
 def with_live(defaults: DataFrame, live: DataFrame, key: str) -> DataFrame:
     """``key``, ``document`` (the whole live one, else the default), ``status`` and ``is_live``."""
     joined = defaults.join(live.withColumnRenamed("document", "live"), key, "left")

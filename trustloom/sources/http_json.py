@@ -3,8 +3,9 @@
     spark.dataSource.register(HttpJson)
     spark.read.format("http_json").option("urls", "\\n".join(urls)).load()
 
-Each URL is a partition and a row (url, body); any failed request, any status but 2xx and any body that is
-not JSON give a null body, so that the caller falls back to a default document.
+Each URL is a partition and a row (url, body); any failed request, any status but 2xx, any body that is
+not JSON or has over ``maxBytes`` bytes (64 MB) and any scheme but http and https give a null body, so that the caller falls
+back to a default document.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options):
         self.urls = [u for u in options.get("urls", "").split("\n") if u]
         self.timeout = float(options.get("timeout", "10"))
+        self.most = int(options.get("maxBytes", 64 << 20))
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(u) for u in self.urls]
@@ -39,8 +41,13 @@ class _Reader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple[str, str | None]]:
         url = partition.value
         try:
+            if not url.lower().startswith(("http://", "https://")):
+                raise ValueError(url)
             with urlopen(Request(url, headers={"Cache-Control": "no-store"}), timeout=self.timeout) as response:
-                body = response.read().decode("utf-8")
+                read = response.read(self.most + 1)
+            if len(read) > self.most:
+                raise ValueError(url)
+            body = read.decode("utf-8")
             json.loads(body)
         except (OSError, ValueError):
             body = None

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustloom.operators.provenance import NONCE
+from trustloom.operators.provenance import HORIZON_HOURS, NONCE
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,14 +28,18 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Events and mean value per window and type."""
-    windows = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
+def windowed_counts(events: DataFrame, width: str = "1 day", late: str | None = "2 days") -> DataFrame:
+    """Events and mean value per window and type.
+
+    A live stream closes a window ``late`` after its end, gives it out (append mode) and forgets it. Over all that has landed, in any
+    order, None keeps every window (complete mode): the state is a row per window and type.
+    """
+    windows = (events if late is None else events.withWatermark("ts", late)).groupBy(F.window("ts", width), "event_type")
     counts = windows.agg(F.count("*").alias("events"), F.round(F.avg("value"), 6).alias("mean_value"))
     return counts.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "events", "mean_value")
 
 
-def first_uses(events: DataFrame, late: str | None = "40 days") -> DataFrame:
+def first_uses(events: DataFrame, late: str | None = f"{HORIZON_HOURS} hours") -> DataFrame:
     """The first event of each nonce; what is dropped is a replay.
 
     A live stream forgets nonces after ``late`` and drops what comes later than that. Over a whole table
