@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trustloom.sources.tables import table
 
-__all__ = ["SPACE", "WORD", "discard", "materialise", "release", "shared_folder", "shared_path", "table", "text_of", "word_count"]
+__all__ = ["SPACE", "WORD", "discard", "free_names", "given", "materialise", "put_back", "quoted", "release", "set_aside", "shared_folder", "shared_path", "table", "text_of", "unpacked", "whole_row", "word_count"]
 
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,10 +17,16 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor can reach: ``spark.checkpoint.dir``, or
+    """The folder that every executor can reach, with its store: ``spark.checkpoint.dir``, or
     the warehouse where that is unset (tests, a laptop)."""
     conf = spark.sparkContext.getConf()
-    return (conf.get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    path, store = _hadoop(spark, conf.get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir"))
+    return store.makeQualified(path).toString().rstrip("/")
+
+
+def _hadoop(spark: SparkSession, folder: str) -> tuple:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 _GIVEN: list[str] = []
@@ -33,14 +39,22 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path, store = _hadoop(spark, folder)
+    store.delete(path, True)
+
 
+def given() -> int:
+    """How many paths :func:`shared_path` has given and :func:`release` has not deleted."""
+    return len(_GIVEN)
 
-def release(spark: SparkSession) -> None:
-    """Delete all intermediate tables of this process, once their results have been written elsewhere."""
-    while _GIVEN:
-        _delete(spark, _GIVEN.pop())
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the intermediate tables of this process but for the first ``since`` and the last ``keep``, once what was made of them has been
+    written elsewhere."""
+    gone = _GIVEN[since : len(_GIVEN) - keep]
+    del _GIVEN[since : len(_GIVEN) - keep]
+    for folder in gone:
+        _delete(spark, folder)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -61,6 +75,44 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, folder)
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """A column name for each of ``wanted`` that none of ``taken`` has (in any case of letters)."""
+    held, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column name that may hold dots, as Spark reads it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that whatever they are called they don't clash with an operator's own."""
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in df.columns])
+
+
+def unpacked(df: DataFrame, row: str, names: list[str], *more: str | Column) -> DataFrame:
+    """The columns ``names`` of a struct made by :func:`whole_row`, and ``more``."""
+    return df.select(*[F.col(row).getField(c).alias(c) for c in names], *more)
+
+
+def set_aside(df: DataFrame, *own: str) -> DataFrame:
+    """The columns ``own`` and, as one struct ``others``, all other columns, so that an operator's own names can't clash."""
+    others = [c for c in df.columns if c not in own]
+    return df.select(*own, *([F.struct(*[F.col(quoted(c)).alias(c) for c in others]).alias("others")] if others else []))
+
+
+def put_back(df: DataFrame, columns: list[str], *own: str) -> DataFrame:
+    """The columns ``columns`` of what :func:`set_aside` gave, in their order."""
+    return df.select(*[F.col(c) if c in own else F.col("others").getField(c).alias(c) for c in columns])
+
+
 def text_of(column: str = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -10,12 +10,13 @@ its ``m``-word grams. Consecutive windows with one minimiser travel together as
 4. Each bucket sorts its windows by their words and finds each window's smallest document, exactly.
    A bucket with more than ``hot`` different super-k-mers (the edges of a very common passage) is
    split: its windows are grouped one by one, with map-side minima.
-5. The found windows are joined to the positions of all copies and the words that they cover are removed.
+5. What is found is one row per super-k-mer, with its runs of repeated windows (64 at most) in an array. It is joined
+   to the positions of all copies, which gives at most one row per position, and the covered words are removed.
 
 Defined results: null text has no words; texts of fewer than ``k`` words keep all; a null ``doc_id``
 neither loses words nor causes loss; rows of equal ``doc_id`` never cause each other loss; an
-empty table gives no row. All input columns are returned; ``n_words``, ``n_removed`` and ``kept_text`` replace
-input columns of these names.
+empty table gives no row. All input columns are returned, whatever their names; ``n_words``, ``n_removed`` and
+``kept_text`` replace input columns of these names.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from operator import itemgetter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from trustloom.llm.common import materialise
+from trustloom.llm.common import materialise, unpacked, whole_row
 
 _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 #: Windows in a super-k-mer at most, so that a text of one repeated word gives rows of bounded size.
@@ -118,11 +120,12 @@ def _pack(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text", "wanted").mapInArrow(run, schema)
 
 
-_FOUND = "minimiser bigint, content bigint, n int, at int, length int, first bigint"
+_RUNS = "array<struct<at:int,length:int,first:bigint>>"
+_FOUND = f"minimiser bigint, content bigint, n int, runs {_RUNS}"
 
 
 def _sort_buckets(packed: DataFrame, k: int) -> DataFrame:
-    """Runs of windows of each super-k-mer that start in a smaller document than its ``last``."""
+    """The runs of windows of each super-k-mer that start in a smaller document than its ``last``, if it has any."""
 
     def bucket(rows: list[tuple]) -> Iterator[tuple]:
         windows = []
@@ -139,12 +142,14 @@ def _sort_buckets(packed: DataFrame, k: int) -> DataFrame:
                 least = doc if least is None else least
                 first[r][i] = least
         for row, firsts in zip(rows, first):
-            at = 0
+            at, runs = 0, []
             for doc, run in groupby(firsts):
                 length = sum(1 for _ in run)
                 if doc < row[5]:
-                    yield (*row[:3], at, length, doc)
+                    runs.append({"at": at, "length": length, "first": doc})
                 at += length
+            if runs:
+                yield (*row[:3], runs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -152,8 +157,8 @@ def _sort_buckets(packed: DataFrame, k: int) -> DataFrame:
                 yield from zip(*(c.to_pylist() for c in batch.columns))
 
         out: list[tuple] = []
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-        names = [x.split(" ")[0] for x in _FOUND.split(", ")]
+        runs = pa.list_(pa.struct([("at", pa.int32()), ("length", pa.int32()), ("first", pa.int64())]))
+        kinds, names = [pa.int64(), pa.int64(), pa.int32(), runs], ["minimiser", "content", "n", "runs"]
 
         def flushed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
@@ -193,28 +198,42 @@ def _spans(docs: DataFrame, k: int, m: int, hot: int) -> DataFrame:
     windows = packed.filter("window")
     firsts = materialise(windows.groupBy("packed").agg(F.min("doc_id").alias("first")), "substring-firsts")
     single = windows.join(firsts, "packed").filter("first < last")
-    found = found.unionAll(single.select("minimiser", "content", "n", "at", F.lit(1).alias("length"), "first"))
-    found = materialise(found, "substring-found")
+    single = single.groupBy("minimiser", "content", "n").agg(F.collect_set(F.struct("at", "first")).alias("windows"))
+    found = found.unionAll(single.select("minimiser", "content", "n", _joined_windows(F.col("windows")).alias("runs")))
+    found = materialise(found, "substring-found")  # one row per super-k-mer
 
-    hits = listed.join(found, ["minimiser", "content", "n"]).filter("first < doc_id")
-    span = F.struct((F.col("start") + F.col("at")).alias("start"), (F.col("length") + k - 1).alias("length"))
-    return hits.groupBy("doc_id", "uid").agg(F.collect_set(span).alias("_spans"))
+    hits = listed.join(found, ["minimiser", "content", "n"])
+    earlier = F.filter("runs", lambda r: r["first"] < F.col("doc_id"))
+    spans = F.transform(earlier, lambda r: F.struct((F.col("start") + r["at"]).alias("start"), (r["length"] + k - 1).alias("length")))
+    hits = hits.select("doc_id", "uid", spans.alias("spans")).filter(F.size("spans") > 0)
+    return hits.groupBy("doc_id", "uid").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+
+
+def _joined_windows(windows: Column) -> Column:
+    """Single windows (at, first) of one super-k-mer as runs of consecutive ones of equal ``first``."""
+
+    def step(runs: Column, w: Column) -> Column:
+        last = F.get(runs, F.size(runs) - 1)
+        goes_on = (F.size(runs) > 0) & (last["first"] == w["first"]) & (last["at"] + last["length"] == w["at"])
+        longer = F.struct(last["at"].alias("at"), (last["length"] + 1).alias("length"), last["first"].alias("first"))
+        new = F.struct(w["at"].alias("at"), F.lit(1).alias("length"), w["first"].alias("first"))
+        return F.when(goes_on, F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(longer))).otherwise(F.concat(runs, F.array(new)))
+
+    return F.aggregate(F.array_sort(windows), F.array().cast(_RUNS), step)
 
 
 def remove_repeats(docs: DataFrame, k: int = 50, m: int = 8, hot: int = 128) -> DataFrame:
     """All columns of ``docs`` and ``n_words``, ``n_removed`` and ``kept_text``, the kept words joined by one blank."""
     added = ("n_words", "n_removed", "kept_text")
-    docs = docs.drop(*added).withColumn("uid_of_text", F.xxhash64("text"))
-    keyed = docs.select("doc_id", "text", F.col("uid_of_text").alias("uid"))
-    spans = _spans(keyed, k, m, hot).select(F.col("doc_id").alias("_doc"), F.col("uid").alias("_uid"), "_spans")
-    joined = docs.join(spans, (docs["doc_id"] == spans["_doc"]) & (docs["uid_of_text"] == spans["_uid"]), "left")
-    joined = joined.drop("_doc", "_uid", "uid_of_text")
-    names = [c for c in joined.columns if c != "_spans"]
+    docs = docs.drop(*added)
+    uid = F.xxhash64("text").alias("uid")
+    spans = _spans(docs.select("doc_id", "text", uid), k, m, hot)
+    joined = docs.select("doc_id", uid, whole_row(docs).alias("row")).join(spans, ["doc_id", "uid"], "left").select("spans", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, kept = [], [], []
-            for text, spans in zip(batch.column("text"), batch.column("_spans")):
+            for text, spans in zip(batch.column(1).field("text"), batch.column(0)):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
                 gone = np.zeros(len(words), bool)
                 for x in spans.as_py() or ():
@@ -223,9 +242,9 @@ def remove_repeats(docs: DataFrame, k: int = 50, m: int = 8, hot: int = 128) ->
                 counts.append(len(words))
                 removed.append(len(words) - len(left))
                 kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
-            columns = [batch.column(c) for c in names] + [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, *added])
+            columns = [batch.column(1), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", *added])
         pa.default_memory_pool().release_unused()  # the worker waits for its next task with less
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "_spans")
-    return joined.mapInArrow(run, f"{schema}, n_words bigint, n_removed bigint, kept_text string")
+    schema = StructType([joined.schema["row"], *StructType.fromDDL("n_words bigint, n_removed bigint, kept_text string")])
+    return unpacked(joined.mapInArrow(run, schema), "row", docs.columns, *added)
