@@ -17,6 +17,40 @@ def test_containment_with_short_items_and_borders(spark):
     items = spark.createDataFrame([(1, "ha beta gam"), (2, "a"), (3, ""), (4, "thin")], "item_id long, text string")
     got = {tuple(r) for r in quality.containing(docs, items).collect()}
     assert got == {(1, 1), (1, 2), (2, 2), (4, 2), (3, 4)}
+    texts = ["one two three four", "xone two threex", "two", "e t", "one  two", "", None, "\U0001f600 é\nthree words here too", "e" * 30]
+    parts = ["two", "e t", "ne two three fo", "one two", "\U0001f600", "é\nth", "threex", "o" * 12, "e" * 12, "three words here", " ", "zz one two three zz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(parts)), "item_id long, text string")
+    want = {(i, j) for i, t in enumerate(texts) for j, x in enumerate(parts) if t is not None and x in t}
+    assert {tuple(r) for r in quality.containing(docs, items).collect()} == want
+    plan = quality.containing(docs, items)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_null_texts_are_duplicates_of_each_other(spark):
+    docs = spark.createDataFrame([(1, None, "s", "en"), (2, None, "s", "en"), (3, "", "s", "en"), (4, "abc", "s", "en")], "doc_id long, text string, source string, lang string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id long, text string")
+    got = {r["doc_id"]: r["duplicate"] for r in quality.flagged(docs, *none).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: False}
+
+
+def test_centroids_in_blocks_and_ranks_in_steps(spark):
+    import random
+
+    from trustloom.operators import anomalies
+
+    r = random.Random(3)
+    rows = [(i, [r.gauss(0, 1) for _ in range(4)], i % 7) for i in range(700)] + [(700 + i, [1.0, 0.0, 0.0, 0.0], 1) for i in range(20)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    whole = sorted(map(tuple, anomalies.centroid_scores(vectors).collect()))
+    assert whole == sorted(map(tuple, anomalies.centroid_scores(vectors, broadcast_labels=2).collect())) and len(whole) == 720 * 7
+    own = sorted((label, score, i) for i, label, other, score in whole if label == other)
+    want = set()
+    for k in range(7):
+        mine = [x for x in own if x[0] == k]
+        want |= {(i, k, n + 1) for n, (_, _, i) in enumerate(mine[: max(1, int(len(mine) * 0.3))])}
+    got = {(x["vec_id"], x["label"], x["place"]) for x in anomalies.out_of_distribution(vectors, 0.3).collect()}
+    assert got == want
 
 
 def test_quality_of_nothing(spark):
@@ -47,6 +81,35 @@ def test_replay_and_tampering(spark):
     assert {r["event_id"] for r in provenance.tampered(events, recorded).collect()} == {1, 4}
 
 
+def test_replays_across_minutes_and_nulls(spark):
+    """A flood of one nonce over hours, with gaps, ties and nulls in the nonce, against a plain loop."""
+    import random
+    from datetime import datetime, timedelta
+
+    r, rows = random.Random(5), []
+    for i in range(400):
+        at = datetime(2024, 1, 1) + timedelta(seconds=r.choice([0, 59, 60, 61, 3600, 86_399, 86_400, 200_000]) + r.randint(0, 3))
+        rows.append((i, at, r.choice([1, 1, 1, None]), "a", r.choice(["p", None])))
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, props string")
+    last, want = {}, set()
+    for i, at, user, kind, props in sorted(rows, key=lambda x: (x[1], x[0])):
+        before = last.get((user, kind, props))
+        if before is not None and (at - before).total_seconds() < 86_400:
+            want.add((i, int((at - before).total_seconds())))
+        last[(user, kind, props)] = at
+    assert {(x["event_id"], x["seconds"]) for x in provenance.replays(events).collect()} == want
+
+
+def test_chain_blocks(spark):
+    from hashlib import sha256
+
+    events = spark.sql("SELECT id AS event_id, timestamp_ntz'2024-01-01 00:00:00' AS ts, 1L AS user_id, 'a' AS event_type, 'p' AS props FROM range(25)")
+    chain = lambda items: __import__("functools").reduce(lambda acc, x: sha256((acc + x).encode()).hexdigest(), items, "")
+    heads = [chain([f"{i}|a|p" for i in range(at, min(25, at + 10))]) for at in (0, 10, 20)]
+    row = ledger.audit_chain(events, block=10).first()
+    assert (row["entries"], row["head"]) == (25, chain(heads))
+
+
 def test_chain_depends_on_every_entry(spark):
     make = lambda p: spark.sql(f"SELECT * FROM VALUES (1L, timestamp_ntz'2024-01-01 00:00:00', 1L, 'a', '{p}'), (2L, timestamp_ntz'2024-01-01 01:00:00', 1L, 'a', 'y') AS t(event_id, ts, user_id, event_type, props)")
     assert ledger.audit_chain(make("x")).first()["head"] != ledger.audit_chain(make("z")).first()["head"]
@@ -90,8 +153,10 @@ def test_http_source_falls_back_to_null(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{server.server_port}"
     spark.dataSource.register(HttpJson)
-    got = {r["url"]: r["body"] for r in spark.read.format("http_json").option("urls", f"{base}/ok\n{base}/bad\n{base}/missing").load().collect()}
+    got = {r["url"]: r["body"] for r in spark.read.format("http_json").option("urls", f"{base}/ok\n{base}/bad\n{base}/missing\nfile:///etc/hostname").load().collect()}
+    large = spark.read.format("http_json").option("urls", f"{base}/ok").option("maxBytes", "4").load().first()
     server.shutdown()
+    assert large["body"] is None and got["file:///etc/hostname"] is None
     assert json.loads(got[f"{base}/ok"]) == {"a": 1} and got[f"{base}/bad"] is None and got[f"{base}/missing"] is None
 
 

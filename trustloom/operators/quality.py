@@ -15,7 +15,7 @@ LETTER_SHARE = 0.6
 
 def corrupted(text: Column) -> Column:
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    return F.coalesce((letters * 1.0 / F.length(text)) < LETTER_SHARE, F.lit(True))
+    return F.coalesce(F.try_divide(letters * 1.0, F.length(text)) < LETTER_SHARE, F.lit(True))
 
 
 def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
