@@ -1,10 +1,11 @@
 """I-Match document fingerprints over randomised lexicon subsets, in Spark expressions only.
 
 Terms are the distinct lower-case letter and digit runs of a text, as 64-bit hashes.
-Document frequencies are summed over ``2**LEXICON_BITS`` hash buckets, over all
-documents; the lexicon is the set of buckets whose inverse document frequency lies in the
-band. It is one byte per bucket, so its size is fixed, whatever the corpus. The band has no upper end: rare terms stay,
-as texts of rare vocabulary have hardly any others. What rare terms add to a bucket by chance keeps it in the band.
+Document frequencies are counted exactly per term, over all documents (a map-side sum); the lexicon is the set of terms whose
+inverse document frequency lies in the band. The band has no upper end by default: rare terms stay, as texts of rare vocabulary have hardly
+any others. So the lexicon is told by the terms that it lacks, those in over e**-2.5 = 8.2 % of the documents. Of these there are
+at most 12.2 times as many as a document has terms on average, whatever the corpus; with an upper end the
+terms in the band are told, e**high times as many at most.
 
 A term of the lexicon falls into at most one of 64 disjoint random subsets, in eight levels of
 eight: a subset of level k holds a share of 2**-(k+1) / 8 of the lexicon. A
@@ -21,12 +22,16 @@ of only zeros have likeness 1; repeated rows have equal fingerprints; an empty t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trustloom.llm.common import text_of
+from trustloom.llm.common import materialise, text_of
 
-LEXICON_BITS = 20
+#: Bits of a term's hash below those that choose its subset.
+_LOW_BITS = 20
 LEVELS = SLOTS = 8
 #: Terms of the lexicon that a fingerprint needs; fewer do not tell texts apart.
 LEAST = 16
@@ -39,20 +44,19 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def _bucket(term: Column) -> Column:
-    return term.bitwiseAND(F.lit((1 << LEXICON_BITS) - 1)).cast("int")
+def lexicon(docs: DataFrame, low_idf: float = 2.5, high_idf: float = float("inf")) -> Callable[[Column], Column]:
+    """Whether a term is one with ``low_idf <= ln(documents / df) <= high_idf``."""
+    df = docs.select(F.explode(terms(text_of())).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(F.lit(float(max(1, docs.count()))) / F.col("df"))
+    open_ended = high_idf == float("inf")
+    told = df.filter(idf < low_idf if open_ended else idf.between(low_idf, high_idf)).select("term")
+    listed = sorted(r["term"] for r in told.toLocalIterator())  # bounded as said above
 
+    def inside(term: Column) -> Column:
+        found = term.isin(listed) if listed else F.lit(False)
+        return ~found if open_ended else found
 
-def lexicon(docs: DataFrame, low_idf: float = 2.5, high_idf: float = float("inf")) -> Column:
-    """One byte per bucket, 1 for those with ``low_idf <= ln(documents / df) <= high_idf``."""
-    buckets = F.array_distinct(F.transform(terms(text_of()), _bucket))
-    df = docs.select(F.explode(buckets).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df"))
-    idf = F.log(F.lit(float(max(1, docs.count()))) / F.col("df"))
-    held = df.filter(idf.between(low_idf, high_idf)).select("bucket")
-    table = bytearray(1 << LEXICON_BITS)
-    for row in held.toLocalIterator():  # at most 2**LEXICON_BITS rows, whatever the corpus
-        table[row["bucket"]] = 1
-    return F.lit(bytes(table))
+    return inside
 
 
 def _let(value: Column, body) -> Column:
@@ -60,7 +64,7 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def fingerprint(text: Column, held: Column) -> Column:
+def fingerprint(text: Column, held: Callable[[Column], Column]) -> Column:
     """The 256 hex digits of a text."""
 
     def digits(mine: Column) -> Column:
@@ -74,13 +78,13 @@ def fingerprint(text: Column, held: Column) -> Column:
         return F.array_join(F.transform(F.array(*[F.lit(j).cast("long") for j in range(SLOTS)]), slot), "")
 
     def level(found: Column, k: int) -> Column:
-        mask, want = ((1 << (k + 1)) - 1) << LEXICON_BITS, 1 << (k + LEXICON_BITS)
+        mask, want = ((1 << (k + 1)) - 1) << _LOW_BITS, 1 << (k + _LOW_BITS)
         if k == LEVELS - 1:  # the last level takes what is left as well
-            mask, want = ((1 << k) - 1) << LEXICON_BITS, 0
+            mask, want = ((1 << k) - 1) << _LOW_BITS, 0
         return _let(F.filter(found, lambda t: t.bitwiseAND(F.lit(mask)) == want), slots)
 
     def banded(own: Column) -> Column:
-        chosen = F.filter(own, lambda t: F.substring(held, _bucket(t) + 1, F.lit(1)) == F.lit(b"\x01"))
+        chosen = F.filter(own, held)
         return _let(chosen, lambda b: F.sort_array(F.when(F.size(b) >= LEAST, b).otherwise(own)))
 
     return _let(terms(text), lambda own: _let(banded(own), lambda found: F.concat(*[level(found, k) for k in range(LEVELS)])))
@@ -112,36 +116,46 @@ def likeness(a: Column, b: Column, enough: int = 16) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(share)
 
 
-def with_next(docs: DataFrame, columns: list[str], rows_per_range: int = 2000) -> DataFrame:
+def _borders(docs: DataFrame, rows_per_range: int) -> np.ndarray:
+    """Ids that cut the rows into ranges of about equal size, as many as the input needs: one per ``rows_per_range`` rows up
+    to four times the root of the rows. They come from some 20 ids per range, as in Spark's own range partitioning, and
+    only balance the ranges: any borders give the same result."""
+    count = docs.count()
+    ranges = max(1, min(count // rows_per_range, int(4 * count**0.5)))
+    some = docs.filter("doc_id is not null").select("doc_id").sample(fraction=min(1.0, 20 * ranges / max(1, count)), seed=5)
+    ids = np.sort(some.toArrow().column(0).to_numpy())
+    return np.unique(ids[len(ids) * np.arange(1, ranges) // ranges]) if len(ids) else ids
+
+
+def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column] | None = None, rows_per_range: int = 2000) -> DataFrame:
     """Add ``next_<column>`` of the next row in ascending doc_id (null first, rows of
-    equal doc_id in order of ``columns``); the first row follows the last.
+    equal doc_id in order of ``columns``); the first row follows the last. ``derived``: columns made of a row's others, which are
+    computed once per row, after the shuffle.
 
-    The ids are cut into ranges by approximate quantiles; each range is sorted by itself, and the
-    first rows of the ranges, one per range, are joined to the ends. A row is shuffled once.
+    The ids are cut into ranges; each range is sorted by itself, and the first rows of the ranges, found by
+    their ids, are joined to the ends. A row is shuffled once.
     """
-    count = docs.count()
-    ranges = max(1, min(count // rows_per_range, 4000))
-    cuts = docs.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 100_000)).first()[0] or []
-    # two levels of cuts, so that a row is compared with about 2 * sqrt(ranges) of them
-    cuts = sorted(set(cuts))
+    derived = derived or {}
+    cuts = _borders(docs, rows_per_range)
+    # two levels of borders, so that a row is compared with about 2 * sqrt(ranges) of them
     wide = max(1, int(len(cuts) ** 0.5))
-    groups = [cuts[k : k + wide] for k in range(0, len(cuts), wide)] or [[]]
-    upper = F.array(*[F.lit(g[0]) for g in groups[1:]]) if len(groups) > 1 else F.array().cast("array<bigint>")
-    inner = F.array(*[F.array(*[F.lit(x) for x in g]).cast("array<bigint>") for g in groups])
-    below = lambda cut: cut <= F.col("doc_id")
-    outer = F.size(F.filter(upper, below))
-    place = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(outer * (wide + 1) + F.size(F.filter(F.get(inner, outer), below)))
+    outer = F.size(F.filter(F.lit(cuts[wide::wide]), lambda x: x <= F.col("doc_id"))) if len(cuts) > wide else F.lit(0)
+    inner = F.slice(F.lit(cuts), outer * wide + 1, F.lit(wide)) if len(cuts) else F.array().cast("array<bigint>")
+    place = F.coalesce(outer * wide + F.size(F.filter(inner, lambda x: x <= F.col("doc_id"))), F.lit(0))
+    place = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(place)
     ranged = docs.select("doc_id", *columns, place.alias("_range"))
-
-    order = [F.col("doc_id").asc_nulls_first(), *columns]
-    inside = Window.partitionBy("_range").orderBy(*order)
-    row = F.struct(*columns)
-    led = ranged.withColumn("_next", F.lead(row).over(inside))
-    firsts = ranged.groupBy("_range").agg(F.min(F.struct(F.col("doc_id"), *columns)).alias("_first"))
-    following = Window.orderBy("_range")
-    starts = F.coalesce(F.lead("_range").over(following), F.min("_range").over(Window.partitionBy()))
-    after = firsts.select("_range", starts.alias("_after"))
-    heads = after.join(firsts.select(F.col("_range").alias("_after"), "_first"), "_after").select("_range", "_first")
-    joined = led.join(heads, "_range")
-    filled = F.when(F.col("_next").isNull(), F.struct(*[F.col("_first")[c].alias(c) for c in columns])).otherwise(F.col("_next"))
-    return joined.select("doc_id", *columns, *[filled[c].alias(f"next_{c}") for c in columns])
+    known = [*columns, *derived]
+
+    starts = ranged.groupBy("_range").agg(F.min(F.struct("doc_id")).alias("_start")).select("_range", F.col("_start.doc_id").alias("_start"))
+    starts = materialise(starts, "next-starts")
+    heads = ranged.join(starts.select("_start"), ranged["doc_id"].eqNullSafe(starts["_start"]))
+    heads = heads.groupBy("_range").agg(F.min(F.struct("doc_id", *columns)).alias("_first")).select("_range", "_first.*").withColumns(derived)
+    heads = materialise(heads.select(F.col("_range").alias("_after"), F.struct(*known).alias("_first")), "next-heads")
+    following = Window.orderBy("_range")  # one row per range
+    after = F.coalesce(F.lead("_range").over(following), F.min("_range").over(Window.partitionBy()))
+    ends = starts.select("_range", after.alias("_after")).join(heads, "_after").select("_range", "_first")
+
+    inside = Window.partitionBy("_range").orderBy(F.col("doc_id").asc_nulls_first(), *columns)
+    led = ranged.repartition("_range").withColumns(derived).withColumn("_next", F.lead(F.struct(*known)).over(inside))
+    joined = led.join(ends, "_range").withColumn("_next", F.coalesce("_next", "_first"))
+    return joined.select("doc_id", *known, *[F.col("_next")[c].alias(f"next_{c}") for c in known])

@@ -121,7 +121,7 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
     held = lexicon(docs)
-    paired = with_next(docs.withColumn("fingerprint", fingerprint(F.col("text"), held)), ["text", "fingerprint"])
+    paired = with_next(docs, ["text"], {"fingerprint": fingerprint(F.col("text"), held)})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
