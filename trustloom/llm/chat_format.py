@@ -57,37 +57,39 @@ def _runs(turns: Column) -> Column:
     )
 
 
-def _block(run: Column) -> Column:
-    body = F.array_join(F.transform(run["texts"], escape), TURN)
-    return F.when(run["role"] == "user", F.concat(F.lit(USER_OPEN), body, F.lit(USER_CLOSE))).otherwise(
-        F.concat(F.lit(ROLE_OPEN), escape(run["role"]), F.lit(ROLE_CLOSE), body, F.lit(END))
+def _escaped(run: Column) -> Column:
+    """A run with its opening and closing strings and its texts as they are written."""
+    user = run["role"] == "user"
+    opening = F.when(user, USER_OPEN).otherwise(F.concat(F.lit(ROLE_OPEN), escape(run["role"]), F.lit(ROLE_CLOSE)))
+    return F.struct(
+        run["role"].alias("role"),
+        opening.alias("opening"),
+        F.transform(run["texts"], escape).alias("texts"),
+        F.when(user, USER_CLOSE).otherwise(END).alias("closing"),
     )
 
 
+def _block(run: Column) -> Column:
+    return F.concat(run["opening"], F.array_join(run["texts"], TURN), run["closing"])
+
+
+_SPANS = "array<struct<start:bigint,length:bigint>>"
+
+
 def _spans(runs: Column, loss_role: str) -> Column:
     """Start and length, in code points of the formatted text, of each text of ``loss_role``."""
 
+    def text(state: Column, t: Column) -> Column:
+        length = F.length(t).cast("long")
+        mine = F.array(F.struct(state["at"].alias("start"), length.alias("length")))
+        return F.struct((state["at"] + length + len(TURN)).alias("at"), F.concat(state["spans"], mine).alias("spans"))
+
     def step(state: Column, run: Column) -> Column:
-        start = state["at"] + F.length(F.concat(F.lit(ROLE_OPEN + ROLE_CLOSE), escape(run["role"])))
-        inner = F.aggregate(
-            run["texts"],
-            F.struct(start.cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-            lambda s, t: F.struct(
-                (s["at"] + F.length(escape(t)) + len(TURN)).alias("at"),
-                F.concat(
-                    s["spans"],
-                    F.array(F.struct(s["at"].alias("start"), F.length(escape(t)).cast("long").alias("length"))),
-                ).alias("spans"),
-            ),
-        )
-        return F.struct(
-            (state["at"] + F.length(_block(run))).alias("at"),
-            F.when(run["role"] == loss_role, F.concat(state["spans"], inner["spans"])).otherwise(state["spans"]).alias("spans"),
-        )
+        start = F.struct((state["at"] + F.length(run["opening"])).alias("at"), F.array().cast(_SPANS).alias("spans"))
+        inner = F.when(run["role"] == loss_role, F.aggregate(run["texts"], start, text)["spans"]).otherwise(F.array().cast(_SPANS))
+        return F.struct((state["at"] + F.length(_block(run))).alias("at"), F.concat(state["spans"], inner).alias("spans"))
 
-    zero = F.struct(
-        F.lit(len(BEGIN)).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")
-    )
+    zero = F.struct(F.lit(len(BEGIN)).cast("long").alias("at"), F.array().cast(_SPANS).alias("spans"))
     return F.aggregate(runs, zero, step)["spans"]
 
 
@@ -104,7 +106,7 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
     runs = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("turns")).select(
-        "conv_id", _runs(F.col("turns")).alias("runs")
+        "conv_id", F.transform(_runs(F.col("turns")), _escaped).alias("runs")
     )
     return runs.select(
         "conv_id",
