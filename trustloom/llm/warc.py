@@ -2,9 +2,9 @@
 
 Each capture is written as a request, a response (or a revisit of an earlier capture
 with an equal payload) and a metadata record; request and metadata name
-the response in WARC-Concurrent-To. Records are written by Spark's own text
-writer, one record per line with the record separator as line end, so that a lost executor or a
-second attempt leaves no half file; payloads go through as raw bytes. Reading parses records by
+the response in WARC-Concurrent-To. Each record is a gzip member of its own, so that a reader can start at any record. The members
+are written by Spark's own text writer, one per line with an empty gzip member as line end, so that a lost executor or a
+second attempt leaves no half file; bytes go through as they are. Reading inflates the members, parses records by
 Content-Length, joins the records of a capture through the concurrent-to identifiers, resolves
 revisits, and gives one nested row per capture.
 
@@ -19,6 +19,7 @@ empty table gives no record; other columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import zlib
 from collections.abc import Iterator
 from hashlib import sha256
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 
 from trustloom.llm.common import materialise
 
-#: Ends every record; also the line end of the text writer.
+#: Ends every record.
 END = "\r\n\r\n"
+#: The line end of the text writer, as Latin-1 text.
+_EMPTY_MEMBER = gzip.compress(b"", mtime=0).decode("latin-1")
 VERSION = "WARC/1.1"
 _BATCH_BYTES = 8 << 20
 _RECORDS = (
@@ -103,9 +106,16 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 100) -> None:
                             F.concat(F.lit("refers-to-page-id: "), F.col("first_id").cast("string")), F.lit("")).cast("binary"),
                 WARC_Concurrent_To=response, WARC_Target_URI=target, Content_Type=F.lit("application/warc-fields")),
     )
-    lines = joined.select(F.explode(records).alias("record")).select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", END).option("compression", "gzip").text(folder)
 
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                packed = [gzip.compress(r.as_py() + END.encode(), 6, mtime=0) for r in batch.column(0).slice(at, 64)]
+                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["record"])
+
+    lines = joined.select(F.explode(records).alias("record")).mapInArrow(members, "record binary")
+    writer = lines.select(F.col("record").cast("string").alias("value")).write.option("compression", "none")
+    writer.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY_MEMBER).text(folder)
 
 
 def _inflated(content: bytes) -> Iterator[bytes]:
@@ -113,15 +123,13 @@ def _inflated(content: bytes) -> Iterator[bytes]:
     if content[:2] != b"\x1f\x8b":
         yield content
         return
-    while content:
+    view, at = memoryview(content), 0
+    while at < len(view):
         member = zlib.decompressobj(31)
-        for at in range(0, len(content), 1 << 20):
-            yield member.decompress(content[at : at + (1 << 20)])
-            if member.eof:
-                content = member.unused_data + content[at + (1 << 20) :]
-                break
-        else:
-            return
+        while not member.eof and at < len(view):
+            piece = view[at : at + (1 << 14)]
+            yield member.decompress(piece)
+            at += len(piece) - len(member.unused_data)
 
 
 def _parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
