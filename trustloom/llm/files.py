@@ -9,20 +9,25 @@ from pyarrow import fs
 
 
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """A path without a scheme is refused: to Spark it lies in the default store, to Arrow on a machine's own disk."""
     if not re.match(r"[a-z0-9+]+:", uri):
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+        raise ValueError(f"{uri} names no store; write file:///..., hdfs://... or s3a://...")
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", uri)))
 
 
 @contextmanager
 def committed(uri: str, attempt: int):
     """A stream to a file that appears under its name only when it is whole; a
-    retried or doubled task writes the same bytes to a name of its own first."""
+    retried or doubled task writes the same bytes to a name of its own first, which goes if it fails."""
     store, path = _store(uri)
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
     own = f"{path}.attempt-{attempt}"
-    with store.open_output_stream(own) as out:
-        yield out
+    try:
+        with store.open_output_stream(own) as out:
+            yield out
+    except BaseException:
+        store.delete_file(own)
+        raise
     store.move(own, path)
 
 

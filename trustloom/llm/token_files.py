@@ -4,7 +4,8 @@ Layout of a file (little-endian): magic; words of all blocks; word offset of eac
 block (uint64); per document a flag for a null id (uint8), the id (int64) and the
 number of ids (uint64); footer of ids, documents, blocks, block size, magic. Documents follow each other in
 ascending ``doc_id`` (null first), in files of consecutive ranges, so that
-training reads a slice of the corpus by offset alone.
+training reads a slice of the corpus by offset alone. There are as many files as the texts' size asks for, so a task holds
+no more than the document table of one file.
 
 Files are written by tasks to the given folder, each under a name of the attempt
 and then renamed, so a lost executor or a second attempt leaves no half file. The
@@ -17,6 +18,7 @@ Defined results: null text is the empty text (its only id is the end id); rows o
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,15 +38,22 @@ _GROUP = 256
 _MANIFEST = "file_no bigint, path string, n_docs bigint, n_ids bigint, n_bytes bigint"
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFrame:
-    """Encode every text and write the files; returns the manifest with ``start``,
+def _files(docs: DataFrame, file_bytes: int) -> int:
+    """One file per ``file_bytes`` of text; small inputs give every core two, of some megabytes at least."""
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(16)).alias("bytes")).first()["bytes"] or 0
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-size // file_bytes), min(2 * cores, -(-size // (4 << 20))))
+
+
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, file_bytes: int = 128 << 20) -> DataFrame:
+    """Encode every text and write the files to ``folder`` (a URI with its store); returns the manifest with ``start``,
     the number of ids in all files before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         number = context.partitionId()
         path = f"{folder}/ids-{number:06d}.s8b"
-        flags, names, sizes, offsets = [], [], [], []
+        flags, names, sizes, offsets = bytearray(), array("q"), array("Q"), []
         n_ids = n_words = 0
         waiting: list[np.ndarray] = []
         held = 0
@@ -83,14 +92,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int)
                         flush(1)
             flush(0)
             table = np.concatenate(offsets) if offsets else np.zeros(0, np.int64)
-            tail = [table.astype("<u8"), np.array(flags, np.uint8), np.array(names, "<i8"), np.array(sizes, "<u8")]
+            tail = [table.astype("<u8"), np.frombuffer(flags, np.uint8), np.array(names, "<i8"), np.array(sizes, "<u8")]
             tail.append(np.array([n_ids, len(names), len(table), simple8b.BLOCK], "<u8"))
             rest = b"".join(x.tobytes() for x in tail) + MAGIC
             out.write(rest)
         row = [number, path, len(names), n_ids, len(MAGIC) + 8 * n_words + len(rest)]
         yield pa.RecordBatch.from_pylist([dict(zip(("file_no", "path", "n_docs", "n_ids", "n_bytes"), row))])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
+    narrow = docs.select("doc_id", "text")
+    ordered = narrow.repartitionByRange(_files(narrow, file_bytes), F.col("doc_id")).sortWithinPartitions("doc_id")
     encode = encoder(tokenizer, end_id)
     manifest = materialise(ordered.mapInArrow(lambda batches: run(encode(batches)), _MANIFEST), "token-manifest")
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
