@@ -14,7 +14,8 @@ map-side before its one row per bucket and task is shuffled.
 Defined results: null text or size counts 0 words; a null source is a source,
 last in order; rows with equal content share a hash and are taken together;
 documents of 0 words are never counted as taken; a source without words has
-target 0; an empty table gives no row.
+target 0; an empty table gives no row. All input columns are kept, whatever their names, but for
+``source_size``, ``target`` and ``times``, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trustloom.llm.common import materialise
+from trustloom.llm.common import materialise, quoted, unpacked, whole_row
 
 
 def water_fill(sources: DataFrame, share: float, cap: float) -> DataFrame:
@@ -98,14 +99,18 @@ def mix(docs: DataFrame, weights: DataFrame, share: float = 1.5, cap: float = 2.
 
     sources = sources.withColumnRenamed("source", "_source")
     cut = sources.join(edge, sources["_source"].eqNullSafe(edge["source"]), "left").drop("source")
-    cut = materialise(cut, "mix-cut")
+    cut = materialise(cut.select("_source", F.struct(*[c for c in cut.columns if c != "_source"]).alias("cut")), "mix-cut")
     # order of unsigned hashes: flip the sign bit and compare as signed
     flip = lambda c: c.bitwiseXOR(F.lit(-(2**63)))
-    below = flip(F.col("hash")) < flip(F.col("prefix"))
-    extra = F.when(F.col("prefix").isNull(), F.col("budget") > 0).otherwise(below | (F.col("taken") & (F.col("hash") == F.col("prefix"))))
-    taken = F.when(F.col("size") > 0, F.col("repeats") + extra.cast("int")).otherwise(0)
-    joined = whole.join(cut, whole["source"].eqNullSafe(cut["_source"])).withColumn("times", F.least(taken, F.lit(int(cap))))
-    return joined.select(*whole.columns, "source_size", "target", "times")
+    c, h = F.col("cut"), F.col("hash")
+    below = flip(h) < flip(c["prefix"])
+    extra = F.when(c["prefix"].isNull(), c["budget"] > 0).otherwise(below | (c["taken"] & (h == c["prefix"])))
+    taken = F.when(F.col("size") > 0, c["repeats"] + extra.cast("int")).otherwise(0)
+    names = [x for x in whole.columns if x.lower() not in ("source_size", "target", "times")]
+    whole = whole.select("source", "size", "hash", whole_row(whole.select(*map(quoted, names))).alias("row"))
+    joined = whole.join(cut, whole["source"].eqNullSafe(cut["_source"]))
+    added = (c["source_size"].alias("source_size"), c["target"].alias("target"), F.least(taken, F.lit(int(cap))).alias("times"))
+    return unpacked(joined, "row", names, *added)
 
 
 def cycled_weights(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0)) -> DataFrame:
