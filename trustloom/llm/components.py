@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from trustloom.llm.common import discard, materialise
 
 
+#: Nodes that a task holds while it contracts its links.
+_NODES = 1_000_000
+
+
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """One step. ``links``: a > b."""
     if large:
@@ -43,7 +47,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 
 def _contracted(links: DataFrame) -> DataFrame:
-    """Each partition's links as stars to the smallest node of what it connects itself."""
+    """Each partition's links as stars to the smallest node of what it connects itself, some ``_NODES`` nodes at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict = {}
@@ -54,15 +58,21 @@ def _contracted(links: DataFrame) -> DataFrame:
                 x = up
             return x
 
+        def stars() -> Iterator[pa.RecordBatch]:
+            pairs = [(x, r) for x in parent if (r := root(x)) != x]
+            parent.clear()
+            for at in range(0, len(pairs), 50_000):
+                part = list(zip(*pairs[at : at + 50_000]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], ["a", "b"])
+
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 a, b = root(a), root(b)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-        pairs = [(x, r) for x in parent if (r := root(x)) != x]
-        for at in range(0, len(pairs), 50_000):
-            part = list(zip(*pairs[at : at + 50_000]))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], ["a", "b"])
+            if len(parent) > _NODES:
+                yield from stars()
+        yield from stars()
 
     return links.select("a", "b").mapInArrow(run, links.select("a", "b").schema)
 

@@ -25,7 +25,7 @@ from math import acos, ceil, comb, log, pi
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustloom.llm.common import materialise
@@ -125,30 +125,33 @@ def ball_links(fps: DataFrame, bits: int = 64, radius: int = 2, key: tuple[str,
     return stars.filter((F.col("a") != F.col("b")) & near).distinct()
 
 
-def _ball_groups(fps: DataFrame, bits: int, key: tuple[str, ...]) -> DataFrame:
+def _ball_groups(fps: DataFrame, bits: int, key: tuple[str, ...] = ()) -> DataFrame:
     """``variant`` and ``members`` of each value that several of the distinct values ``fp`` of equal ``key`` come to
-    by flipping a bit at most; any two values within two bits are members of a group."""
+    by flipping one of the lowest ``bits`` bits at most; any two values within two of these bits are members of a group."""
     # a table of fingerprints is small to read and large once exploded, so it is spread by what a task emits
     spread = fps.repartition(-(-fps.count() * (bits + 1) // _VARIANTS) or 1)
     flips = F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda i: i)
-    variants = (
-        spread.select(*key, "fp", F.explode(flips).alias("i"))
-        # i = bits stands for the fingerprint itself
-        .select(
-            *key,
-            F.when(F.col("i") < bits, F.col("fp").bitwiseXOR(_bit(F.col("i")))).otherwise(F.col("fp")).alias("variant"),
-            F.when(F.col("i") < bits, _bit(F.col("i"))).otherwise(F.lit(0).cast("long")).alias("mask"),
-            (F.col("i") == bits).cast("int").alias("own"),
-        )
+    i, flip = F.col("i"), _bit(F.col("i"))
+    # i = bits stands for the fingerprint itself, in a bit of the mask where there is room for it
+    room = bits < 63
+    mask = flip if room else F.when(i < bits, flip).otherwise(F.lit(0).cast("long"))
+    own = {} if room else {"own": (i == bits).cast("int")}
+    variants = spread.select(*key, "fp", F.explode(flips).alias("i")).select(
+        *key,
+        F.when(i < bits, F.col("fp").bitwiseXOR(flip)).otherwise(F.col("fp")).alias("variant"),
+        mask.alias("mask"),
+        *[c.alias(name) for name, c in own.items()],
     )
-    groups = variants.groupBy(*key, "variant").agg(F.bit_or("mask").alias("mask"), F.max("own").alias("own"))
-    groups = groups.filter(F.bit_count("mask") + F.col("own") >= 2)
+    groups = variants.groupBy(*key, "variant").agg(F.bit_or("mask").alias("mask"), *[F.max(name).alias(name) for name in own])
+    n = F.bit_count("mask") if room else F.bit_count("mask") + F.col("own")
+    groups = groups.filter(n >= 2)
+    itself = F.col("mask").bitwiseAND(_bit(F.lit(bits))) != 0 if room else F.col("own") == 1
     members = F.concat(
         F.transform(
             F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.col("mask").bitwiseAND(_bit(i)) != 0),
             lambda i: F.col("variant").bitwiseXOR(_bit(i)),
         ),
-        F.when(F.col("own") == 1, F.array("variant")).otherwise(F.array().cast("array<bigint>")),
+        F.when(itself, F.array("variant")).otherwise(F.array().cast("array<bigint>")),
     )
     return groups.select(*key, "variant", members.alias("members"))
 
@@ -179,11 +182,11 @@ def _tables(bits: int, similarity: float, recall: float) -> int:
 
 
 def _keyed_slices(classes: DataFrame, tables: int, bits: int) -> DataFrame:
-    """``t``, ``fp`` (the table's ``bits`` bits of the long fingerprint) and ``first`` of each class and table."""
+    """``fp`` and ``first`` of each class and slice; ``fp``: the number of the slice over its ``bits`` bits of the long fingerprint."""
     each = 64 // bits
     at = lambda t: F.shiftrightunsigned(F.get("fps", F.lit(t // each)), bits * (t % each)).bitwiseAND(F.lit((1 << bits) - 1))
-    rows = F.array(*[F.struct(F.lit(t).alias("t"), at(t).alias("fp")) for t in range(tables)])
-    return classes.select("first", F.explode(rows).alias("x")).select("x.t", "x.fp", "first")
+    rows = F.array(*[at(t).bitwiseOR(F.lit(t << bits).cast("long")) for t in range(tables)])
+    return classes.select("first", F.explode(rows).alias("fp"))
 
 
 def _spanning(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -233,8 +236,9 @@ def _linked_in_groups(members: DataFrame, words: int, most: int) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").filter("a != b").distinct()
 
 
-def _centres(members: DataFrame, words: int) -> DataFrame:
-    """``family`` and ``centre``: the row (``family``, ``id``, ``fps``) nearest to the majority of the bits of its family."""
+def _centres(members: DataFrame, words: int, seen: int = 512) -> DataFrame:
+    """``family`` and ``centre``: of ``seen`` rows (``family``, ``id``, ``fps``) of each family, the smallest by hash, the one nearest to the
+    majority of their bits. Any row would do; a central one settles more of its family at once."""
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
@@ -242,7 +246,9 @@ def _centres(members: DataFrame, words: int) -> DataFrame:
         apart = (bits != (2 * bits.sum(axis=0, dtype=np.int64) > len(ids))).sum(axis=1)
         return pa.table({"family": table.column("family")[:1], "centre": pa.array([ids[np.lexsort((ids, apart))[0]]], pa.int64())})
 
-    return members.select("family", "id", "fps").groupBy("family").applyInArrow(run, "family bigint, centre bigint")
+    some = Window.partitionBy("family").orderBy(F.xxhash64("id"), "id")  # limited within the tasks first
+    few = members.select("family", "id", "fps").withColumn("at", F.row_number().over(some)).filter(F.col("at") <= seen).drop("at")
+    return few.groupBy("family").applyInArrow(run, "family bigint, centre bigint")
 
 
 def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -342,30 +348,39 @@ def _similar(members: DataFrame, docs: DataFrame, shingle: int, words: int, simi
     return stars.unionAll(more)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.9, spare_bits: int = 9) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.9, bits: int = 32, crowd: int = 4096
+) -> DataFrame:
     """``doc_id`` and ``component_id`` of every row with a doc_id: near-duplicates by word shingles.
 
     Texts of this similarity differ in about 15 % of their SimHash bits, too many for a ball around 64 bits. So the
-    fingerprint is longer, and the ball hashing (radius 2) is done in slices of it, of log2(number of rows) +
-    ``spare_bits`` bits (24 at least): the slices widen with the corpus, so that the pairs that meet by chance grow as its
-    rows do and not as their square. There are as many slices as find a pair at ``similarity`` with probability
-    ``recall``; nearly every closer one is found. Candidates are verified on the long fingerprints (13 of each
-    64 bits), then by the Jaccard similarity of their sets of shingles. Equal fingerprints of a table meet in their
-    first document.
+    fingerprint is longer, and the ball hashing (radius 2) is done in slices of it of ``bits`` bits. There are as
+    many slices as find a pair at ``similarity`` with probability ``recall`` (19 of 32 bits); nearly every closer one is
+    found. None of this follows the size of the corpus, so a pair is found or not whatever else is there.
+
+    What meets in a slice is first held against each other on the long fingerprints (16 of each 64 bits); a value at which more than
+    ``crowd`` documents meet makes them one family without that. What this connects is verified by the Jaccard similarity of
+    the sets of shingles, all pairs of a family where need be. Rows shuffled are a fixed number per document (19 x 33 variants).
+
+    Defined results: null text is the empty text, and texts without words are alike; a row without a doc_id gives none; repeated
+    rows are copies; texts of equal sets of shingles are alike unverified; an empty table gives no row; other columns are ignored.
     """
     docs = docs.filter("doc_id is not null")
-    bits = min(63, max(24, docs.count().bit_length() + spare_bits))
     tables = _tables(bits, similarity, recall)
     words = max(4, ceil(tables / (64 // bits)))
     fps = materialise(_set_fingerprints(docs, shingle, words), "near-fps")
     classes = materialise(fps.groupBy("fps", "digest").agg(F.min("doc_id").alias("first")), "near-classes")
     slices = materialise(_keyed_slices(classes, tables, bits), "near-slices")
-    counted = materialise(slices.groupBy("t", "fp").agg(F.count("*").alias("n")), "near-counted")
-    balls = _ball_groups(counted.select("t", "fp"), bits, ("t",)).select("t", F.xxhash64("t", "variant").alias("g"), F.explode("members").alias("fp"))
-    copies = counted.filter("n > 1").select("t", F.xxhash64("t", "fp", F.lit(0)).alias("g"), "fp")
-    met = balls.unionAll(copies).join(slices, ["t", "fp"]).select("g", F.col("first").alias("id"))
+    counted = materialise(slices.groupBy("fp").agg(F.count("*").alias("n")), "near-counted")
+    balls = _ball_groups(counted.select("fp"), bits).select(F.xxhash64("variant").alias("g"), F.explode("members").alias("fp"))
+    copies = counted.filter("n > 1").select(F.xxhash64("fp", F.lit(0)).alias("g"), "fp")
+    met = materialise(balls.unionAll(copies).join(slices, "fp").select("g", F.col("first").alias("id")), "near-met")
+    crowds = met.groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter(F.col("n") > crowd).select("g", "least")
+    crowds = materialise(crowds, "near-crowds")
     long = classes.select(F.col("first").alias("id"), "fps")
-    close = materialise(_linked_in_groups(met.join(long, "id"), words, _FAMILY_BITS * words), "near-close")
+    close = _linked_in_groups(met.join(crowds, "g", "left_anti").join(long, "id"), words, _FAMILY_BITS * words)
+    together = met.join(crowds, "g").filter("id != least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
+    close = materialise(close.unionAll(together), "near-close")
     families = connected_components(close).select(F.col("node").alias("id"), F.col("component").alias("family"))
     families = materialise(families.join(long, "id"), "near-families")
     links = materialise(_similar(families, docs, shingle, words, similarity), "near-links")
