@@ -1,38 +1,46 @@
 """Quality classifier by co-training of a text view and a page-metadata view.
 
 The text view sees a lexicon of informative words and the shape of the text; the metadata view sees the other columns
-(language, source, length). Both are logistic models fitted on a bounded sample of labelled rows. Over
-rounds, each view labels the rows of a bounded unlabelled pool of which its calibrated probability is
-confident, and the other view trains on them too. A view without signal is never confident and so teaches nothing.
-The final score joins the calibrated views, fitted on held-out labelled rows. Every document is scored
-on its whole text.
+(language, source, length; every value of them, by its hash). Both are logistic models. Over rounds, each view scores all
+unlabelled documents in Spark, and the other view also trains on those of which its calibrated probability is confident. A view
+without signal is never confident and so teaches nothing. The final score joins the calibrated views, fitted on held-out
+labelled rows. Every document is scored on its whole text.
+
+Only the fit is bounded: it takes at most ``labelled_rows`` labelled rows, and of what each view is confident of at most
+``taught_rows`` rows of each class, in both cases those of smallest hash. The features of all unlabelled documents are
+written once (some 200 bytes a row), so that rounds don't read texts again.
 
 A document is good if its label says quality 1 and not toxic. ``score`` is the probability of good.
 
 Defined results: null text is the empty text; null language or source is a value of its own; null ``n_chars`` is taken
-as the length of the text; labels without quality are ignored, of several labels of one document the worst counts;
-without labels of both kinds every score is 0.5 and everything is kept; repeated rows are scored each; an
-empty table gives no row; an input column named like an output is replaced.
+as the length of the text; a toxic label is not good whatever its quality, other labels without quality are ignored, and of
+several labels of one document the worst counts; without labels of both kinds every score is 0.5 and everything is
+kept; repeated rows are scored each; an empty table gives no row; an input column named like an output is replaced,
+others are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from trustloom.llm.common import materialise
+from trustloom.llm.common import materialise, unpacked, whole_row
 
 _TERM = re.compile(r"[^\W\d_]+")
 _UPPER = bytes(range(65, 91))
 _DIGITS = bytes(range(48, 58))
 _MARKS = "!|%$#&*@{}<>"
+#: Places for the values of language and source; rare values may share one.
+_PLACES = 256
 
 
 def tokens_and_shape(text: str) -> tuple[set[str], list[float]]:
@@ -88,30 +96,36 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int
     return Logistic(mean, scale, w, b)
 
 
+@lru_cache(1 << 12)
+def _place(column: str, value: str | None) -> int:
+    return xxhash.xxh64_intdigest(f"{column}:{value is None}:{value}") % _PLACES
+
+
 @dataclass
 class CoTrained:
     lexicon: dict[str, int] = field(default_factory=dict)
-    metadata: dict[tuple[str, str], int] = field(default_factory=dict)
     text_view: Logistic | None = None
     metadata_view: Logistic | None = None
     joint: Logistic | None = None
 
     def text_rows(self, found: list[tuple[set[str], list[float]]]) -> np.ndarray:
         words = np.zeros((len(found), len(self.lexicon)), np.float32)
+        if not found:
+            return words
         known = self.lexicon.keys()
         for row, (terms, _) in zip(words, found):
             row[[self.lexicon[t] for t in known & terms]] = 1
-        return np.hstack((np.array([s for _, s in found], np.float32).reshape(len(found), -1), words))
+        return np.hstack((np.array([s for _, s in found], np.float32), words))
 
-    def metadata_rows(self, rows: list[tuple]) -> np.ndarray:
+    @staticmethod
+    def metadata_rows(rows: list[tuple]) -> np.ndarray:
         """``rows``: (lang, source, n_chars)."""
-        out = np.zeros((len(rows), len(self.metadata) + 2), np.float32)
+        out = np.zeros((len(rows), _PLACES + 2), np.float32)
         for x, (lang, source, n_chars) in zip(out, rows):
             x[0] = np.log1p(max(0, n_chars or 0))
             x[1] = x[0] ** 2
-            for key in (("lang", lang), ("source", source)):
-                if key in self.metadata:
-                    x[2 + self.metadata[key]] = 1
+            x[2 + _place("lang", lang)] += 1
+            x[2 + _place("source", source)] += 1
         return out
 
     def score(self, found: list[tuple[set[str], list[float]]], rows: list[tuple]) -> np.ndarray:
@@ -132,73 +146,108 @@ def informative_terms(sample: DataFrame, size: int) -> dict[str, int]:
     return {r["term"]: i for i, r in enumerate(best.orderBy(F.desc("gain"), "term").limit(size).collect())}
 
 
-def co_train(model: CoTrained, text, metadata, y, held, rounds: int = 3, confident: float = 0.97) -> CoTrained:
-    """Fit the views. ``text``, ``metadata``: a row per document; ``y``: its label, NaN in the pool; ``held``: calibrates only."""
-    known = ~np.isnan(y)
-    own, check, pool = np.nonzero(known & ~held)[0], np.nonzero(known & held)[0], np.nonzero(~known)[0]
-    if len(set(y[own])) < 2 or len(set(y[check])) < 2:
+def _calibrated(view: Logistic, x: np.ndarray, y: np.ndarray) -> Logistic:
+    return fit_logistic(view.logit(x)[:, None], y, steps=200)
+
+
+def _good(labels: DataFrame) -> DataFrame:
+    toxic = F.coalesce("toxic", F.lit(0)) == 1
+    known = labels.filter(F.col("doc_id").isNotNull() & (F.col("quality").isNotNull() | toxic))
+    return known.groupBy("doc_id").agg(F.min((F.coalesce("quality", F.lit(0)) == 1) & ~toxic).cast("int").alias("good"))
+
+
+def _described(docs: DataFrame, *keep: str, known: Set[str] | None = None) -> DataFrame:
+    """``keep``, lang, source, n_chars, and the ``terms`` (of the ``known`` ones, if given) and ``shape`` of each text."""
+    kept = [*keep, "lang", "source", "n_chars"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [tokens_and_shape(t.as_py()) for t in batch.column("text")]
+            columns = [batch.column(c) for c in kept]
+            columns += [pa.array([sorted(t if known is None else known & t) for t, _ in found], pa.list_(pa.string())), pa.array([s for _, s in found], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "terms", "shape"])
+
+    made = StructType.fromDDL("terms array<string>, shape array<double>")
+    return docs.mapInArrow(run, StructType([*docs.select(*kept).schema, *made]))
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = 12_000, taught_rows: int = 2_000, lexicon_size: int = 400, rounds: int = 3, confident: float = 0.97) -> CoTrained:
+    """Fit on at most ``labelled_rows`` labelled documents, the smallest by a hash of their id, and on at most ``taught_rows`` of each
+    class that each view teaches the other; only their rows of features come to the driver."""
+    marks = _good(labels)
+    order = F.xxhash64("doc_id", F.lit(9))
+    ids = docs.select("doc_id").filter("doc_id is not null").distinct()
+    chosen = ids.join(marks, "doc_id").orderBy(order, "doc_id").limit(labelled_rows)
+    chosen = materialise(chosen, "quality-sample")
+    # at most labelled_rows ids and marks are broadcast
+    sample = _inputs(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "lang", "source", "n_chars", "text")
+    sample = _described(sample, "doc_id", "good").withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(4)) == 0)
+    sample = materialise(sample, "quality-described")
+    model = CoTrained(lexicon=informative_terms(sample.filter("not held"), lexicon_size))
+
+    def features(rows: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
+        got = rows.toArrow().to_pylist()
+        got.sort(key=lambda r: (r["doc_id"], r["n_chars"], r["shape"]))
+        text = model.text_rows([(set(r["terms"]), r["shape"]) for r in got])
+        return got, text, model.metadata_rows([(r["lang"], r["source"], r["n_chars"]) for r in got])
+
+    got, *views = features(sample.withColumn("terms", F.array_intersect("terms", F.lit(list(model.lexicon)).cast("array<string>"))))
+    y, held = np.array([r["good"] for r in got], float), np.array([r["held"] for r in got], bool)
+    if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         return model
-    taught = [(np.zeros(0, int), np.zeros(0))] * 2
+    unlabelled = materialise(_unlabelled(docs, marks, model), "quality-unlabelled")
+    taught: list[tuple] = [(None, None), (None, None)]
     for turn in range(rounds):
-        fitted = [fit_logistic(x[np.concatenate((own, who))], np.concatenate((y[own], what))) for x, (who, what) in zip((text, metadata), taught)]
-        if turn == rounds - 1 or not len(pool):
+        fitted = []
+        for x, (more, what) in zip(views, taught):
+            own = (x[~held], y[~held])
+            fitted.append(fit_logistic(*own) if more is None else fit_logistic(np.concatenate((own[0], more)), np.concatenate((own[1], what))))
+        model.text_view, model.metadata_view = fitted
+        if turn == rounds - 1:
             break
-        says = []
-        for f, x in zip(fitted, (text, metadata)):
-            scale = fit_logistic(f.logit(x[check])[:, None], y[check], steps=200)
-            p = 1 / (1 + np.exp(-scale.logit(f.logit(x[pool])[:, None])))
-            sure = (p >= confident) | (p <= 1 - confident)
-            says.append((pool[sure], (p[sure] > 0.5).astype(float)))
-        taught = says[::-1]  # each view learns from the other
-    model.text_view, model.metadata_view = fitted
-    logits = np.stack([f.logit(x[check]) for f, x in zip(fitted, (text, metadata))], 1)
-    model.joint = fit_logistic(logits, y[check], steps=300)
+        scales = [_calibrated(f, x[held], y[held]) for f, x in zip(fitted, views)]
+        sure = materialise(_confident(unlabelled, model, scales, confident), "quality-confident")
+        for k, other in ((0, 1), (1, 0)):  # each view learns from the other
+            says = F.col("says")[other]
+            parts = [sure.filter(says == c).orderBy(F.xxhash64("doc_id", F.lit(12)), "doc_id", "n_chars").limit(taught_rows) for c in (0, 1)]
+            rows, *found = features(parts[0].unionAll(parts[1]))
+            if rows:
+                taught[k] = (found[k], np.array([r["says"][other] for r in rows], float))
+            else:
+                taught[k] = (None, None)
+    logits = np.stack([f.logit(x[held]) for f, x in zip(fitted, views)], 1)
+    model.joint = fit_logistic(logits, y[held], steps=300)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = 12_000, pool_rows: int = 4_000, lexicon_size: int = 400, metadata_values: int = 60) -> CoTrained:
-    """Fit on at most ``labelled_rows`` labelled and ``pool_rows`` other documents, the smallest by a hash of
-    their id; only their rows of features come to the driver."""
-    marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(
-        F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int").alias("good")
-    )
-    order = F.xxhash64("doc_id", F.lit(9))
-    ids = docs.select("doc_id").filter("doc_id is not null").distinct()
-    chosen = ids.join(marks, "doc_id").orderBy(order, "doc_id").limit(labelled_rows)
-    pool = ids.join(marks, "doc_id", "left_anti").orderBy(order, "doc_id").limit(pool_rows).withColumn("good", F.lit(None).cast("int"))
-    chosen = materialise(chosen.unionByName(pool), "quality-sample")
+def _unlabelled(docs: DataFrame, marks: DataFrame, model: CoTrained) -> DataFrame:
+    """Features of all documents without a label: their words of the lexicon, shape and metadata."""
+    rest = _inputs(docs).filter("doc_id is not null").join(marks.select("doc_id"), "doc_id", "left_anti")
+    return _described(rest.select("doc_id", "lang", "source", "n_chars", "text"), "doc_id", known=frozenset(model.lexicon))
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [tokens_and_shape(t.as_py()) for t in batch.column("text")]
-            columns = [batch.column(c) for c in ("doc_id", "good", "lang", "source", "n_chars")]
-            columns += [pa.array([sorted(t) for t, _ in found], pa.list_(pa.string())), pa.array([s for _, s in found], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "good", "lang", "source", "n_chars", "terms", "shape"])
 
-    # at most labelled_rows + pool_rows ids and marks are broadcast
-    sample = _inputs(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "lang", "source", "n_chars", "text")
-    sample = sample.mapInArrow(describe, "doc_id bigint, good int, lang string, source string, n_chars bigint, terms array<string>, shape array<double>")
-    sample = materialise(sample.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(4)) == 0), "quality-described")
+_FEATURES = "doc_id bigint, lang string, source string, n_chars bigint, terms array<string>, shape array<double>"
 
-    model, fitting = CoTrained(), sample.filter("good is not null and not held")
-    model.lexicon = informative_terms(fitting, lexicon_size)
-    values = fitting.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in ("lang", "source")])).alias("x"))
-    common = values.groupBy("x").count().orderBy(F.desc("count"), "x").limit(metadata_values).collect()
-    model.metadata = {(r["x"]["c"], r["x"]["v"]): i for i, r in enumerate(common)}
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+def _confident(unlabelled: DataFrame, model: CoTrained, scales: list[Logistic], confident: float) -> DataFrame:
+    """The rows of which a view is confident; ``says``: the class that the text view and the metadata view give, or null."""
+    spark = unlabelled.sparkSession
+    held = spark.sparkContext.broadcast((model, scales))  # a few hundred words and weights
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, scales = held.value
+        for batch in (b for b in batches if b.num_rows):
             text = model.text_rows([(set(t), s) for t, s in zip(batch.column("terms").to_pylist(), batch.column("shape").to_pylist())])
             metadata = model.metadata_rows(list(zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))))
-            columns = [batch.column(c) for c in ("doc_id", "good", "held")]
-            columns += [pa.array([r.astype("<f4").tobytes() for r in x], pa.binary()) for x in (text, metadata)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "good", "held", "text", "metadata"])
+            says = []
+            for view, scale, x in zip((model.text_view, model.metadata_view), scales, (text, metadata)):
+                p = 1 / (1 + np.exp(-scale.logit(view.logit(x)[:, None])))
+                says.append([int(v > 0.5) if v >= confident or v <= 1 - confident else None for v in p])
+            pairs = [list(s) for s in zip(*says)]
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(pairs, pa.list_(pa.int32()))], [*batch.schema.names, "says"])
+            yield out.filter(pa.array([s != [None, None] for s in pairs], pa.bool_()))
 
-    described = sample.mapInArrow(rows, "doc_id bigint, good int, held boolean, text binary, metadata binary")
-    got = sorted(described.toLocalIterator(), key=lambda r: (r["doc_id"], r["text"]))
-    text, metadata = (np.array([np.frombuffer(r[c], "<f4") for r in got], np.float32) for c in ("text", "metadata"))
-    y = np.array([np.nan if r["good"] is None else r["good"] for r in got], float)
-    return co_train(model, text, metadata, y, np.array([r["held"] for r in got], bool)) if got else model
+    return unlabelled.mapInArrow(run, f"{_FEATURES}, says array<int>")
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
@@ -211,21 +260,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **
     added = ("score", "text_score", "metadata_score", "keep")
     docs = docs.drop(*added)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **sample))  # a few hundred words and weights
-    names = docs.columns
+    row = docs.select(whole_row(docs).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = [t.as_py() or "" for t in part.column("text")]
+                part = batch.slice(at, 512).column(0)
+                texts = [t.as_py() or "" for t in part.field("text")]
                 rows = [
                     (lang, source, len(t) if n is None else n)
-                    for lang, source, n, t in zip(*(part.column(c).to_pylist() for c in ("lang", "source", "n_chars")), texts)
+                    for lang, source, n, t in zip(*(part.field(c).to_pylist() for c in ("lang", "source", "n_chars")), texts)
                 ]
                 scores = model.value.score([tokens_and_shape(t) for t in texts], rows)
-                columns = [part.column(c) for c in names] + [pa.array(scores[:, i], pa.float64()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(scores[:, 0] >= threshold)], [*names, *added])
+                columns = [part] + [pa.array(scores[:, i], pa.float64()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(scores[:, 0] >= threshold)], ["row", *added])
         pa.default_memory_pool().release_unused()  # the worker waits for its next task with less
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, score double, text_score double, metadata_score double, keep boolean")
+    schema = StructType([*row.schema, *StructType.fromDDL("score double, text_score double, metadata_score double, keep boolean")])
+    return unpacked(row.mapInArrow(run, schema), "row", docs.columns, *added)
