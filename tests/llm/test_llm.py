@@ -174,7 +174,12 @@ def test_mix_meets_its_targets(spark):
 
     r = random.Random(5)
     rows = [(i, ["b", "a", None, "c", "é"][min(4, int(r.random() ** 2 * 5))], r.randint(0, 40), r.getrandbits(64) - (1 << 63), "x") for i in range(1500)]
-    frame = spark.createDataFrame(rows, "doc_id long, source string, size long, hash long, target string").drop("target")
+    frame = spark.createDataFrame(rows, "doc_id long, source string, size long, hash long, target string")
+    clashes = ("prefix", "budget", "taken", "repeats", "cut", "row", "_source", "a.b", "Times")
+    frame = frame.withColumns({c: F.lit(c) for c in clashes})
+    mixed = mix(frame, cycled_weights(frame))
+    assert mixed.columns == [c for c in frame.columns if c not in ("target", "Times")] + ["source_size", "target", "times"]
+    assert {tuple(r) for r in mixed.select(*[f"`{c}`" for c in clashes[:-1]]).distinct().collect()} == {clashes[:-1]}
     got = mix(frame, cycled_weights(frame)).collect()
     sources = ["a", "b", "c", "é", None]
     size = {s: sum(x[2] for x in rows if x[1] == s) for s in sources}
@@ -278,7 +283,7 @@ def test_nearest_with_copies_and_unusable_vectors(spark):
     rows = [(i, x.tolist(), "c") for i, x in enumerate(v)]
     rows += [(600, None, "c"), (620, [0.0] * 16, "c"), (640, [1.0, None] + [0.0] * 14, "c"), (660, [float("nan")] * 16, "c"), (680, [1.0], "c"), (None, [1.0] * 16, "c"), rows[20]]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, block string")
-    got = nearest(frame, F.col("vec_id") % 20 == 0, k=10, code_block=200).collect()
+    got = nearest(frame, F.col("vec_id") % 20 == 0, k=10, code_block=200, query_block=64).collect()
     hits = asked = 0
     for q in range(0, 600, 20):
         scores = v.astype(float) @ v[q].astype(float)
@@ -293,6 +298,23 @@ def test_nearest_with_copies_and_unusable_vectors(spark):
     assert nearest(few.limit(0), F.lit(True)).collect() == []
 
 
+def test_recall_of_nearest_with_little_reranking(spark, sf_dir):
+    """Of 2,000 vectors 2 % are scored exactly, so the codes have to find the right ones."""
+    from trustloom.llm.ann import nearest
+
+    frame = spark.read.parquet(f"{sf_dir}/../sf0.1/embeddings.parquet")
+    rows = frame.select("vec_id", "embedding").toPandas()
+    v, ids = np.stack(rows["embedding"].to_numpy()).astype(float), rows["vec_id"].to_numpy()
+    got: dict = {}
+    for r in nearest(frame, F.col("vec_id") % 20 == 0, k=20, rerank=40).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = asked = 0
+    for at in np.flatnonzero(ids % 20 == 0):
+        order = [i for i in np.argsort(-(v @ v[at]), kind="stable") if i != at][:20]
+        hits, asked = hits + len(got[ids[at]] & set(ids[order])), asked + 20
+    assert asked == 20 * len(got) and hits / asked >= 0.9
+
+
 # 5 WARC
 
 
@@ -305,6 +327,19 @@ def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame(rows, "page_id long, url string, payload string").withColumn("record", F.lit(1)).repartition(2)
     write_warc(pages, f"file://{tmp_path}/warc")
     got = assemble(materialise(read_records(spark, f"file://{tmp_path}/warc"), "t")).collect()
+    members = []
+    for part in (tmp_path / "warc").glob("part-*"):
+        left = part.read_bytes()
+        while left:
+            one = zlib.decompressobj(31)
+            members.append(one.decompress(left))
+            assert one.eof
+            left = one.unused_data
+    records = [m for m in members if m]
+    assert len(records) == 3 * len(rows) and all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") for m in records)
+    for m in records:  # a member holds one record and nothing else
+        head, _, rest = m.partition(b"\r\n\r\n")
+        assert len(rest) - 4 == int(re.search(rb"Content-Length: (\d+)", head)[1])
     assert len(got) == len(rows) and all(r["request"] is not None and r["metadata"] is not None for r in got)
     page = lambda r: int(r["metadata"]["fields"]["page-id"]) if "page-id" in r["metadata"]["fields"] else None
     kinds = {page(r): r["response"]["type"] for r in got}
@@ -342,13 +377,32 @@ def test_repeated_windows_go(docs, empty, hot):
             if d is not None and first[tuple(w[i : i + 50])] < d:
                 gone[i : i + 50] = [True] * 50
         want.append((d, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
-    got = remove_repeats(docs.withColumn("n_words", F.lit("clash")), hot=hot)
-    assert set(docs.columns) < set(got.columns)
+    clashing = docs.withColumns({"n_words": F.lit("clash"), **{c: F.lit(c) for c in ("_uid", "_cuts", "uid_of_text", "spans", "a.b", "_Doc")}})
+    got = remove_repeats(clashing, hot=hot)
+    assert got.columns == [c for c in clashing.columns if c != "n_words"] + ["n_words", "n_removed", "kept_text"]
+    assert {tuple(r) for r in got.select("_uid", "_cuts", "uid_of_text", "spans", "`a.b`", "_Doc").distinct().collect()} == {("_uid", "_cuts", "uid_of_text", "spans", "a.b", "_Doc")}
     assert sorted([tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_text").collect()], key=repr) == sorted(want, key=repr)
     assert sum(w[2] for w in want) > 400
     assert remove_repeats(empty).collect() == []
 
 
+def test_found_runs_are_one_row_for_each_string(spark, monkeypatch):
+    """A passage in thousands of documents, between words of their own: the join to its places gives a row per place at most."""
+    from trustloom.llm import substring
+
+    made, write = {}, substring.materialise
+    monkeypatch.setattr(substring, "materialise", lambda df, label: made.setdefault(label, write(df, label)))
+    passage = sentence(2, 120)
+    rows = [(i, " ".join([f"a{i}", *[f"b{i % 7}"] * 3, *passage, f"c{i % 11}", f"d{i}"])) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substring.remove_repeats(frame, hot=8).groupBy("n_removed").count().collect()
+    listed, found = made["substring-candidates"], made["substring-found"]
+    key = ["minimiser", "content", "n"]
+    assert found.count() == found.select(*key).distinct().count() and found.filter(F.size("runs") > 64).count() == 0
+    assert listed.join(found, key).count() <= listed.count()
+    assert {r["n_removed"] for r in got} <= {0, 120, 121, 122, 123, 124} and max(got, key=lambda r: r["count"])["n_removed"] >= 120
+
+
 # 7 packing
 
 
@@ -519,11 +573,156 @@ def test_next_row(spark, rows_per_range):
     ids = [None, *random.Random(2).sample(range(-50, 5000), 60)]
     frame = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(4)
     order = sorted(ids, key=lambda i: (i is not None, i or 0))
-    got = {r["doc_id"]: r["next_text"] for r in with_next(frame, ["text"], rows_per_range).collect()}
+    got = {r["doc_id"]: r["next_text"] for r in with_next(frame, ["text"], rows_per_range=rows_per_range).collect()}
     assert got == {i: f"t{order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
     assert with_next(frame.filter("doc_id = 0 and doc_id = 1"), ["text"]).collect() == []
 
 
+def test_lexicon_is_exact(spark):
+    """Terms in more than 8.2 % of the documents are out, however many other terms there are."""
+    from trustloom.llm.imatch import lexicon, terms
+
+    rows = [(i, " ".join([*(["often"] if i < 90 else []), *(["seldom"] if i < 80 else []), *[f"w{i}x{k}" for k in range(300)]])) for i in range(1000)]
+    inside = lexicon(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = spark.createDataFrame([("often seldom new",)], "text string").select(F.transform(terms(F.col("text")), inside).alias("x")).first()
+    assert got["x"] == [False, True, True]
+    band = lexicon(spark.createDataFrame(rows, "doc_id long, text string"), 2.42, 2.6)
+    got = spark.createDataFrame([("often seldom w1x1",)], "text string").select(F.transform(terms(F.col("text")), band).alias("x")).first()
+    assert got["x"] == [False, True, False]
+
+
+# recall of near-duplicates
+
+
+def test_recall_of_near_duplicates_at_the_limit(spark):
+    """Pairs of similarity just over 0.8 against brute force: at least 0.9 are found, and no pair under 0.8."""
+    from trustloom.llm.simhash import near_duplicates, shingle_hashes
+
+    rows, alike = [], {}
+    for i in range(300):
+        r = random.Random(i)
+        base = sentence(10_000 + i, r.randint(250, 450))
+        other, k = list(base), 0
+        sets = lambda w: set(shingle_hashes(" ".join(w), 5).tolist())
+        a = sets(base)
+        while True:
+            changed = list(other)
+            changed[r.randrange(len(changed))] = f"new{i}x{k}"
+            b, k = sets(changed), k + 1
+            if len(a & b) < (0.8 if i % 4 else 0.7) * len(a | b):
+                break
+            other = changed
+        b = sets(other if i % 4 else changed)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other if i % 4 else changed))]
+        alike[i] = len(a & b) / len(a | b)
+    got = {x["doc_id"]: x["component_id"] for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    found = {i: got[2 * i + 1] == 2 * i for i in alike}
+    due = [i for i in alike if alike[i] >= 0.8]
+    assert len(due) == 225 and max(alike[i] for i in due) < 0.84
+    assert sum(found[i] for i in due) >= 0.9 * len(due)
+    assert not any(found[i] for i in alike if alike[i] < 0.8)
+
+
+# the queries themselves, on awkward tables
+
+
+@pytest.fixture(scope="module")
+def awkward_dir(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("tables"))
+    spark.createDataFrame(corpus(), DOCS).withColumn("target", F.lit("t")).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (2, 0, 0), (9, None, 1), (9, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    v = np.random.default_rng(1).normal(size=(90, 8)).tolist()
+    vectors = [(i, x, 0) for i, x in enumerate(v)] + [(100, None, 0), (120, [0.0] * 8, 0), (20, v[20], 0)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    return folder
+
+
+def test_op1_query(spark, awkward_dir):
+    from trustloom.llm.queries import op1_simhash
+
+    got = op1_simhash(spark, awkward_dir)
+    want = sorted(((r[0], f"{brute_fingerprint(r[1]):016x}") for r in corpus()), key=repr)
+    assert got.columns[:3] == ["doc_id", "fingerprint", "component_id"]
+    assert sorted(((r["doc_id"], r["fingerprint"]) for r in got.collect()), key=repr) == want
+
+
+def test_op2_query(spark, awkward_dir):
+    from trustloom.llm.queries import op2_mixing
+
+    got = [r.asDict() for r in op2_mixing(spark, awkward_dir).collect()]
+    size = {r[0]: len(words(r[1])) for r in corpus()}
+    of = {}
+    for r in corpus():
+        of[r[3]] = of.get(r[3], 0) + len(words(r[1]))
+    source = {r[0]: r[3] for r in corpus()}
+    assert len(got) == len(corpus())
+    for r in got:
+        assert r["size"] == size[r["doc_id"]] and r["source_size"] == of[source[r["doc_id"]]] and 0 <= r["taken"] <= 2 * r["size"]
+    assert sorted(map(repr, got)) == sorted(repr(r.asDict()) for r in op2_mixing(spark, awkward_dir).collect())
+
+
+def test_op3_query(spark, awkward_dir):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from trustloom.llm.queries import op3_token_files
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    start, want = 0, []
+    for r in sorted(corpus(), key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = np.array([*plain.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4")
+        want.append((r[0], start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert [tuple(r) for r in op3_token_files(spark, awkward_dir).orderBy("start").collect()] == want
+
+
+def test_op4_query(spark, awkward_dir):
+    from trustloom.llm.queries import op4_ann
+
+    v = np.random.default_rng(1).normal(size=(90, 8)).astype(np.float32).astype(float)
+    got: dict = {}
+    for r in op4_ann(spark, awkward_dir).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert abs(r["score"] - v[r["query_id"]] @ v[r["vec_id"]]) < 1e-12
+    want = {q: [int(i) for i in np.argsort(-(v @ v[q]), kind="stable") if i != q][:20] for q in range(0, 90, 20)}
+    assert got == want
+
+
+def test_op9_query(spark, awkward_dir, sf_dir):
+    """The scores are those that the model of the same fit gives row by row."""
+    from trustloom.llm.cotrain import tokens_and_shape, train
+    from trustloom.llm.queries import op9_quality
+
+    few = op9_quality(spark, awkward_dir).collect()
+    assert len(few) == len(corpus())
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = train(docs, labels)
+    rows = docs.collect()
+    want = model.score([tokens_and_shape(r["text"] or "") for r in rows], [(r["lang"], r["source"], r["n_chars"]) for r in rows])
+    got = {r["doc_id"]: r for r in op9_quality(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    for r, w in zip(rows, want):
+        g = got[r["doc_id"]]
+        assert np.allclose((g["score"], g["text_score"], g["metadata_score"]), w, atol=1e-3) and g["keep"] == (g["score"] >= 0.5)
+
+
+def test_op10_query(spark, awkward_dir):
+    from trustloom.llm.queries import op10_imatch
+
+    order = sorted(corpus(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    texts = [r[1] or "" for r in order]
+    want = []
+    for i, (r, text) in enumerate(zip(order, texts)):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + texts[(i + 1) % len(texts)][:half]
+        want.append((r[0], len(text), hashlib.sha256(edited.encode()).hexdigest()))
+    got = op10_imatch(spark, awkward_dir).collect()
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got), key=repr) == sorted(want, key=repr)
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    prints = {r["doc_id"]: r["fingerprint"] for r in got}
+    assert prints[0] == prints[1] == prints[None] and prints[2] == prints[3]
+
+
 # the pipeline
 
 
@@ -537,3 +736,78 @@ def test_pipeline_on_the_smallest_tables(spark, sf_dir):
         assert kept.columns == docs.columns, name
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert {"doc_id", "piece", "sequence_id"} <= set(rows[0].asDict()) and {r["doc_id"] for r in rows} <= {r["doc_id"] for r in docs.collect()}
+
+
+CLASHES = {c: F.lit for c in ("size", "hash", "score", "keep", "n_words", "kept_text", "uid", "key", "_key", "others", "row", "times", "target", "component_id", "a.b")}
+
+
+def stage_rows(spark, rows):
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return frame.withColumns({c: F.lit(c) for c in CLASHES}).repartition(3)
+
+
+@pytest.mark.parametrize("name", ["quality", "near_dedup", "substring_dedup", "mixing"])
+def test_stages_on_awkward_tables(spark, awkward_dir, name):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = stage_rows(spark, [r[:5] for r in corpus()])
+    got = stage(spark, docs, awkward_dir)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert rows and all(r[c] == c for r in rows for c in CLASHES)
+    before = {}
+    for r in corpus():
+        before.setdefault(r[0], []).append(r)
+    assert {r["doc_id"] for r in rows} <= set(before)
+    if name != "substring_dedup":
+        assert all(any((r["text"], r["lang"], r["source"], r["n_chars"]) == x[1:5] for x in before[r["doc_id"]]) for r in rows)
+    assert stage(spark, docs.limit(0), awkward_dir).collect() == []
+
+
+def test_near_dedup_keeps_one_row_of_repeats(spark, awkward_dir):
+    import corpus_pipeline
+
+    copy, other = " ".join(sentence(1, 130)), " ".join(sentence(9, 90))
+    rows = [(1, copy), (1, copy), (None, copy), (None, copy), (2, copy), (2, other), (None, other + " end"), (None, "alone"), (5, None), (6, " ")]
+    docs = stage_rows(spark, [(i, t, "en", "s", None) for i, t in rows])
+    got = corpus_pipeline.near_dedup(spark, docs, awkward_dir).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, copy), (2, other), (None, "alone"), (5, None)], key=repr)
+
+
+def test_substring_stage_against_brute_force(spark, docs):
+    import corpus_pipeline
+
+    first: dict[tuple, int] = {}
+    numbered = sorted((r for r in corpus() if r[0] is not None), key=lambda r: r[0])
+    for d, text, *_ in numbered:
+        w = words(text)
+        for i in range(len(w) - 49):
+            first.setdefault(tuple(w[i : i + 50]), d)
+    want = []
+    for d, text, lang, source, n_chars, *_ in corpus():
+        w = words(text)
+        gone = [False] * len(w)
+        for i in range(len(w) - 49):
+            if d is not None and first[tuple(w[i : i + 50])] < d:
+                gone[i : i + 50] = [True] * 50
+        if any(gone) and all(gone):
+            continue
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        want.append((d, kept if any(gone) else text, lang, source, len(kept) if any(gone) else n_chars))
+    got = corpus_pipeline.substring_dedup(spark, docs.select("doc_id", "text", "lang", "source", "n_chars"), "").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_files_name_their_store(tmp_path):
+    from trustloom.llm.files import committed, reader
+
+    with pytest.raises(ValueError, match="names no store"):
+        reader(f"{tmp_path}/x")
+    with pytest.raises(KeyError), committed(f"file://{tmp_path}/x", 3) as out:
+        out.write(b"half")
+        raise KeyError
+    assert list(tmp_path.iterdir()) == []
+    with committed(f"file:{tmp_path}/x", 4) as out:
+        out.write(b"whole")
+    assert [p.name for p in tmp_path.iterdir()] == ["x"] and reader(f"file:{tmp_path}/x").read() == b"whole"
