@@ -18,6 +18,14 @@ def centroids(vectors: DataFrame) -> DataFrame:
     return means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("c"))
 
 
+def model_digest(vectors: DataFrame) -> DataFrame:
+    """One row, ``model_sha256``: the digest of the nearest-centroid model, by label its components to six decimals."""
+    parts = F.array_join(F.transform("c", lambda p: F.format_string("%.6f", p["x"])), ",")
+    rows = centroids(vectors).filter("label is not null").select("label", F.concat(F.col("label").cast("string"), F.lit(":"), parts).alias("text"))
+    whole = rows.agg(F.sort_array(F.collect_list(F.struct("label", "text"))).alias("a"))  # a row per label
+    return whole.select(F.sha2(F.array_join(F.transform("a", lambda x: x["text"]), ";"), 256).alias("model_sha256"))
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

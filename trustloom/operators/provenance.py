@@ -60,12 +60,12 @@ def _detected(flag: str, yes: str, no: str) -> Column:
     return F.when(F.col(flag).isNotNull(), yes).otherwise(no)
 
 
-def checked(events: DataFrame, recorded: DataFrame, hours: int = HORIZON_HOURS) -> DataFrame:
-    """Every event's provenance with ``replayed`` and ``altered`` (1 or null) and the ``level`` of its type."""
+def checked(events: DataFrame, recorded: DataFrame, model: DataFrame, hours: int = HORIZON_HOURS) -> DataFrame:
+    """Every event's provenance with ``model_sha256`` (of the one row ``model``), ``replayed`` and ``altered`` (1 or null) and the ``level`` of its type."""
     bad = replays(events, hours).select("event_id", F.lit(1).alias("replayed"))
     changed = tampered(events, recorded).select("event_id", F.lit(1).alias("altered"))
     levels = integrity(events, hours).select("event_type", "level")
-    known = provenance(events).join(events.select("event_id", "event_type", "ts", "value"), "event_id")
+    known = provenance(events).join(events.select("event_id", "event_type", "ts", "value"), "event_id").join(F.broadcast(model))  # one row
     return known.join(bad, "event_id", "left").join(changed, "event_id", "left").join(levels, "event_type", "left")
 
 
@@ -76,9 +76,10 @@ def provenance_rows(events: DataFrame) -> DataFrame:
     )
     rows = F.array(
         item(0, "Input SHA256", F.col("input_shown"), True),
-        item(1, "Config Hash", short_digest(F.col("config_sha256")), True),
-        item(2, "Nonce ID", F.col("nonce"), True),
-        item(3, "Replay Check", _detected("replayed", "Failed", "Passed"), False),
+        item(1, "Model Digest", short_digest(F.col("model_sha256")), True),
+        item(2, "Config Hash", short_digest(F.col("config_sha256")), True),
+        item(3, "Nonce ID", F.col("nonce"), True),
+        item(4, "Replay Check", _detected("replayed", "Failed", "Passed"), False),
     )
     return events.select("event_id", F.inline(rows))
 

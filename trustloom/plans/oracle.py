@@ -116,15 +116,19 @@ _LEVELS = f"""rates AS (
   levels AS (SELECT name, round(rate, 6) AS rate, {_LEVEL.format("round(rate, 6)", 0.02, 0.1, 0.5)} AS level FROM rates)"""
 
 _SHOWN = "strftime(ts, '%-d %b %Y, %I:%M %p')"
-_CHECKED = f"""{_INTEGRITY}, checked AS (
+_CHECKED = f"""{_INTEGRITY}, {_SCORES}, model AS (
+  SELECT sha256(string_agg(label || ':' || parts, ';' ORDER BY label)) AS digest FROM (
+    SELECT other AS label, string_agg(printf('%.6f', m), ',' ORDER BY i) AS parts FROM cent WHERE other IS NOT NULL GROUP BY other)),
+checked AS (
   SELECT e.*, sha256(props)[1:4] || '...' || right(sha256(props), 4) AS input_shown, sha256(event_type)[1:4] || '...' || right(sha256(event_type), 4) AS config_shown,
-    concat_ws('-', user_id, event_type, props) AS nonce, replay_id IS NOT NULL AS replayed,
+    (SELECT digest[1:4] || '...' || right(digest, 4) FROM model) AS model_shown, concat_ws('-', user_id, event_type, props) AS nonce, replay_id IS NOT NULL AS replayed,
     sha256(props) IS DISTINCT FROM sha256(CASE WHEN value >= 1 THEN props ELSE 'changed' END) AS altered, i.level
   FROM events e LEFT JOIN (SELECT event_id AS replay_id FROM replays) r ON replay_id = e.event_id
   LEFT JOIN (SELECT event_type AS kind, level FROM integ) i ON kind = e.event_type)"""
 _PROVENANCE_ROWS = """(SELECT event_id, 0 AS pos, 'Input SHA256' AS label, input_shown AS value, true AS copyable FROM checked
-  UNION ALL SELECT event_id, 1, 'Config Hash', config_shown, true FROM checked UNION ALL SELECT event_id, 2, 'Nonce ID', nonce, true FROM checked
-  UNION ALL SELECT event_id, 3, 'Replay Check', CASE WHEN replayed THEN 'Failed' ELSE 'Passed' END, false FROM checked)"""
+  UNION ALL SELECT event_id, 1, 'Model Digest', model_shown, true FROM checked
+  UNION ALL SELECT event_id, 2, 'Config Hash', config_shown, true FROM checked UNION ALL SELECT event_id, 3, 'Nonce ID', nonce, true FROM checked
+  UNION ALL SELECT event_id, 4, 'Replay Check', CASE WHEN replayed THEN 'Failed' ELSE 'Passed' END, false FROM checked)"""
 _INTEGRITY_ROWS = """(SELECT event_id, 0 AS pos, 'Image Tampering' AS label, CASE WHEN altered THEN 'Failed' ELSE 'Passed' END AS value FROM checked
   UNION ALL SELECT event_id, 1, 'Manipulation Risk', upper(level[1]) || level[2:] FROM checked
   UNION ALL SELECT event_id, 2, 'Replay Attack', CASE WHEN replayed THEN 'Detected' ELSE 'Not Detected' END FROM checked)"""

@@ -156,7 +156,7 @@ def tamper_check(spark: SparkSession, d: str) -> DataFrame:
 
 def _checked(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
-    return provenance.checked(events, _recorded(events))
+    return provenance.checked(events, _recorded(events), anomalies.model_digest(table(spark, d, "embeddings")))
 
 
 def provenance_rows(spark: SparkSession, d: str) -> DataFrame:
