@@ -101,7 +101,8 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: No stage but mixing can be said in SQL.
+#: Training, SimHash and tokenizing can't be said in SQL. Tests hold substring_dedup and packing against brute force, near_dedup against
+#: all pairs of a fixture, and quality against labels that it has not seen.
 ORACLE_SQL = None
 
 
