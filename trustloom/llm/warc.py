@@ -35,6 +35,8 @@ END = "\r\n\r\n"
 #: The line end of the text writer, as Latin-1 text.
 _EMPTY_MEMBER = gzip.compress(b"", mtime=0).decode("latin-1")
 VERSION = "WARC/1.1"
+#: Records of a file at most; a reading task holds one file.
+_FILE_RECORDS = 30_000
 _BATCH_BYTES = 8 << 20
 _RECORDS = (
     "record_id string, type string, concurrent_to string, refers_to string, target_uri string, "
@@ -115,7 +117,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 100) -> None:
 
     lines = joined.select(F.explode(records).alias("record")).mapInArrow(members, "record binary")
     writer = lines.select(F.col("record").cast("string").alias("value")).write.option("compression", "none")
-    writer.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY_MEMBER).text(folder)
+    writer.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY_MEMBER).option("maxRecordsPerFile", _FILE_RECORDS).text(folder)
 
 
 def _inflated(content: bytes) -> Iterator[bytes]:
