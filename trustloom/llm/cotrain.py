@@ -180,7 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = 12_000, taugh
     chosen = ids.join(marks, "doc_id").orderBy(order, "doc_id").limit(labelled_rows)
     chosen = materialise(chosen, "quality-sample")
     # at most labelled_rows ids and marks are broadcast
-    sample = _inputs(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "lang", "source", "n_chars", "text")
+    sample = _inputs(docs).join(F.broadcast(chosen), "doc_id")
+    # one row of each document, however often it is repeated
+    sample = sample.groupBy("doc_id", "good").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("row")).select("doc_id", "good", "row.*")
     sample = _described(sample, "doc_id", "good").withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(4)) == 0)
     sample = materialise(sample, "quality-described")
     model = CoTrained(lexicon=informative_terms(sample.filter("not held"), lexicon_size))
