@@ -8,7 +8,7 @@ labelled rows. Every document is scored on its whole text.
 
 Only the fit is bounded: it takes at most ``labelled_rows`` labelled rows, and of what each view is confident of at most
 ``taught_rows`` rows of each class, in both cases those of smallest hash. The features of all unlabelled documents are
-written once (some 200 bytes a row), so that rounds don't read texts again.
+written once (some 200 bytes a row), so that rounds don't read texts again; texts are never shuffled.
 
 A document is good if its label says quality 1 and not toxic. ``score`` is the probability of good.
 
@@ -22,7 +22,7 @@ others are kept, whatever their names.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Set
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -117,6 +117,12 @@ class CoTrained:
             row[[self.lexicon[t] for t in known & terms]] = 1
         return np.hstack((np.array([s for _, s in found], np.float32), words))
 
+    def text_rows_of_bits(self, bits: list[bytes], shape: list[list[float]]) -> np.ndarray:
+        """The same from packed bits of the lexicon's words."""
+        rows = np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -(-len(self.lexicon) // 8))
+        words = np.unpackbits(rows, axis=1)[:, : len(self.lexicon)].astype(np.float32)
+        return np.hstack((np.array(shape, np.float32), words)) if bits else words
+
     @staticmethod
     def metadata_rows(rows: list[tuple]) -> np.ndarray:
         """``rows``: (lang, source, n_chars)."""
@@ -156,18 +162,24 @@ def _good(labels: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg(F.min((F.coalesce("quality", F.lit(0)) == 1) & ~toxic).cast("int").alias("good"))
 
 
-def _described(docs: DataFrame, *keep: str, known: Set[str] | None = None) -> DataFrame:
-    """``keep``, lang, source, n_chars, and the ``terms`` (of the ``known`` ones, if given) and ``shape`` of each text."""
+def _described(docs: DataFrame, *keep: str, lexicon: dict[str, int] | None = None) -> DataFrame:
+    """``keep``, lang, source, n_chars, and the ``terms`` (with a lexicon, a bit for each of its words) and ``shape`` of each text."""
     kept = [*keep, "lang", "source", "n_chars"]
 
+    def bits(terms: set[str]) -> bytes:
+        row = np.zeros(len(lexicon), np.uint8)
+        row[[lexicon[t] for t in lexicon.keys() & terms]] = 1
+        return np.packbits(row).tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [tokens_and_shape(t.as_py()) for t in batch.column("text")]
-            columns = [batch.column(c) for c in kept]
-            columns += [pa.array([sorted(t if known is None else known & t) for t, _ in found], pa.list_(pa.string())), pa.array([s for _, s in found], pa.list_(pa.float64()))]
+            terms = pa.array([sorted(t) for t, _ in found], pa.list_(pa.string())) if lexicon is None else pa.array([bits(t) for t, _ in found], pa.binary())
+            columns = [batch.column(c) for c in kept] + [terms, pa.array([s for _, s in found], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(columns, [*kept, "terms", "shape"])
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task with less
 
-    made = StructType.fromDDL("terms array<string>, shape array<double>")
+    made = StructType.fromDDL(f"terms {'array<string>' if lexicon is None else 'binary'}, shape array<float>")
     return docs.mapInArrow(run, StructType([*docs.select(*kept).schema, *made]))
 
 
@@ -190,7 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = 12_000, taugh
     def features(rows: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
         got = rows.toArrow().to_pylist()
         got.sort(key=lambda r: (r["doc_id"], r["n_chars"], r["shape"]))
-        text = model.text_rows([(set(r["terms"]), r["shape"]) for r in got])
+        terms, shape = [r["terms"] for r in got], [r["shape"] for r in got]
+        text = model.text_rows_of_bits(terms, shape) if "says" in rows.columns else model.text_rows([(set(t), s) for t, s in zip(terms, shape)])
         return got, text, model.metadata_rows([(r["lang"], r["source"], r["n_chars"]) for r in got])
 
     got, *views = features(sample.withColumn("terms", F.array_intersect("terms", F.lit(list(model.lexicon)).cast("array<string>"))))
@@ -224,11 +237,12 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = 12_000, taugh
 
 def _unlabelled(docs: DataFrame, marks: DataFrame, model: CoTrained) -> DataFrame:
     """Features of all documents without a label: their words of the lexicon, shape and metadata."""
-    rest = _inputs(docs).filter("doc_id is not null").join(marks.select("doc_id"), "doc_id", "left_anti")
-    return _described(rest.select("doc_id", "lang", "source", "n_chars", "text"), "doc_id", known=frozenset(model.lexicon))
+    known = _inputs(docs).filter("doc_id is not null")
+    described = _described(known, "doc_id", lexicon=dict(model.lexicon))
+    return described.join(marks.select("doc_id"), "doc_id", "left_anti")  # features are joined, not texts
 
 
-_FEATURES = "doc_id bigint, lang string, source string, n_chars bigint, terms array<string>, shape array<double>"
+_FEATURES = "doc_id bigint, lang string, source string, n_chars bigint, terms binary, shape array<float>"
 
 
 def _confident(unlabelled: DataFrame, model: CoTrained, scales: list[Logistic], confident: float) -> DataFrame:
@@ -239,7 +253,7 @@ def _confident(unlabelled: DataFrame, model: CoTrained, scales: list[Logistic],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, scales = held.value
         for batch in (b for b in batches if b.num_rows):
-            text = model.text_rows([(set(t), s) for t, s in zip(batch.column("terms").to_pylist(), batch.column("shape").to_pylist())])
+            text = model.text_rows_of_bits(batch.column("terms").to_pylist(), batch.column("shape").to_pylist())
             metadata = model.metadata_rows(list(zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))))
             says = []
             for view, scale, x in zip((model.text_view, model.metadata_view), scales, (text, metadata)):
