@@ -86,8 +86,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int
     w, b = np.zeros(z.shape[1]), 0.0
     vw, vb, sw, sb = np.zeros_like(w), 0.0, np.zeros_like(w), 0.0
     for t in range(1, steps + 1):  # Adam on the full sample
-        gap = 1 / (1 + np.exp(-np.clip(z @ w + b, -30, 30))) - y
-        gw, gb = z.T @ gap / len(y) + penalty * w, gap.mean()
+        gap = 1 / (1 + np.exp(-np.clip(z @ w.astype(np.float32) + b, -30, 30))) - y
+        gw, gb = z.T @ gap.astype(np.float32) / len(y) + penalty * w, gap.mean()
         vw, vb = 0.9 * vw + 0.1 * gw, 0.9 * vb + 0.1 * gb
         sw, sb = 0.99 * sw + 0.01 * gw * gw, 0.99 * sb + 0.01 * gb * gb
         rate, c1, c2 = 0.05, 1 - 0.9**t, 1 - 0.99**t
