@@ -172,11 +172,13 @@ def _described(docs: DataFrame, *keep: str, lexicon: dict[str, int] | None = Non
         return np.packbits(row).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [tokens_and_shape(t.as_py()) for t in batch.column("text")]
-            terms = pa.array([sorted(t) for t, _ in found], pa.list_(pa.string())) if lexicon is None else pa.array([bits(t) for t, _ in found], pa.binary())
-            columns = [batch.column(c) for c in kept] + [terms, pa.array([s for _, s in found], pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, "terms", "shape"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                found = [tokens_and_shape(t.as_py()) for t in batch.column("text")]
+                terms = pa.array([sorted(t) for t, _ in found], pa.list_(pa.string())) if lexicon is None else pa.array([bits(t) for t, _ in found], pa.binary())
+                columns = [batch.column(c) for c in kept] + [terms, pa.array([s for _, s in found], pa.list_(pa.float32()))]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, "terms", "shape"])
         pa.default_memory_pool().release_unused()  # the worker waits for its next task with less
 
     made = StructType.fromDDL(f"terms {'array<string>' if lexicon is None else 'binary'}, shape array<float>")
