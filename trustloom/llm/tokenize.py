@@ -79,6 +79,7 @@ class WordTokenizer:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.id_bytes = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.special = [x["content"] for x in spec.get("added_tokens") or []]
@@ -106,12 +107,15 @@ class WordTokenizer:
     @staticmethod
     def _mapped(pre_token: str) -> str:
         """The letters of the bytes, as the vocabulary has them."""
-        if pre_token.isascii() and " " not in pre_token:
-            return pre_token
+        if pre_token.isascii():
+            word = pre_token[1:] if pre_token[:1] == " " else pre_token
+            if " " not in word:
+                return pre_token if word is pre_token else _LETTERS[32] + word
         return pre_token.encode().decode("latin-1").translate(_LETTERS)
 
     def _model_ids(self, pre_token: str) -> bytes:
-        return b"".join([self.id_bytes[t.id] for t in self.tokenizer.model.tokenize(pre_token)])
+        found = self.tokenize(pre_token)
+        return self.id_bytes[found[0].id] if len(found) == 1 else b"".join([self.id_bytes[t.id] for t in found])
 
     def _word_ids(self, word: str) -> bytes:
         t, dropped = self.tokenizer, self.kind == "dropped"
