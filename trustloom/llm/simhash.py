@@ -125,9 +125,10 @@ def ball_links(fps: DataFrame, bits: int = 64, radius: int = 2, key: tuple[str,
     return stars.filter((F.col("a") != F.col("b")) & near).distinct()
 
 
-def _ball_groups(fps: DataFrame, bits: int, key: tuple[str, ...] = ()) -> DataFrame:
+def _ball_groups(fps: DataFrame, bits: int, key: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
     """``variant`` and ``members`` of each value that several of the distinct values ``fp`` of equal ``key`` come to
-    by flipping one of the lowest ``bits`` bits at most; any two values within two of these bits are members of a group."""
+    by flipping one of the lowest ``bits`` bits at most; any two values within two of these bits are members of a group.
+    ``weight``: a column of which each group also has its members' sum."""
     # a table of fingerprints is small to read and large once exploded, so it is spread by what a task emits
     spread = fps.repartition(-(-fps.count() * (bits + 1) // _VARIANTS) or 1)
     flips = F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda i: i)
@@ -136,13 +137,15 @@ def _ball_groups(fps: DataFrame, bits: int, key: tuple[str, ...] = ()) -> DataFr
     room = bits < 63
     mask = flip if room else F.when(i < bits, flip).otherwise(F.lit(0).cast("long"))
     own = {} if room else {"own": (i == bits).cast("int")}
-    variants = spread.select(*key, "fp", F.explode(flips).alias("i")).select(
+    weights = [weight] if weight else []
+    variants = spread.select(*key, "fp", *weights, F.explode(flips).alias("i")).select(
         *key,
+        *weights,
         F.when(i < bits, F.col("fp").bitwiseXOR(flip)).otherwise(F.col("fp")).alias("variant"),
         mask.alias("mask"),
         *[c.alias(name) for name, c in own.items()],
     )
-    groups = variants.groupBy(*key, "variant").agg(F.bit_or("mask").alias("mask"), *[F.max(name).alias(name) for name in own])
+    groups = variants.groupBy(*key, "variant").agg(F.bit_or("mask").alias("mask"), *[F.max(name).alias(name) for name in own], *[F.sum(w).alias(w) for w in weights])
     n = F.bit_count("mask") if room else F.bit_count("mask") + F.col("own")
     groups = groups.filter(n >= 2)
     itself = F.col("mask").bitwiseAND(_bit(F.lit(bits))) != 0 if room else F.col("own") == 1
@@ -153,7 +156,7 @@ def _ball_groups(fps: DataFrame, bits: int, key: tuple[str, ...] = ()) -> DataFr
         ),
         F.when(itself, F.array("variant")).otherwise(F.array().cast("array<bigint>")),
     )
-    return groups.select(*key, "variant", members.alias("members"))
+    return groups.select(*key, *weights, "variant", members.alias("members"))
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -349,7 +352,7 @@ def _similar(members: DataFrame, docs: DataFrame, shingle: int, words: int, simi
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.9, bits: int = 32, crowd: int = 4096
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.9, bits: int = 32, crowd: int = 256
 ) -> DataFrame:
     """``doc_id`` and ``component_id`` of every row with a doc_id: near-duplicates by word shingles.
 
@@ -358,8 +361,9 @@ def near_duplicates(
     many slices as find a pair at ``similarity`` with probability ``recall`` (19 of 32 bits); nearly every closer one is
     found. None of this follows the size of the corpus, so a pair is found or not whatever else is there.
 
-    What meets in a slice is first held against each other on the long fingerprints (16 of each 64 bits); a value at which more than
-    ``crowd`` documents meet makes them one family without that. What this connects is verified by the Jaccard similarity of
+    What meets in a slice is first held against each other on the long fingerprints (16 of each 64 bits). Where more than ``crowd``
+    documents meet, which chance does not bring about, they are one family without that: each is linked to the first document of its
+    value, and the values to each other, so that a crowd gives a row per document and slice. What this connects is verified by the Jaccard similarity of
     the sets of shingles, all pairs of a family where need be. Rows shuffled are a fixed number per document (19 x 33 variants).
 
     Defined results: null text is the empty text, and texts without words are alike; a row without a doc_id gives none; repeated
@@ -371,16 +375,21 @@ def near_duplicates(
     fps = materialise(_set_fingerprints(docs, shingle, words), "near-fps")
     classes = materialise(fps.groupBy("fps", "digest").agg(F.min("doc_id").alias("first")), "near-classes")
     slices = materialise(_keyed_slices(classes, tables, bits), "near-slices")
-    counted = materialise(slices.groupBy("fp").agg(F.count("*").alias("n")), "near-counted")
-    balls = _ball_groups(counted.select("fp"), bits).select(F.xxhash64("variant").alias("g"), F.explode("members").alias("fp"))
-    copies = counted.filter("n > 1").select(F.xxhash64("fp", F.lit(0)).alias("g"), "fp")
-    met = materialise(balls.unionAll(copies).join(slices, "fp").select("g", F.col("first").alias("id")), "near-met")
-    crowds = met.groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter(F.col("n") > crowd).select("g", "least")
-    crowds = materialise(crowds, "near-crowds")
+    counted = materialise(slices.groupBy("fp").agg(F.count("*").alias("n"), F.min("first").alias("lead")), "near-counted")
+    balls = _ball_groups(counted.select("fp", "n"), bits, weight="n").select(F.xxhash64("variant").alias("g"), "members", "n")
+    copies = counted.filter("n > 1").select(F.xxhash64("fp", F.lit(0)).alias("g"), F.array("fp").alias("members"), "n")
+    groups = materialise(balls.unionAll(copies), "near-groups")
+    met = groups.filter(F.col("n") <= crowd).select("g", F.explode("members").alias("fp"))
+    met = materialise(met.join(slices, "fp").select("g", F.col("first").alias("id")), "near-met")
     long = classes.select(F.col("first").alias("id"), "fps")
-    close = _linked_in_groups(met.join(crowds, "g", "left_anti").join(long, "id"), words, _FAMILY_BITS * words)
-    together = met.join(crowds, "g").filter("id != least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
-    close = materialise(close.unionAll(together), "near-close")
+    close = _linked_in_groups(met.join(long, "id"), words, _FAMILY_BITS * words)
+
+    crowded = groups.filter(F.col("n") > crowd).select(F.explode("members").alias("fp"), F.array_min("members").alias("least")).distinct()
+    crowded, leads = materialise(crowded, "near-crowded"), counted.select("fp", "lead")
+    values = crowded.join(leads, "fp").join(leads.select(F.col("fp").alias("least"), F.col("lead").alias("b")), "least")
+    inside = slices.join(crowded.select("fp").distinct(), "fp", "left_semi").join(leads, "fp")
+    together = values.select(F.col("lead").alias("a"), "b").unionAll(inside.select(F.col("first").alias("a"), F.col("lead").alias("b")))
+    close = materialise(close.unionAll(together.filter("a != b").distinct()), "near-close")
     families = connected_components(close).select(F.col("node").alias("id"), F.col("component").alias("family"))
     families = materialise(families.join(long, "id"), "near-families")
     links = materialise(_similar(families, docs, shingle, words, similarity), "near-links")
