@@ -6,8 +6,9 @@ all of them, and the norm of the vector and of its reconstruction are stored. A
 tables of its inner products with the words, scaled by the stored norms; the best are reranked by the exact
 inner product in double precision.
 
-Work is dealt as blocks of queries against blocks of codes, each block of bounded size, with a
-top-k per query and block and a merge. Equal vectors are one class in the index: of each
+Work is dealt as blocks of queries against blocks of codes, each of bounded size. Only codes (some 30 bytes a row)
+are copied to the blocks of queries; each gives its best per query, a merge keeps the best ``rerank`` of each query, and these alone
+are joined to their vectors for the exact scores. Equal vectors are one class in the index: of each
 class only the ``k + 1`` smallest ids can be among the nearest, so a hot vector costs no more than another.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or that hold null or non-finite
@@ -20,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +29,8 @@ from trustloom.llm.common import materialise
 
 #: Words of a codebook.
 WORDS = 256
+#: Queries that are scored together.
+_TILE = 32
 
 
 def usable(vector: Column) -> Column:
@@ -72,20 +74,34 @@ def encode(vectors: np.ndarray, books: np.ndarray, beam: int = 4) -> tuple[np.nd
     return chosen, np.linalg.norm(made, axis=1)
 
 
+def best_by_lookup(codebooks: np.ndarray, code: np.ndarray, scale: np.ndarray, queries: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows and scores of the ``want`` best codes (books x rows) of each query, by tables of its inner products with the words."""
+    tables = codebooks @ queries.T  # books x words x queries
+    scores = np.empty((len(queries), len(scale)), np.float32)
+    for at in range(0, len(scale), 4096):
+        part = code[:, at : at + 4096]
+        sums = tables[0][part[0]]
+        for table, words in zip(tables[1:], part[1:]):
+            sums += table[words]
+        scores[:, at : at + 4096] = (sums * scale[at : at + 4096, None]).T
+    top = np.argpartition(-scores, want - 1, axis=1)[:, :want]
+    return top, np.take_along_axis(scores, top, axis=1)
+
+
 def nearest(
     vectors: DataFrame,
     is_query: Column,
     k: int = 20,
-    books: int = 16,
+    books: int = 32,
     sample_rows: int = 8192,
     rerank: int = 150,
     query_block: int = 4096,
-    code_block: int = 8192,
+    code_block: int = 1 << 18,
 ) -> DataFrame:
     """The ``k`` nearest found of every row for which ``is_query`` holds, among all other rows.
 
     ``vectors``: vec_id and embedding. The codebooks are fitted on at most ``sample_rows`` vectors, the smallest
-    by hash; every row is indexed. In every block of codes the ``rerank`` best by look-up are scored exactly.
+    by hash; every row is indexed. The ``rerank`` best of each query by look-up are scored exactly.
     Returns query_id, rank, vec_id and score.
     """
     valid = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), is_query.alias("q"))
@@ -108,54 +124,50 @@ def nearest(
     codebooks = train_codebooks(np.array([r["v"] for r in sample.toLocalIterator()]), books)
     shared = vectors.sparkSession.sparkContext.broadcast(codebooks)  # books x 256 x dimensions
 
-    count, asked = classes.count(), valid.filter("q").select("vec_id", "v").distinct()
-    asked = materialise(asked, "ann-queries")
-    code_blocks, query_blocks = max(1, -(-count // code_block)), max(1, -(-asked.count() // query_block))
+    asked = materialise(valid.filter("q").select("vec_id", "v").distinct(), "ann-queries")
+    count, queries = classes.count(), asked.count()
+    # smaller blocks of queries where there are few, so that all cores have some; the grid does not change what is found
+    query_block = min(query_block, max(64, -(-queries // (2 * vectors.sparkSession.sparkContext.defaultParallelism))))
+    code_blocks, query_blocks = max(1, -(-count // code_block)), max(1, -(-queries // query_block))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = np.array(batch.column("v").flatten()).reshape(-1, dims)
+            v = batch.column("v").flatten().to_numpy().reshape(-1, dims)
             for at in range(0, len(v), 1024):
                 codes, norms = encode(v[at : at + 1024], shared.value)
-                columns = [batch.column("ids").slice(at, 1024), batch.column("v").slice(at, 1024)]
-                columns += [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float64))]
-                columns += [pa.array(np.linalg.norm(v[at : at + 1024], axis=1)), batch.column("block").slice(at, 1024)]
-                yield pa.RecordBatch.from_arrays(columns, ["ids", "v", "codes", "made_norm", "norm", "block"])
-
-    blocked = classes.withColumn("block", F.pmod(F.xxhash64("v", F.lit(2)), F.lit(code_blocks)).cast("int"))
-    codes = blocked.select("ids", "v", "block").mapInArrow(
-        encoded, "ids array<bigint>, v array<double>, codes binary, made_norm double, norm double, block int"
-    )
+                scale = np.linalg.norm(v[at : at + 1024], axis=1) / np.maximum(norms, 1e-30)
+                columns = [batch.column("class").slice(at, 1024), pa.array([c.tobytes() for c in codes], pa.binary())]
+                columns += [pa.array(scale.astype(np.float32)), batch.column("block").slice(at, 1024)]
+                yield pa.RecordBatch.from_arrays(columns, ["class", "codes", "scale", "block"])
+
+    blocked = classes.withColumn("block", F.pmod(F.xxhash64("class", F.lit(2)), F.lit(code_blocks)).cast("int"))
+    codes = blocked.select("class", "v", "block").mapInArrow(encoded, "class bigint, codes binary, scale float, block int")
     codes = materialise(codes, "ann-codes")
     asked = asked.withColumn("qblock", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int"))
 
-    def search(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple] = []
-        if len(queries) and len(index):
-            v = np.stack(index["v"].to_numpy())
-            code = np.stack([np.frombuffer(c, np.uint8) for c in index["codes"]]).astype(np.intp)
-            scale = index["norm"].to_numpy() / np.maximum(index["made_norm"].to_numpy(), 1e-30)
-            ids = index["ids"].to_list()
-            least = np.array([x[0] for x in ids])
-            want = min(rerank, len(v))
-            for query, own in zip(queries["vec_id"].to_list(), queries["v"]):
-                tables = shared.value @ own.astype(np.float32)  # books x words
-                score = np.zeros(len(v), np.float32)
-                for j in range(books):
-                    score += tables[j][code[:, j]]
-                score *= scale
-                top = np.argpartition(-score, want - 1)[:want]
-                exact = v[top] @ own
-                # the k + 1 best classes hold the k best rows, as the query's own row may be one
-                order = np.lexsort((least[top], -exact))[: k + 1]
-                rows = [(-exact[c], i) for c in order for i in ids[top[c]] if i != query]
-                found += [(query, i, -s) for s, i in sorted(rows)[:k]]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+    def search(own: pa.Table, index: pa.Table) -> pa.Table:
+        code = np.frombuffer(b"".join(index.column("codes").to_pylist()), np.uint8).reshape(-1, books).T
+        scale, classes = index.column("scale").to_numpy(), index.column("class").to_numpy()
+        vectors = own.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dims).astype(np.float32)
+        ids, want = own.column("vec_id").to_numpy(), min(rerank, len(scale))
+        found: list[tuple] = [(ids[:0], classes[:0], scale[:0])]
+        for at in range(0, len(vectors) if want else 0, _TILE):
+            some = vectors[at : at + _TILE]
+            top, score = best_by_lookup(shared.value, code, scale, some, want)
+            found.append((np.repeat(ids[at : at + _TILE], want), classes[top].ravel(), score.ravel()))
+        return pa.table(dict(zip(("query_id", "class", "near"), map(np.concatenate, zip(*found)))))
 
     pair = ["qblock", "block"]
     left = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(code_blocks - 1)))).groupBy(*pair)
     right = codes.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).groupBy(*pair)
-    merged = left.cogroup(right).applyInPandas(search, "query_id bigint, vec_id bigint, score double")
+    near = left.cogroup(right).applyInArrow(search, "query_id bigint, class bigint, near float")
+    merge = Window.partitionBy("query_id").orderBy(F.desc("near"), "class")
+    near = near.withColumn("at", F.row_number().over(merge)).filter(F.col("at") <= rerank).select("query_id", "class").distinct()
+
+    # the exact scores; a class of equal hashes holds several vectors, of which each is scored
+    exact = near.join(classes, "class").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("own")), "query_id")
+    score = F.aggregate(F.zip_with("v", "own", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    pairs = exact.select("query_id", F.explode("ids").alias("vec_id"), score.alias("score")).filter("vec_id != query_id")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = merged.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    ranked = pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
