@@ -139,6 +139,27 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of highest score for each benchmark item."""
+    from trustloom.llm.lexical import rank_documents
+
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order, by language."""
+    from trustloom.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), part="lang")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document."""
+    from trustloom.llm.weak_supervision import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -150,6 +171,9 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_quality": op9_quality,
     "op10_imatch": op10_imatch,
+    "op11_lexical": op11_lexical,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_toxicity": op13_toxicity,
 }
 
 _ESCAPED = r"regexp_replace({0}, '([<\[])(\\*)(/?s>|/?INST\]|/?ROLE\]|TURN\])', '\1\2\\\3', 'g')"
@@ -182,4 +206,42 @@ SQL: dict[str, str] = {
         CAST(3 + sum(length({_ESCAPED.format("text")}) + CASE WHEN NOT opens THEN 6 WHEN role = 'user' THEN 13
           ELSE 17 + length({_ESCAPED.format("role")}) END) AS BIGINT) AS formatted_chars
       FROM b GROUP BY conv_id""",
+    "op11_lexical": r"""
+      WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        i AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        q AS (SELECT item_id, term, count(*) AS c FROM i GROUP BY item_id, term),
+        p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+        d AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY doc_id),
+        a AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM d),
+        m AS (SELECT doc_id, 25 + (75 * n * big_n) // big_l AS m FROM d, a),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), a),
+        s AS (SELECT item_id, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+          FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+      SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
+    "op12_filter_audit": r"""
+      WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+          list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        f AS (SELECT doc_id, part, CAST(len(ws) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT)
+            + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS INT) + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT)
+            + 16 * CAST(doc_id > min(doc_id) OVER (PARTITION BY text) AS INT) AS mask FROM w),
+        l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS bad FROM labels GROUP BY doc_id),
+        c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(bad), 0) AS bad FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+        b AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+        o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+          FROM b AS a, b AS b, b AS c, b AS d, b AS e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+            AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+        st AS (SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS earlier FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM o)),
+        r AS (SELECT part, filter_order, CAST(step AS INT) AS step, own,
+            CAST(coalesce(sum(n) FILTER (mask & (own | earlier) = 0), 0) AS BIGINT) AS kept,
+            CAST(coalesce(sum(n) FILTER (mask & earlier = 0 AND mask & own <> 0), 0) AS BIGINT) AS removed,
+            CAST(coalesce(sum(n) FILTER (mask & earlier <> 0 AND mask & own <> 0), 0) AS BIGINT) AS redundant,
+            CAST(coalesce(sum(n) FILTER (mask = own), 0) AS BIGINT) AS unique_fails,
+            CAST(coalesce(sum(good) FILTER (mask & earlier = 0 AND mask & own <> 0), 0) AS BIGINT) AS good_lost,
+            CAST(coalesce(sum(bad) FILTER (mask & earlier = 0 AND mask & own <> 0), 0) AS BIGINT) AS toxic_lost
+          FROM c, st GROUP BY part, filter_order, step, own)
+      SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+        CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""",
 }
