@@ -7,7 +7,8 @@ ones a text holds and how densely. A voter fires or does not.
 *Label model.* All documents' votes are counted in Spark by pattern: with 16 voters there are at most 65,536 patterns, whatever the
 number of documents. A latent class model is fitted on the counts by expectation and maximisation: how often each voter fires in either class
 (its accuracy) and, since voters that share words fire together, a tree of dependences, in which each voter depends on the class and on
-the voter with which it has most information in common beyond the class (its correlations). No label is used here, but to start from.
+the voter with which it has most information in common beyond the class (its correlations). The labelled rows anchor the classes: they weigh as
+much as all documents together.
 
 *Classifier.* A logistic model on the words, patterns and their density is fitted to the posterior labels of a bounded sample and scores every
 whole text. Labels, language, source and doc_id are no inputs.
@@ -167,28 +168,28 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -500, 500)))
 
 
-def _fires(votes: np.ndarray, weight: np.ndarray, parent: list[int], p: np.ndarray) -> np.ndarray:
+def _fires(votes: np.ndarray, mass: np.ndarray, parent: list[int]) -> np.ndarray:
+    """``mass``: of each row of votes in either class."""
     out = np.zeros((2, 2, votes.shape[1]))
-    for c, mass in ((0, weight * (1 - p)), (1, weight * p)):
+    for c in (0, 1):
         for j, up in enumerate(parent):
             for value in (0, 1):
                 use = votes[:, up] == bool(value) if up >= 0 else np.ones(len(votes), bool)
-                out[c, value, j] = (mass[use] @ votes[use, j] + 0.5) / (mass[use].sum() + 1)
+                out[c, value, j] = (mass[use, c] @ votes[use, j] + 0.5) / (mass[use, c].sum() + 1)
     return out
 
 
-def _tree(votes: np.ndarray, weight: np.ndarray, p: np.ndarray, least: float = 1e-3) -> list[int]:
+def _tree(votes: np.ndarray, mass: np.ndarray, least: float = 1e-3) -> list[int]:
     """The spanning forest of greatest mutual information between voters, given the class; weaker dependences are left out."""
     m = votes.shape[1]
     info = np.zeros((m, m))
-    total = weight.sum()
-    for mass in (weight * (1 - p), weight * p):
-        share = max(1e-12, mass.sum())
-        one = (mass @ votes) / share
-        both = (votes * mass[:, None]).T @ votes.astype(float) / share
+    for own in mass.T:
+        share = max(1e-12, own.sum())
+        one = (own @ votes) / share
+        both = (votes * own[:, None]).T @ votes.astype(float) / share
         for a, b, joint in ((one, one, both), (one, 1 - one, one[:, None] - both), (1 - one, one, one[None, :] - both), (1 - one, 1 - one, 1 - one[:, None] - one[None, :] + both)):
             joint = np.clip(joint, 1e-12, 1)
-            info += share / total * joint * np.log(joint / np.clip(np.outer(a, b), 1e-12, 1))
+            info += share / mass.sum() * joint * np.log(joint / np.clip(np.outer(a, b), 1e-12, 1))
     parent, inside = [-1] * m, {0}
     while len(inside) < m:
         j, up = max(((j, i) for i in inside for j in range(m) if j not in inside), key=lambda x: (info[x[1], x[0]], -x[0], -x[1]))
@@ -197,14 +198,26 @@ def _tree(votes: np.ndarray, weight: np.ndarray, p: np.ndarray, least: float = 1
     return parent
 
 
-def fit_label_model(votes: np.ndarray, weight: np.ndarray, start: np.ndarray, rounds: int = 60) -> LabelModel:
-    """``votes``: the patterns; ``weight``: how many documents have each; ``start``: a first guess of each pattern's probability of toxic."""
-    p, parent, model = np.clip(start, 0.02, 0.98), [-1] * votes.shape[1], None
+def _fitted(votes: np.ndarray, mass: np.ndarray, parent: list[int]) -> LabelModel:
+    return LabelModel(float(np.clip(mass[:, 1].sum() / mass.sum(), 1e-4, 0.5)), parent, _fires(votes, mass, parent))
+
+
+def fit_label_model(votes: np.ndarray, weight: np.ndarray, start: np.ndarray | None = None, known: np.ndarray | None = None, rounds: int = 60) -> LabelModel:
+    """``votes``: the patterns; ``weight``: how many documents have each; ``known``: how many labelled rows of either class have each.
+
+    The labelled rows give the first model and weigh as much as all documents in each round, so the classes stay those
+    of the labels. Without any, ``start`` is a first guess of each pattern's probability of toxic.
+    """
+    if known is not None:
+        known = known * (weight.sum() / known.sum())
+        p = _fitted(votes, known, _tree(votes, known)).posterior(votes)
+    else:
+        p, known = np.clip(start, 0.02, 0.98), 0
     for turn in range(rounds):
-        if turn % 10 == 0 and turn < rounds - 10:  # what voters have in common beyond the class, as it is known by now
-            parent = _tree(votes, weight, p)
-        prior = float(np.clip((weight @ p) / weight.sum(), 1e-4, 0.5))
-        model = LabelModel(prior, parent, _fires(votes, weight, parent, p))
+        mass = weight[:, None] * np.stack((1 - p, p), 1) + known
+        if turn % 10 == 0:  # what voters have in common beyond the class, as it is known by now
+            parent = _tree(votes, mass)
+        model = _fitted(votes, mass, parent)
         p = model.posterior(votes)
     return model
 
@@ -294,10 +307,10 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = 20_000, grams
     own = _unpacked(known, len(model.names))
     y = known.column("toxic").to_numpy()
     cast = votes(*own, model.names)
-    # the start: how often each voter is right where labels are known
-    right = np.clip((cast[y == 1].sum(axis=0) + 0.5) / (cast.sum(axis=0) + 1), 0.02, 0.98)
-    start = np.where(patterns.any(axis=1), (patterns * right).sum(axis=1) / np.maximum(1, patterns.sum(axis=1)), 0.02)
-    model.labels = fit_label_model(patterns, weight, start)
+    place = {x: i for i, x in enumerate((patterns @ (1 << np.arange(VOTERS))).tolist())}
+    known_counts = np.zeros((len(patterns), 2))
+    np.add.at(known_counts, ([place[x] for x in (cast @ (1 << np.arange(VOTERS))).tolist()], y), 1)
+    model.labels = fit_label_model(patterns, weight, known=known_counts)
     p = model.labels.posterior(cast)
     if p.min() < 0.5 <= p.max():
         model.linear = fit_logistic(model.inputs(*own), p, penalty=3e-3)
