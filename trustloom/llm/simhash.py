@@ -207,7 +207,10 @@ def _spanning(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
 
 
 def _linked_in_groups(members: DataFrame, words: int, most: int) -> DataFrame:
-    """Links ``a``, ``b`` that connect the rows (``g``, ``id``, ``fps``) of each group ``g`` as all its pairs within ``most`` bits do."""
+    """Links ``a``, ``b`` that connect the documents of each group ``g`` as all its pairs within ``most`` bits do.
+
+    ``members``: a row for each value of a group, with its documents' ``ids`` and, one after the other, their ``fps``.
+    """
 
     def links(g: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
@@ -217,14 +220,16 @@ def _linked_in_groups(members: DataFrame, words: int, most: int) -> DataFrame:
         more = [(at + x, at + y) for at, n in zip(starts[sizes > 2], sizes[sizes > 2]) for x, y in _spanning(fps[at : at + n], most)]
         more = np.array(more, np.int64).reshape(-1, 2)
         a, b = ids[np.concatenate((two, more[:, 0]))], ids[np.concatenate((two + 1, more[:, 1]))]
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            g, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            each = np.diff(batch.column(1).offsets.to_numpy())
+            g, ids = np.repeat(batch.column(0).to_numpy(), each), batch.column(1).flatten().to_numpy()
             fps = batch.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, words)
             cut = int(np.searchsorted(g, g[-1]))  # the last group may go on
             if cut or held and held[0][0][0] != g[0]:
@@ -235,7 +240,7 @@ def _linked_in_groups(members: DataFrame, words: int, most: int) -> DataFrame:
         if held:
             yield links(*map(np.concatenate, zip(*held)))
 
-    dealt = members.select("g", "id", "fps").repartition("g").sortWithinPartitions("g")
+    dealt = members.select("g", "ids", "fps").repartition("g").sortWithinPartitions("g")
     return dealt.mapInArrow(run, "a bigint, b bigint").filter("a != b").distinct()
 
 
@@ -351,38 +356,53 @@ def _similar(members: DataFrame, docs: DataFrame, shingle: int, words: int, simi
     return stars.unionAll(more)
 
 
+def slice_bits(corpus: int, crowd: int) -> int:
+    """The least width, 32 bits or more, at which chance brings no more than a third of ``crowd`` of ``corpus`` documents together."""
+    return next(bits for bits in range(32, 57) if 3 * (1 + bits) * corpus <= crowd << bits)
+
+
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.9, bits: int = 32, crowd: int = 256
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.9, corpus: int = 10**10, crowd: int = 256
 ) -> DataFrame:
     """``doc_id`` and ``component_id`` of every row with a doc_id: near-duplicates by word shingles.
 
     Texts of this similarity differ in about 15 % of their SimHash bits, too many for a ball around 64 bits. So the
-    fingerprint is longer, and the ball hashing (radius 2) is done in slices of it of ``bits`` bits. There are as
+    fingerprint is longer, and the ball hashing (radius 2) is done in slices of it. There are as
     many slices as find a pair at ``similarity`` with probability ``recall`` (19 of 32 bits); nearly every closer one is
-    found. None of this follows the size of the corpus, so a pair is found or not whatever else is there.
+    found. Their width follows ``corpus``, the number of different documents that there may be at most (32 bits up to 10^10, 36 for 10^11, with 30
+    slices), and not those that there are; more are refused. So no pair that is found in a corpus is lost in a larger one.
 
     What meets in a slice is first held against each other on the long fingerprints (16 of each 64 bits). Where more than ``crowd``
-    documents meet, which chance does not bring about, they are one family without that: each is linked to the first document of its
-    value, and the values to each other, so that a crowd gives a row per document and slice. What this connects is verified by the Jaccard similarity of
-    the sets of shingles, all pairs of a family where need be. Rows shuffled are a fixed number per document (19 x 33 variants).
+    documents meet, three times what chance brings about, they are one family without that: each is linked to the first document of its
+    value, and the values to each other, so that a crowd gives a row per document and slice. In a crowd, pairs are verified that
+    might not meet elsewhere. What all this connects is verified by the Jaccard similarity of
+    the sets of shingles, all pairs of a family where need be. Variants shuffled are a fixed number per document (19 x 33).
+    Groups are joined as values, each with the documents that have it, and groups of the same values count once.
 
     Defined results: null text is the empty text, and texts without words are alike; a row without a doc_id gives none; repeated
     rows are copies; texts of equal sets of shingles are alike unverified; an empty table gives no row; other columns are ignored.
     """
     docs = docs.filter("doc_id is not null")
+    bits = slice_bits(corpus, crowd)
     tables = _tables(bits, similarity, recall)
     words = max(4, ceil(tables / (64 // bits)))
     fps = materialise(_set_fingerprints(docs, shingle, words), "near-fps")
     classes = materialise(fps.groupBy("fps", "digest").agg(F.min("doc_id").alias("first")), "near-classes")
+    if classes.count() > corpus:
+        raise ValueError(f"there are more than {corpus} different documents; give a larger corpus")
     slices = materialise(_keyed_slices(classes, tables, bits), "near-slices")
     counted = materialise(slices.groupBy("fp").agg(F.count("*").alias("n"), F.min("first").alias("lead")), "near-counted")
-    balls = _ball_groups(counted.select("fp", "n"), bits, weight="n").select(F.xxhash64("variant").alias("g"), "members", "n")
-    copies = counted.filter("n > 1").select(F.xxhash64("fp", F.lit(0)).alias("g"), F.array("fp").alias("members"), "n")
-    groups = materialise(balls.unionAll(copies), "near-groups")
-    met = groups.filter(F.col("n") <= crowd).select("g", F.explode("members").alias("fp"))
-    met = materialise(met.join(slices, "fp").select("g", F.col("first").alias("id")), "near-met")
+    balls = _ball_groups(counted.select("fp", "n"), bits, weight="n").select(F.array_sort("members").alias("members"), "n")
+    copies = counted.filter("n > 1").select(F.array("fp").alias("members"), "n")
+    groups = materialise(balls.unionAll(copies).groupBy("members").agg(F.first("n").alias("n")), "near-groups")
+    met = groups.filter(F.col("n") <= crowd).select(F.xxhash64("members").alias("g"), F.explode("members").alias("fp"))
+    met = materialise(met, "near-met")
     long = classes.select(F.col("first").alias("id"), "fps")
-    close = _linked_in_groups(met.join(long, "id"), words, _FAMILY_BITS * words)
+    # a value of such groups has at most crowd documents
+    have = slices.join(met.select("fp").distinct(), "fp").select("fp", F.col("first").alias("id")).join(long, "id")
+    have = have.groupBy("fp").agg(F.collect_list(F.struct("id", "fps")).alias("docs"))
+    have = materialise(have.select("fp", F.col("docs.id").alias("ids"), F.flatten("docs.fps").alias("fps")), "near-values")
+    close = _linked_in_groups(met.join(have, "fp"), words, _FAMILY_BITS * words)
 
     crowded = groups.filter(F.col("n") > crowd).select(F.explode("members").alias("fp"), F.array_min("members").alias("least")).distinct()
     crowded, leads = materialise(crowded, "near-crowded"), counted.select("fp", "lead")
