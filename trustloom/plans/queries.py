@@ -12,6 +12,7 @@ from trustloom.functions import columns as C
 from trustloom.operators import anomalies, assess, drift, ledger, provenance, quality
 from trustloom.plans import reports
 from trustloom.sources.documents import read_documents, write_documents
+from trustloom.sources.storage import shared_folder
 from trustloom.sources.tables import table
 from trustloom.streaming import streams
 
@@ -314,7 +315,7 @@ def report_by_id(spark: SparkSession, d: str) -> DataFrame:
 
 def json_documents(spark: SparkSession, d: str) -> DataFrame:
     """The audit document written as a JSON file, read again by its schema, and its entries as rows."""
-    path = f"{streams.shared_folder(spark)}/audit-document-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/audit-document-{uuid.uuid4().hex}"
     write_documents(reports.audit_document(audit_ledger(spark, d)).select("document.*"), path)
     return read_documents(spark, path, "audit").select(F.posexplode("entries").alias("pos", "e")).select("pos", "e.*")
 

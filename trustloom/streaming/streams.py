@@ -12,11 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustloom.operators.provenance import HORIZON_HOURS, NONCE
-
-
-def shared_folder(spark: SparkSession) -> str:
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return found.rstrip("/")
+from trustloom.sources.storage import delete, shared_folder
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +60,5 @@ def run_to_table(stream: DataFrame, label: str, mode: str) -> DataFrame:
     else:
         query = writer.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/rows")).start()
     query.awaitTermination()
+    delete(spark, f"{base}/state")
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
