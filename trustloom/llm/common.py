@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trustloom.sources.storage import delete, shared_folder
 from trustloom.sources.tables import table
 
 __all__ = ["SPACE", "WORD", "discard", "free_names", "given", "materialise", "put_back", "quoted", "release", "set_aside", "shared_folder", "shared_path", "table", "text_of", "unpacked", "whole_row", "word_count"]
@@ -16,45 +18,35 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor can reach, with its store: ``spark.checkpoint.dir``, or
-    the warehouse where that is unset (tests, a laptop)."""
-    conf = spark.sparkContext.getConf()
-    path, store = _hadoop(spark, conf.get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir"))
-    return store.makeQualified(path).toString().rstrip("/")
+#: The paths that this run (thread or task) has been given; runs beside it have lists of their own.
+_RUN: ContextVar[list[str]] = ContextVar("paths")
 
 
-def _hadoop(spark: SparkSession, folder: str) -> tuple:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-_GIVEN: list[str] = []
+def _paths() -> list[str]:
+    if _RUN.get(None) is None:
+        _RUN.set([])
+    return _RUN.get()
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; :func:`release` deletes what lies there."""
-    _GIVEN.append(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
-    return _GIVEN[-1]
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path, store = _hadoop(spark, folder)
-    store.delete(path, True)
+    _paths().append(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
+    return _paths()[-1]
 
 
 def given() -> int:
-    """How many paths :func:`shared_path` has given and :func:`release` has not deleted."""
-    return len(_GIVEN)
+    """How many paths :func:`shared_path` has given in this run and :func:`release` has not deleted."""
+    return len(_paths())
 
 
 def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Delete the intermediate tables of this process but for the first ``since`` and the last ``keep``, once what was made of them has been
+    """Delete the intermediate tables of this run but for the first ``since`` and the last ``keep``, once what was made of them has been
     written elsewhere."""
-    gone = _GIVEN[since : len(_GIVEN) - keep]
-    del _GIVEN[since : len(_GIVEN) - keep]
+    paths = _paths()
+    gone = paths[since : len(paths) - keep]
+    del paths[since : len(paths) - keep]
     for folder in gone:
-        _delete(spark, folder)
+        delete(spark, folder)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -72,7 +64,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that :func:`materialise` wrote."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, folder)
+        delete(df.sparkSession, folder)
 
 
 def free_names(taken: list[str], *wanted: str) -> list[str]:

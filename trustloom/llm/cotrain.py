@@ -1,7 +1,7 @@
 """Quality classifier by co-training of a text view and a page-metadata view.
 
 The text view sees a lexicon of informative words and the shape of the text; the metadata view sees the other columns
-(language, source, length; every value of them, by its hash). Both are logistic models. Over rounds, each view scores all
+(length, and each language and source that a thousandth of the labelled sample has, by a weight of its own). Both are logistic models. Over rounds, each view scores all
 unlabelled documents in Spark, and the other view also trains on those of which its calibrated probability is confident. A view
 without signal is never confident and so teaches nothing. The final score joins the calibrated views, fitted on held-out
 labelled rows. Every document is scored on its whole text.
@@ -24,11 +24,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -39,8 +38,8 @@ _TERM = re.compile(r"[^\W\d_]+")
 _UPPER = bytes(range(65, 91))
 _DIGITS = bytes(range(48, 58))
 _MARKS = "!|%$#&*@{}<>"
-#: Places for the values of language and source; rare values may share one.
-_PLACES = 256
+#: A language or source has a weight of its own if so large a share of the labelled sample has it.
+_LEAST_SHARE = 0.001
 
 
 def tokens_and_shape(text: str) -> tuple[set[str], list[float]]:
@@ -96,14 +95,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int
     return Logistic(mean, scale, w, b)
 
 
-@lru_cache(1 << 12)
-def _place(column: str, value: str | None) -> int:
-    return xxhash.xxh64_intdigest(f"{column}:{value is None}:{value}") % _PLACES
-
-
 @dataclass
 class CoTrained:
     lexicon: dict[str, int] = field(default_factory=dict)
+    places: dict[tuple[str, str | None], int] = field(default_factory=dict)
     text_view: Logistic | None = None
     metadata_view: Logistic | None = None
     joint: Logistic | None = None
@@ -123,15 +118,15 @@ class CoTrained:
         words = np.unpackbits(rows, axis=1)[:, : len(self.lexicon)].astype(np.float32)
         return np.hstack((np.array(shape, np.float32), words)) if bits else words
 
-    @staticmethod
-    def metadata_rows(rows: list[tuple]) -> np.ndarray:
+    def metadata_rows(self, rows: list[tuple]) -> np.ndarray:
         """``rows``: (lang, source, n_chars)."""
-        out = np.zeros((len(rows), _PLACES + 2), np.float32)
+        out = np.zeros((len(rows), len(self.places) + 2), np.float32)
         for x, (lang, source, n_chars) in zip(out, rows):
             x[0] = np.log1p(max(0, n_chars or 0))
             x[1] = x[0] ** 2
-            x[2 + _place("lang", lang)] += 1
-            x[2 + _place("source", source)] += 1
+            for value in (("lang", lang), ("source", source)):
+                if value in self.places:
+                    x[2 + self.places[value]] = 1
         return out
 
     def score(self, found: list[tuple[set[str], list[float]]], rows: list[tuple]) -> np.ndarray:
@@ -152,6 +147,15 @@ def informative_terms(sample: DataFrame, size: int) -> dict[str, int]:
     return {r["term"]: i for i, r in enumerate(best.orderBy(F.desc("gain"), "term").limit(size).collect())}
 
 
+def metadata_values(sample: DataFrame) -> dict[tuple[str, str | None], int]:
+    """A column for each language and source that ``_LEAST_SHARE`` of the sample has: a thousand of either at most."""
+    least, found = max(3, ceil(_LEAST_SHARE * sample.count())), []
+    for column in ("lang", "source"):
+        rows = sample.groupBy(column).count().filter(F.col("count") >= least).select(column).collect()
+        found += sorted(((column, r[0]) for r in rows), key=lambda x: (x[1] is not None, x[1] or ""))
+    return {value: i for i, value in enumerate(found)}
+
+
 def _calibrated(view: Logistic, x: np.ndarray, y: np.ndarray) -> Logistic:
     return fit_logistic(view.logit(x)[:, None], y, steps=200)
 
@@ -199,7 +203,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = 12_000, taugh
     sample = sample.groupBy("doc_id", "good").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("row")).select("doc_id", "good", "row.*")
     sample = _described(sample, "doc_id", "good").withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(4)) == 0)
     sample = materialise(sample, "quality-described")
-    model = CoTrained(lexicon=informative_terms(sample.filter("not held"), lexicon_size))
+    fitting = sample.filter("not held")
+    model = CoTrained(lexicon=informative_terms(fitting, lexicon_size), places=metadata_values(fitting))
 
     def features(rows: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
         got = rows.toArrow().to_pylist()

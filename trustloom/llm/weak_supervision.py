@@ -98,7 +98,7 @@ def telling_grams(sample: DataFrame, size: int, least: float = 15.0) -> list[str
     share = k / n
     hit, miss = F.col("k"), F.col("n") - F.col("k")
     term = lambda seen, p: F.when(seen > 0, seen * F.log(seen / (F.col("n") * p))).otherwise(0.0)
-    rows = gram_counts(sample).filter((hit >= 3) & (hit > 0.6 * F.col("n")))
+    rows = materialise(gram_counts(sample), "toxicity-grams").filter((hit >= 3) & (hit > 0.6 * F.col("n")))
     rows = rows.withColumn("ratio", F.round(2 * (term(hit, share) + term(miss, 1 - share)), 6)).filter(F.col("ratio") >= least)
     best = lambda stem: rows.filter(F.endswith("gram", F.lit("*")) == F.lit(stem)).orderBy(F.desc("ratio"), "gram").limit(size).collect()
     chosen = sorted(best(False) + best(True), key=lambda r: (-r["ratio"], r["gram"].endswith("*"), r["gram"]))
