@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _hadoop(spark: SparkSession, folder: str) -> tuple:
@@ -25,3 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
 def delete(spark: SparkSession, folder: str) -> None:
     path, store = _hadoop(spark, folder)
     store.delete(path, True)
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` in the shared folder and read it back: later steps start from it, a lost executor costs no more than its own tasks,
+    and the optimizer knows its size."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
