@@ -5,8 +5,12 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from trustloom.plans.oracle import SQL
-from trustloom.plans.queries import QUERIES
+from trustloom.plans.checks import QUERIES as CHECKS
+from trustloom.plans.checks import SQL as CHECKS_SQL
+from trustloom.plans.oracle import SQL as OTHER_SQL
+from trustloom.plans.queries import QUERIES as OTHERS
+
+QUERIES, SQL = OTHERS | CHECKS, OTHER_SQL | CHECKS_SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 

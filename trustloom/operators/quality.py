@@ -78,6 +78,11 @@ def dataset_quality(flags: DataFrame) -> DataFrame:
         F.count("*").alias("total"),
         *[F.coalesce(_count(f), F.lit(0)).alias(f) for f in ("duplicate", "corrupted", "unlabelled", "suspicious")],
     )
+    return dataset_quality_rows(sums)
+
+
+def dataset_quality_rows(sums: DataFrame) -> DataFrame:
+    """The same from one row of sums: total, duplicate, corrupted, unlabelled, suspicious."""
     labels = (("Duplicates", "duplicate"), ("Corrupted", "corrupted"), ("Missing Labels", "unlabelled"), ("Suspicious", "suspicious"))
     stacked = ", ".join(f"'{label}', {flag}" for label, flag in labels)
     rows = sums.selectExpr("total", f"stack({len(labels)}, {stacked}) AS (label, count)")

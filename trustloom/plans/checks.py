@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustloom.operators import merkle, near_duplicates, triggers
-from trustloom.plans.oracle import _FLAGS
-from trustloom.plans.queries import _flags
+from trustloom.operators import merkle, near_duplicates, quarantine, search_index, triggers
+from trustloom.plans.oracle import _ASSESSED, _FLAGS, _LEDGER, SQL as _OTHERS
+from trustloom.plans.queries import _flags, assessments, audit_ledger
+from trustloom.sources.storage import shared_folder
 from trustloom.sources.tables import table
+from trustloom.streaming import live, streams, uploads
 
 
 def near_duplicate_samples(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +54,56 @@ def trigger_phrases(spark: SparkSession, d: str) -> DataFrame:
     return triggers.trigger_phrases(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (near_duplicate_samples, duplicate_quality, ledger_roots, ledger_verification, ledger_proofs, trigger_phrases)}
+def stream_replay_live(spark: SparkSession, d: str) -> DataFrame:
+    """The replays, as a stream with state finds them."""
+    with live.rocksdb(spark):
+        return streams.run_to_table(live.live_replays(streams.event_stream(spark, d)), "stream-live", "append")
+
+
+def upload_quality(spark: SparkSession, d: str) -> DataFrame:
+    """The quality report after all uploads, from the totals that each upload leaves."""
+    base = _folder(spark, "uploads")
+    taken = uploads.Uploads(spark, base, table(spark, d, "labels"), table(spark, d, "benchmark"))
+    taken.run(streams.landed(spark, d, "documents"), f"{base}/state")
+    return taken.report()
+
+
+def _folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def quarantine_history(spark: SparkSession, d: str) -> DataFrame:
+    """Every quarantine, as recorded."""
+    path = _folder(spark, "quarantine")
+    quarantine.record(quarantine.quarantines(table(spark, d, "events")), path)
+    return spark.read.parquet(path).select("user_id", F.date_format("since", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("since"), F.date_format("until", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("until"))
+
+
+#: Instants of the views; any will do.
+INSTANTS = ("2024-01-10 12:00:00", "2024-01-20 12:00:00")
+
+
+def quarantine_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """The users that were free at either instant."""
+    events = table(spark, d, "events")
+    free = quarantine.free_at(events.select("user_id").distinct(), quarantine.quarantines(events), list(INSTANTS))
+    return free.select(F.date_format("instant", "yyyy-MM-dd HH:mm:ss").alias("instant"), "user_id")
+
+
+#: What is asked in the query of the index: two words of assessments and one of the ledger.
+QUESTION = "Dataset src1 purchase"
+
+
+def search_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """The best of all assessments (datasets, models, inferences) and ledger entries for a question."""
+    assessed = assessments(spark, d).select(F.lit("assessment").alias("kind"), "name", F.concat_ws(" ", "name", "type", "status").alias("text"))
+    entries = audit_ledger(spark, d).select(F.lit("audit").alias("kind"), F.col("target").alias("name"), F.concat_ws(" ", "target", "actor", "action", "status").alias("text"))
+    path = _folder(spark, "index")
+    search_index.write_index(assessed.unionByName(entries), path)
+    return search_index.search(spark, path, QUESTION, k=30)
+
+
+QUERIES = {f.__name__: f for f in (near_duplicate_samples, duplicate_quality, ledger_roots, ledger_verification, ledger_proofs, trigger_phrases, stream_replay_live, upload_quality, quarantine_history, quarantine_as_of, search_ranked)}
 
 _NEAR = r"""
 sh AS (SELECT doc_id, ws, len(ws) AS n FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents)),
@@ -103,6 +156,30 @@ SQL = {
       SELECT * FROM f WHERE lift >= 3""",
 }
 
+_STAYS = """acts AS (SELECT user_id, ts, event_id, event_type = 'error' AS enters FROM events WHERE event_type IN ('error', 'purchase')),
+changes AS (SELECT * FROM (SELECT *, coalesce(lag(enters) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS was FROM acts) WHERE enters <> was),
+stays AS (SELECT user_id, ts AS since, until FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until FROM changes) WHERE enters)"""
+
+SQL |= {
+    "stream_replay_live": _OTHERS["replay_check"],
+    "upload_quality": _OTHERS["dataset_quality"],
+    "quarantine_history": f"WITH {_STAYS} SELECT user_id, strftime(since, '%Y-%m-%d %H:%M:%S.%f') AS since, strftime(until, '%Y-%m-%d %H:%M:%S.%f') AS until FROM stays",
+    "quarantine_as_of": f"""WITH {_STAYS}, t AS (SELECT unnest([{", ".join(f"TIMESTAMP '{x}'" for x in INSTANTS)}]) AS instant), u AS (SELECT DISTINCT user_id FROM events)
+      SELECT strftime(instant, '%Y-%m-%d %H:%M:%S') AS instant, u.user_id FROM t, u
+      WHERE NOT EXISTS (SELECT 1 FROM stays s WHERE s.user_id = u.user_id AND since <= instant AND (until IS NULL OR until > instant))""",
+    "search_ranked": rf"""WITH {_ASSESSED}, entries AS (
+        SELECT 'assessment' AS kind, name, lower(concat_ws(' ', name, type, status)) AS text FROM assessed
+        UNION ALL SELECT 'audit', target, lower(concat_ws(' ', target, actor, action, status)) FROM ({_LEDGER})),
+      t AS (SELECT kind, name, list_filter(string_split_regex(text, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM entries),
+      n AS (SELECT count(*) AS big_n, avg(len(ws)) AS mean FROM t WHERE len(ws) > 0),
+      p AS (SELECT term, kind, name, length, count(*) AS tf FROM (SELECT kind, name, len(ws) AS length, unnest(ws) AS term FROM t) GROUP BY ALL),
+      q AS (SELECT DISTINCT unnest(string_split_regex(lower('{QUESTION}'), '[^\p{{L}}\p{{N}}]+')) AS term),
+      d AS (SELECT term, count(*) AS df FROM p JOIN q USING (term) GROUP BY term),
+      s AS (SELECT kind, name, round(sum(ln(1 + (big_n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
+        FROM p JOIN d USING (term), n GROUP BY kind, name)
+      SELECT CAST(row_number() OVER (ORDER BY score DESC, kind, name) AS INT) AS place, kind, name, score FROM s ORDER BY score DESC, kind, name LIMIT 30""",
+}
+
 
 def _proof_sql() -> str:
     """The digests of a proof are the levels at which a node has a sibling."""

@@ -29,6 +29,11 @@ def delete(spark: SparkSession, folder: str) -> None:
     store.delete(path, True)
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path, store = _hadoop(spark, folder)
+    return store.exists(path)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` in the shared folder and read it back: later steps start from it, a lost executor costs no more than its own tasks,
     and the optimizer knows its size."""

@@ -15,13 +15,16 @@ from trustloom.operators.provenance import HORIZON_HOURS, NONCE
 from trustloom.sources.storage import delete, shared_folder
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event files as a stream; the schema is that of what has landed."""
-    path = f"{sf_dir}/events.parquet"
+def landed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's files as a stream; the schema is that of what has landed."""
+    path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     # a pattern, so that the table may be one file or a folder of files
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(path + "*")
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(path + "*")
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str | None = "2 days") -> DataFrame:
