@@ -539,11 +539,11 @@ def test_imatch_fingerprints(docs, empty):
 
     held = lexicon(docs, 0.0, 20.0)
     got = docs.select("doc_id", "text", fingerprint(F.coalesce("text", F.lit("")), held).alias("f")).collect()
-    assert all(re.fullmatch("[0-9a-f]{256}", r["f"]) for r in got)
+    assert all(re.fullmatch("[0-9a-f]{512}", r["f"]) for r in got)
     by_text: dict = {}
     for r in got:
         by_text.setdefault(r["text"] or "", set()).add(r["f"])
-    assert all(len(x) == 1 for x in by_text.values()) and by_text[""] == {"0" * 256}
+    assert all(len(x) == 1 for x in by_text.values()) and by_text[""] == {"0" * 512}
     base, half = corpus()[0][1], corpus()[0][1].split()
     pairs = [(base, base, 1.0, 1.0), ("", "", 1.0, 1.0), (base, " ".join(half[:65] + sentence(77, 65)), 0.05, 0.8), (base, " ".join(x + "q" for x in half), 0.0, 0.1)]
     frame = docs.sparkSession.createDataFrame(pairs, "a string, b string, low double, high double")
@@ -584,10 +584,10 @@ def test_lexicon_is_exact(spark):
 
     rows = [(i, " ".join([*(["often"] if i < 90 else []), *(["seldom"] if i < 80 else []), *[f"w{i}x{k}" for k in range(300)]])) for i in range(1000)]
     inside = lexicon(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = spark.createDataFrame([("often seldom new",)], "text string").select(F.transform(terms(F.col("text")), inside).alias("x")).first()
+    got = spark.createDataFrame([("often seldom new",)], "text string").select(F.transform(terms(F.col("text")), inside.inside).alias("x")).first()
     assert got["x"] == [False, True, True]
     band = lexicon(spark.createDataFrame(rows, "doc_id long, text string"), 2.42, 2.6)
-    got = spark.createDataFrame([("often seldom w1x1",)], "text string").select(F.transform(terms(F.col("text")), band).alias("x")).first()
+    got = spark.createDataFrame([("often seldom w1x1",)], "text string").select(F.transform(terms(F.col("text")), band.inside).alias("x")).first()
     assert got["x"] == [False, True, False]
 
 

@@ -2,27 +2,27 @@
 
 Terms are the distinct lower-case letter and digit runs of a text, as 64-bit hashes.
 Document frequencies are counted exactly per term, over all documents (a map-side sum); the lexicon is the set of terms whose
-inverse document frequency lies in the band. The band has no upper end by default: rare terms stay, as texts of rare vocabulary have hardly
-any others. So the lexicon is told by the terms that it lacks, those in over e**-2.5 = 8.2 % of the documents. Of these there are
-at most 12.2 times as many as a document has terms on average, whatever the corpus; with an upper end the
-terms in the band are told, e**high times as many at most.
+inverse document frequency lies in the band. The lexicon is told by the terms that are too common, those in over e**-2.5 = 8.2 % of the
+documents. Of these there are at most 12.2 times as many as a document has terms on average, whatever the corpus. The band's upper end is
+the greatest frequency that there is (``high_idf`` infinite): a lower one leaves most documents too few terms, with figures in the README.
+With a lower one the terms in the band are told as well, e**high times as many as a document has at most.
 
-A term of the lexicon falls into at most one of 64 disjoint random subsets, in eight levels of
-eight: a subset of level k holds a share of 2**-(k+1) / 8 of the lexicon. A
+A term of the lexicon falls into one of 128 disjoint random subsets, in eight levels of
+sixteen: a subset of level k holds a share of 2**-(k+1) / 16 of the lexicon. A
 document's fingerprint is, per subset, four hex digits of the hash of its sorted terms in
-it, ``0000`` if it has none. Equal sub-fingerprints mean equal term sets; in subsets so small
-that a document has about one term there, the share of equal ones follows the share of
-common terms. The likeness of two fingerprints therefore counts from the smallest subsets up
-until ``enough`` subsets with terms are met, and is the share of equal ones among these.
+it, ``0000`` if it has none. So two fingerprints tell in how many subsets of each level the texts have any term, and in how
+many their terms differ. As a subset of share q misses all of D terms with probability exp(-q D), both counts have a most likely D: the number of
+terms that either has, and the number that only one has. Likeness is what the second lacks of the first, so it does not depend
+on how many terms fall into a subset.
 
-Defined results: null text is the empty text; a text with fewer than ``LEAST`` terms of the lexicon is
-fingerprinted by all its terms, one without terms has only zeros; two fingerprints
+Defined results: null text is the empty text; a text with fewer than ``LEAST`` terms of the lexicon takes its rarest others as well, up
+to so many, so one term more or less changes one term; one without terms has only zeros; two fingerprints
 of only zeros have likeness 1; repeated rows have equal fingerprints; an empty table gives no row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -32,9 +32,11 @@ from trustloom.llm.common import materialise, text_of
 
 #: Bits of a term's hash below those that choose its subset.
 _LOW_BITS = 20
-LEVELS = SLOTS = 8
-#: Terms of the lexicon that a fingerprint needs; fewer do not tell texts apart.
+LEVELS, SLOTS = 8, 16
+#: Terms that a fingerprint needs, if the text has as many; fewer do not tell texts apart.
 LEAST = 16
+#: Ranges of doc_id at most; their borders are constants of the plan.
+_RANGES = 20_000
 _NOT_A_TERM = r"[^\p{L}\p{N}]+"
 
 
@@ -44,19 +46,41 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, low_idf: float = 2.5, high_idf: float = float("inf")) -> Callable[[Column], Column]:
-    """Whether a term is one with ``low_idf <= ln(documents / df) <= high_idf``."""
-    df = docs.select(F.explode(terms(text_of())).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(F.lit(float(max(1, docs.count()))) / F.col("df"))
-    open_ended = high_idf == float("inf")
-    told = df.filter(idf < low_idf if open_ended else idf.between(low_idf, high_idf)).select("term")
-    listed = sorted(r["term"] for r in told.toLocalIterator())  # bounded as said above
+@dataclass(frozen=True)
+class Lexicon:
+    """``told``: the terms in the band, or with an open upper end (None) all but ``common``, those below the band, rarest first."""
+
+    common: list[int]
+    told: list[int] | None = None
 
-    def inside(term: Column) -> Column:
+    def inside(self, term: Column) -> Column:
+        """Whether a term is in the band."""
+        listed = self.common if self.told is None else self.told
         found = term.isin(listed) if listed else F.lit(False)
-        return ~found if open_ended else found
+        return ~found if self.told is None else found
+
+    def chosen(self, own: Column) -> Column:
+        """The terms of a text (distinct) that are in the band and, up to ``LEAST``, its rarest common ones."""
+
+        def filled(band: Column) -> Column:
+            others = F.filter(F.lit(self.common).cast("array<bigint>"), lambda t: F.array_contains(own, t)) if self.common else F.array().cast("array<bigint>")
+            return F.when(F.size(band) >= LEAST, band).otherwise(F.concat(band, F.slice(others, F.lit(1), F.greatest(F.lit(0), LEAST - F.size(band)))))
 
-    return inside
+        return _let(F.filter(own, self.inside), filled)
+
+
+def lexicon(docs: DataFrame, low_idf: float = 2.5, high_idf: float = float("inf")) -> Lexicon:
+    """The terms with ``low_idf <= ln(documents / df) <= high_idf``."""
+    df = docs.select(F.explode(terms(text_of())).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(F.lit(float(max(1, docs.count()))) / F.col("df"))
+    rows = df.withColumn("low", idf < low_idf)
+    if high_idf == float("inf"):
+        rows = rows.filter("low")
+    else:
+        rows = rows.filter((idf <= high_idf))
+    held = sorted((r["df"], r["term"], r["low"]) for r in rows.toLocalIterator())  # bounded as said above
+    common = [t for _, t, low in held if low]
+    return Lexicon(common, None if high_idf == float("inf") else sorted(t for _, t, low in held if not low))
 
 
 def _let(value: Column, body) -> Column:
@@ -64,8 +88,8 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def fingerprint(text: Column, held: Callable[[Column], Column]) -> Column:
-    """The 256 hex digits of a text."""
+def fingerprint(text: Column, held: Lexicon) -> Column:
+    """The 512 hex digits of a text."""
 
     def digits(mine: Column) -> Column:
         digest = F.lower(F.lpad(F.hex(F.pmod(F.xxhash64(mine), F.lit(65535)) + 1), 4, "0"))
@@ -83,45 +107,59 @@ def fingerprint(text: Column, held: Callable[[Column], Column]) -> Column:
             mask, want = ((1 << k) - 1) << _LOW_BITS, 0
         return _let(F.filter(found, lambda t: t.bitwiseAND(F.lit(mask)) == want), slots)
 
-    def banded(own: Column) -> Column:
-        chosen = F.filter(own, held)
-        return _let(chosen, lambda b: F.sort_array(F.when(F.size(b) >= LEAST, b).otherwise(own)))
+    return _let(terms(text), lambda own: _let(F.sort_array(held.chosen(own)), lambda found: F.concat(*[level(found, k) for k in range(LEVELS)])))
+
 
-    return _let(terms(text), lambda own: _let(banded(own), lambda found: F.concat(*[level(found, k) for k in range(LEVELS)])))
+#: The share of the lexicon that a subset of each level holds; the last level takes what is left.
+SHARES = [2.0 ** -min(k + 1, LEVELS - 1) / SLOTS for k in range(LEVELS)]
 
 
-def likeness(a: Column, b: Column, enough: int = 16) -> Column:
+def _terms_behind(hits: Column) -> Column:
+    """The most likely number of terms of which ``hits`` (one number a level) subsets hold any: the zero of the likelihood's slope, halved in on by
+    its logarithm. More than 2**25 terms fill all subsets alike."""
+    levels = F.arrays_zip(hits.alias("x"), F.array(*[F.lit(q) for q in SHARES]).alias("q"))
+
+    def slope(d: Column) -> Column:
+        one = lambda acc, s: acc + s["q"] * (s["x"] * (1 / (F.exp(s["q"] * d) - 1)) - (SLOTS - s["x"]))
+        return F.aggregate(levels, F.lit(0.0), one)
+
+    def halve(range_: Column, _) -> Column:
+        middle = (range_["low"] + range_["high"]) / 2
+        up = slope(F.pow(F.lit(2.0), middle)) > 0
+        return F.struct(F.when(up, middle).otherwise(range_["low"]).alias("low"), F.when(up, range_["high"]).otherwise(middle).alias("high"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.struct(F.lit(-3.0).alias("low"), F.lit(25.0).alias("high")), halve)
+    return F.pow(F.lit(2.0), _let(found, lambda r: (r["low"] + r["high"]) / 2))
+
+
+def likeness(a: Column, b: Column) -> Column:
     """Estimated share of common terms of two fingerprints, from 0 to 1."""
 
     def level(k: Column) -> Column:
-        pairs = F.transform(
-            F.sequence(F.lit(0), F.lit(SLOTS - 1)),
-            lambda j: F.struct(
-                F.substring(a, (k * SLOTS + j) * 4 + 1, F.lit(4)).alias("a"), F.substring(b, (k * SLOTS + j) * 4 + 1, F.lit(4)).alias("b")
-            ),
-        )
-        return F.filter(pairs, lambda p: (p["a"] != "0000") | (p["b"] != "0000"))
-
-    def step(state: Column, k: Column) -> Column:
-        met = level(k)
-        grown = F.struct(
-            (state["met"] + F.size(met)).alias("met"), (state["same"] + F.size(F.filter(met, lambda p: p["a"] == p["b"]))).alias("same")
-        )
-        return F.when(state["met"] >= enough, state).otherwise(grown)
-
-    counts = F.aggregate(
-        F.sequence(F.lit(LEVELS - 1), F.lit(0), F.lit(-1)), F.struct(F.lit(0).alias("met"), F.lit(0).alias("same")), step
-    )
-    share = _let(counts, lambda c: F.when(c["met"] == 0, F.lit(1.0)).otherwise(c["same"] / c["met"]))
-    return F.when(a == b, F.lit(1.0)).otherwise(share)
+        pair = F.struct(F.substring(a, k * SLOTS * 4 + 1, F.lit(SLOTS * 4)).alias("a"), F.substring(b, k * SLOTS * 4 + 1, F.lit(SLOTS * 4)).alias("b"))
+
+        def counted(p: Column) -> Column:
+            slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda j: F.struct(F.substring(p["a"], j * 4 + 1, F.lit(4)).alias("a"), F.substring(p["b"], j * 4 + 1, F.lit(4)).alias("b")))
+            any_ = lambda s: (s["a"] != "0000") | (s["b"] != "0000")
+            both = lambda s: F.struct(F.size(F.filter(s, any_)).alias("any"), F.size(F.filter(s, lambda x: x["a"] != x["b"])).alias("unlike"))
+            return _let(slots, both)
+
+        return _let(pair, counted)
+
+    def share(levels: Column) -> Column:
+        unlike = F.transform(levels, lambda x: x["unlike"])
+        estimate = 1 - _terms_behind(unlike) / _terms_behind(F.transform(levels, lambda x: x["any"]))
+        return F.when(~F.exists(unlike, lambda x: x > 0), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), estimate)))
+
+    return F.when(a == b, F.lit(1.0)).otherwise(_let(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), level), share))
 
 
 def _borders(docs: DataFrame, rows_per_range: int) -> np.ndarray:
-    """Ids that cut the rows into ranges of about equal size, as many as the input needs: one per ``rows_per_range`` rows up
-    to four times the root of the rows. They come from some 20 ids per range, as in Spark's own range partitioning, and
+    """Ids that cut the rows into ranges of about equal size: one per ``rows_per_range`` rows, and 20,000 at most, as a range is sorted
+    with spills and may be large. They come from some 20 ids per range, as in Spark's own range partitioning, and
     only balance the ranges: any borders give the same result."""
     count = docs.count()
-    ranges = max(1, min(count // rows_per_range, int(4 * count**0.5)))
+    ranges = max(1, min(count // rows_per_range, _RANGES))
     some = docs.filter("doc_id is not null").select("doc_id").sample(fraction=min(1.0, 20 * ranges / max(1, count)), seed=5)
     ids = np.sort(some.toArrow().column(0).to_numpy())
     return np.unique(ids[len(ids) * np.arange(1, ranges) // ranges]) if len(ids) else ids
