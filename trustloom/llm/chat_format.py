@@ -24,11 +24,13 @@ gives no row; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BEGIN, END, TURN = "<s>", "</s>", "[TURN]"
 USER_OPEN, USER_CLOSE, ROLE_OPEN, ROLE_CLOSE = "[INST]", "[/INST]", "[ROLE]", "[/ROLE]"
+#: Code points that are looked through for the start of a span.
+_CHUNK = 1024
 _RESTS = r"(/?s>|/?INST\]|/?ROLE\]|TURN\])"
 
 
@@ -57,64 +59,51 @@ def _runs(turns: Column) -> Column:
     )
 
 
-def _escaped(run: Column) -> Column:
-    """A run with its opening and closing strings and its texts as they are written."""
+def _pieces(run: Column) -> Column:
+    """The texts of a run as they are written, each with what stands before and after it."""
     user = run["role"] == "user"
     opening = F.when(user, USER_OPEN).otherwise(F.concat(F.lit(ROLE_OPEN), escape(run["role"]), F.lit(ROLE_CLOSE)))
-    return F.struct(
-        run["role"].alias("role"),
-        opening.alias("opening"),
-        F.transform(run["texts"], escape).alias("texts"),
-        F.when(user, USER_CLOSE).otherwise(END).alias("closing"),
-    )
-
-
-def _block(run: Column) -> Column:
-    return F.concat(run["opening"], F.array_join(run["texts"], TURN), run["closing"])
-
-
-_SPANS = "array<struct<start:bigint,length:bigint>>"
+    closing = F.when(user, USER_CLOSE).otherwise(END)
 
+    def piece(text: Column, i: Column) -> Column:
+        lead, tail = F.when(i == 0, opening).otherwise(TURN), F.when(i == F.size(run["texts"]) - 1, closing).otherwise("")
+        return F.struct(run["role"].alias("role"), lead.alias("lead"), escape(text).alias("text"), tail.alias("tail"))
 
-def _spans(runs: Column, loss_role: str) -> Column:
-    """Start and length, in code points of the formatted text, of each text of ``loss_role``."""
-
-    def text(state: Column, t: Column) -> Column:
-        length = F.length(t).cast("long")
-        mine = F.array(F.struct(state["at"].alias("start"), length.alias("length")))
-        return F.struct((state["at"] + length + len(TURN)).alias("at"), F.concat(state["spans"], mine).alias("spans"))
-
-    def step(state: Column, run: Column) -> Column:
-        start = F.struct((state["at"] + F.length(run["opening"])).alias("at"), F.array().cast(_SPANS).alias("spans"))
-        inner = F.when(run["role"] == loss_role, F.aggregate(run["texts"], start, text)["spans"]).otherwise(F.array().cast(_SPANS))
-        return F.struct((state["at"] + F.length(_block(run))).alias("at"), F.concat(state["spans"], inner).alias("spans"))
-
-    zero = F.struct(F.lit(len(BEGIN)).cast("long").alias("at"), F.array().cast(_SPANS).alias("spans"))
-    return F.aggregate(runs, zero, step)["spans"]
+    return F.transform(run["texts"], piece)
 
 
 def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """One row per conversation: ``conv_id``, ``formatted`` and ``loss_mask``
-    (spans of the texts that a trainer takes the loss on).
+    (spans, in code points, of the texts that a trainer takes the loss on).
 
     A conversation is one output row, so its turns meet in one row by the
-    nature of the result; conversations are spread by ``conv_id``.
+    nature of the result; conversations are spread by ``conv_id``. Where each text stands is a running sum of
+    lengths, over the turns that are apart for that and are put together again on the same machine; all steps grow with the turns in proportion.
     """
     one = F.struct(
         F.col("turn").alias("turn"),
         F.coalesce(F.col("role"), F.lit("")).alias("role"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
-    runs = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("turns")).select(
-        "conv_id", F.transform(_runs(F.col("turns")), _escaped).alias("runs")
-    )
-    return runs.select(
+    runs = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    pieces = runs.select("conv_id", F.posexplode(F.flatten(F.transform(_runs(F.col("turns")), _pieces))).alias("n", "piece"))
+    length = F.length(F.concat("piece.lead", "piece.text", "piece.tail")).cast("long")
+    before = Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("at", F.coalesce(F.sum(length).over(before), F.lit(0)) + len(BEGIN) + F.length("piece.lead"))
+    whole = pieces.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("n", "piece", "at"))).alias("rows"))
+    mine = F.filter("rows", lambda r: r["piece"]["role"] == loss_role)
+    return whole.select(
         "conv_id",
-        F.concat(F.lit(BEGIN), F.array_join(F.transform("runs", _block), "")).alias("formatted"),
-        _spans(F.col("runs"), loss_role).alias("loss_mask"),
+        F.concat(F.lit(BEGIN), F.array_join(F.transform("rows", lambda r: F.concat(r["piece"]["lead"], r["piece"]["text"], r["piece"]["tail"])), "")).alias("formatted"),
+        F.transform(mine, lambda r: F.struct(r["at"].cast("long").alias("start"), F.length(r["piece"]["text"]).cast("long").alias("length"))).alias("loss_mask"),
     )
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def parse_formatted(formatted: Column) -> Column:
     """The turns of a formatted text, as an array of struct(role, text)."""
     blocks = F.regexp_extract_all(
@@ -125,23 +114,33 @@ def parse_formatted(formatted: Column) -> Column:
 
     def turns(block: Column) -> Column:
         user = F.startswith(block, F.lit(USER_OPEN))
-        role = F.when(user, F.lit("user")).otherwise(
-            unescape(F.substring_index(F.substring(block, len(ROLE_OPEN) + 1, 2**31 - 1), ROLE_CLOSE, 1))
-        )
-        body = F.when(user, F.substring(block, F.lit(len(USER_OPEN) + 1), F.length(block) - len(USER_OPEN + USER_CLOSE))).otherwise(
-            F.substring(
-                block,
-                F.locate(ROLE_CLOSE, block) + len(ROLE_CLOSE),
-                F.length(block) - F.locate(ROLE_CLOSE, block) - len(ROLE_CLOSE) + 1 - len(END),
-            )
-        )
-        return F.transform(
-            F.split(body, r"\[TURN\]", -1), lambda t: F.struct(role.alias("role"), unescape(t).alias("text"))
-        )
+        end = F.when(user, F.lit(len(USER_OPEN))).otherwise(F.locate(ROLE_CLOSE, block) + len(ROLE_CLOSE) - 1)
+        closing = F.when(user, F.lit(len(USER_CLOSE))).otherwise(len(END))
+
+        def cut(at: Column) -> Column:
+            """The role and the body of a block whose body begins after ``at`` code points."""
+            role = F.when(user, F.lit("user")).otherwise(unescape(F.substring(block, F.lit(len(ROLE_OPEN) + 1), at - len(ROLE_OPEN + ROLE_CLOSE))))
+            return F.struct(role.alias("role"), F.split(F.substring(block, at + 1, F.length(block) - at - closing), r"\[TURN\]", -1).alias("texts"))
+
+        return _let(_let(end, cut), lambda x: F.transform(x["texts"], lambda t: F.struct(x["role"].alias("role"), unescape(t).alias("text"))))
 
     return F.flatten(F.transform(blocks, turns))
 
 
 def loss_texts(formatted: Column, mask: Column) -> Column:
-    """The unescaped texts under the loss mask, in order."""
-    return F.transform(mask, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    """The unescaped texts under the loss mask, in order. The text is cut into chunks first, as a place in a long one takes a walk from its start."""
+
+    def read(chunks: Column) -> Column:
+        def text(s: Column) -> Column:
+            end = s["start"] + s["length"]
+
+            def part(c: Column) -> Column:
+                low, high = F.greatest(s["start"], c * _CHUNK), F.least(end, (c + 1) * _CHUNK)
+                return F.substring(F.get(chunks, c.cast("int")), (low - c * _CHUNK + 1).cast("int"), (high - low).cast("int"))
+
+            held = F.sequence(F.floor(s["start"] / _CHUNK), F.floor((end - 1) / _CHUNK))
+            return F.when(s["length"] == 0, "").otherwise(unescape(F.array_join(F.transform(held, part), "")))
+
+        return F.transform(mask, text)
+
+    return _let(F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0)), read)

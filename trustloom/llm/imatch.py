@@ -2,10 +2,9 @@
 
 Terms are the distinct lower-case letter and digit runs of a text, as 64-bit hashes.
 Document frequencies are counted exactly per term, over all documents (a map-side sum); the lexicon is the set of terms whose
-inverse document frequency lies in the band. The lexicon is told by the terms that are too common, those in over e**-2.5 = 8.2 % of the
-documents. Of these there are at most 12.2 times as many as a document has terms on average, whatever the corpus. The band's upper end is
-the greatest frequency that there is (``high_idf`` infinite): a lower one leaves most documents too few terms, with figures in the README.
-With a lower one the terms in the band are told as well, e**high times as many as a document has at most.
+inverse document frequency lies in the band, by default 2.5 to 5: in over 0.67 % and at most 8.2 % of the documents. The terms in the band, and the
+common ones below it, go into the plan as constants. They are at most e**5 = 148 times as many as a document has terms on
+average, whatever the corpus.
 
 A term of the lexicon falls into one of 128 disjoint random subsets, in eight levels of
 sixteen: a subset of level k holds a share of 2**-(k+1) / 16 of the lexicon. A
@@ -15,8 +14,9 @@ many their terms differ. As a subset of share q misses all of D terms with proba
 terms that either has, and the number that only one has. Likeness is what the second lacks of the first, so it does not depend
 on how many terms fall into a subset.
 
-Defined results: null text is the empty text; a text with fewer than ``LEAST`` terms of the lexicon takes its rarest others as well, up
-to so many, so one term more or less changes one term; one without terms has only zeros; two fingerprints
+Defined results: null text is the empty text; a text with fewer than ``LEAST`` terms of the lexicon takes others as well, up
+to so many: first terms above the band, by their hash, then common ones, rarest first; so one term more or less changes one term. A text
+without terms has only zeros; two fingerprints
 of only zeros have likeness 1; repeated rows have equal fingerprints; an empty table gives no row.
 """
 
@@ -48,39 +48,34 @@ def terms(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """``told``: the terms in the band, or with an open upper end (None) all but ``common``, those below the band, rarest first."""
+    """``band``: the terms in the band; ``common``: those below it, rarest first."""
 
+    band: list[int]
     common: list[int]
-    told: list[int] | None = None
 
     def inside(self, term: Column) -> Column:
         """Whether a term is in the band."""
-        listed = self.common if self.told is None else self.told
-        found = term.isin(listed) if listed else F.lit(False)
-        return ~found if self.told is None else found
+        return term.isin(self.band) if self.band else F.lit(False)
 
     def chosen(self, own: Column) -> Column:
-        """The terms of a text (distinct) that are in the band and, up to ``LEAST``, its rarest common ones."""
+        """The terms of a text (distinct) that are in the band and, up to ``LEAST``, others."""
+        common = F.lit(self.common).cast("array<bigint>") if self.common else F.array().cast("array<bigint>")
 
         def filled(band: Column) -> Column:
-            others = F.filter(F.lit(self.common).cast("array<bigint>"), lambda t: F.array_contains(own, t)) if self.common else F.array().cast("array<bigint>")
+            rare = F.array_sort(F.array_except(F.array_except(own, band), common))
+            others = F.concat(rare, F.filter(common, lambda t: F.array_contains(own, t)))
             return F.when(F.size(band) >= LEAST, band).otherwise(F.concat(band, F.slice(others, F.lit(1), F.greatest(F.lit(0), LEAST - F.size(band)))))
 
         return _let(F.filter(own, self.inside), filled)
 
 
-def lexicon(docs: DataFrame, low_idf: float = 2.5, high_idf: float = float("inf")) -> Lexicon:
+def lexicon(docs: DataFrame, low_idf: float = 2.5, high_idf: float = 5.0) -> Lexicon:
     """The terms with ``low_idf <= ln(documents / df) <= high_idf``."""
     df = docs.select(F.explode(terms(text_of())).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(float(max(1, docs.count()))) / F.col("df"))
-    rows = df.withColumn("low", idf < low_idf)
-    if high_idf == float("inf"):
-        rows = rows.filter("low")
-    else:
-        rows = rows.filter((idf <= high_idf))
-    held = sorted((r["df"], r["term"], r["low"]) for r in rows.toLocalIterator())  # bounded as said above
-    common = [t for _, t, low in held if low]
-    return Lexicon(common, None if high_idf == float("inf") else sorted(t for _, t, low in held if not low))
+    told = df.filter(idf <= high_idf).withColumn("low", idf < low_idf)
+    held = sorted((-r["df"], r["term"], r["low"]) for r in told.toLocalIterator())  # bounded as said above
+    return Lexicon([t for _, t, low in held if not low], [t for _, t, low in reversed(held) if low])
 
 
 def _let(value: Column, body) -> Column:
