@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustloom.functions.columns import risk_level, short_digest
+from trustloom.sources.storage import materialise
 
 #: The columns that make up a nonce.
 NONCE = ("user_id", "event_type", "props")
@@ -61,12 +62,17 @@ def _detected(flag: str, yes: str, no: str) -> Column:
 
 
 def checked(events: DataFrame, recorded: DataFrame, model: DataFrame, hours: int = HORIZON_HOURS) -> DataFrame:
-    """Every event's provenance with ``model_sha256`` (of the one row ``model``), ``replayed`` and ``altered`` (1 or null) and the ``level`` of its type."""
-    bad = replays(events, hours).select("event_id", F.lit(1).alias("replayed"))
-    changed = tampered(events, recorded).select("event_id", F.lit(1).alias("altered"))
-    levels = integrity(events, hours).select("event_type", "level")
+    """Every event's provenance with ``model_sha256`` (of the one row ``model``), ``replayed`` and ``altered`` (1 or null) and the ``level`` of its type:
+    the risk by the share of its events that are replays or were altered."""
+    bad = replays(events, hours).select("event_id", F.lit(1).alias("replayed"), F.lit(None).cast("int").alias("altered"))
+    changed = tampered(events, recorded).select("event_id", F.lit(None).cast("int").alias("replayed"), F.lit(1).alias("altered"))
+    marks = bad.unionByName(changed).groupBy("event_id").agg(F.max("replayed").alias("replayed"), F.max("altered").alias("altered"))
+    marks = materialise(marks, "checked-marks")
+    hit = events.select("event_id", "event_type").join(marks, "event_id", "left")
+    rate = F.round(F.avg((F.col("replayed").isNotNull() | F.col("altered").isNotNull()).cast("double")), 6)
+    levels = hit.groupBy("event_type").agg(risk_level(rate, 0.002, 0.01, 0.05).alias("level"))
     known = provenance(events).join(events.select("event_id", "event_type", "ts", "value"), "event_id").join(F.broadcast(model))  # one row
-    return known.join(bad, "event_id", "left").join(changed, "event_id", "left").join(levels, "event_type", "left")
+    return known.join(marks, "event_id", "left").join(levels, "event_type", "left")
 
 
 def provenance_rows(events: DataFrame) -> DataFrame:

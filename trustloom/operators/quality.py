@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustloom.functions.columns import percent, risk_level, risk_tone
+from trustloom.sources.storage import materialise
 
 #: Characters of a short item that are looked for as one.
 GRAM = 8
@@ -33,6 +34,7 @@ def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
     inner = F.filter(inner, lambda w: w != "")
     choices = items.select("item_id", F.explode(F.array_distinct(inner)).alias("word"))
     held = docs.select("doc_id", F.explode(F.array_distinct(words)).alias("word")).join(choices.select("word").distinct(), "word", "left_semi")
+    held = materialise(held, "containing-held")  # once: texts are split for the counts and for the pairs
     counts = held.groupBy("word").agg(F.count("*").alias("n"))
     anchors = choices.join(counts, "word").groupBy("item_id").agg(F.min(F.struct("n", "word")).alias("x")).select("item_id", "x.word")
     pairs = held.join(anchors, "word").select("doc_id", "item_id")

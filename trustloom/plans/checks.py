@@ -7,9 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustloom.operators import merkle, near_duplicates, quarantine, search_index, triggers
-from trustloom.plans.oracle import _ASSESSED, _FLAGS, _LEDGER, SQL as _OTHERS
+from trustloom.operators import anomalies, merkle, near_duplicates, quarantine, search_index, sketches, triggers
+from trustloom.plans.oracle import _ASSESSED, _FLAGS, _LEDGER
+from trustloom.plans.oracle import SQL as _OTHERS
+from trustloom.plans import queries as core
 from trustloom.plans.queries import _flags, assessments, audit_ledger
+from trustloom.sources.documents import read_documents, write_documents
 from trustloom.sources.storage import shared_folder
 from trustloom.sources.tables import table
 from trustloom.streaming import live, streams, uploads
@@ -103,7 +106,36 @@ def search_ranked(spark: SparkSession, d: str) -> DataFrame:
     return search_index.search(spark, path, QUESTION, k=30)
 
 
-QUERIES = {f.__name__: f for f in (near_duplicate_samples, duplicate_quality, ledger_roots, ledger_verification, ledger_proofs, trigger_phrases, stream_replay_live, upload_quality, quarantine_history, quarantine_as_of, search_ranked)}
+def distinct_values(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct values of each event type: exact, and whether sketches merged over its days agree."""
+    return sketches.distinct_check(table(spark, d, "events"), "event_type", "value")
+
+
+def ood_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each label's out-of-distribution threshold by sketch has the rank that it should have."""
+    scores = anomalies.centroid_scores(table(spark, d, "embeddings")).filter("label = other")
+    return sketches.threshold_check(scores, "label", "score", 0.02)
+
+
+def document_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """All five documents, written as JSON and read back by their shapes."""
+    made = {"dataset": core.report_document, "model": core.model_document, "inference": core.inference_document, "dashboard": core.dashboard_document, "audit": core.audit_document}
+    found = None
+    for kind, query in made.items():
+        path = _folder(spark, f"shape-{kind}")
+        query(spark, d).select("document").write.text(path)
+        rows = read_documents(spark, path, kind).filter("_corrupt_record is null").drop("_corrupt_record")
+        rows = rows.select(F.lit(kind).alias("kind"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("document"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def recent_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The dashboard's recent assessments as they are shown: name, and type and date in a line."""
+    return core.recent_assessments(spark, d).select("name", F.concat_ws(" \u00b7 ", "type", "date").alias("line"))
+
+
+QUERIES = {f.__name__: f for f in (near_duplicate_samples, duplicate_quality, ledger_roots, ledger_verification, ledger_proofs, trigger_phrases, stream_replay_live, upload_quality, quarantine_history, quarantine_as_of, search_ranked, distinct_values, ood_thresholds, document_shapes, recent_lines)}
 
 _NEAR = r"""
 sh AS (SELECT doc_id, ws, len(ws) AS n FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents)),
@@ -163,6 +195,13 @@ stays AS (SELECT user_id, ts AS since, until FROM (SELECT *, lead(ts) OVER (PART
 SQL |= {
     "stream_replay_live": _OTHERS["replay_check"],
     "upload_quality": _OTHERS["dataset_quality"],
+    "distinct_values": "SELECT event_type, count(DISTINCT value) AS exact, true AS close FROM events GROUP BY event_type",
+    "ood_thresholds": "SELECT label, count(*) AS n, true AS close FROM embeddings GROUP BY label",
+    "document_shapes": " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, document FROM ({_OTHERS[name]})"
+        for kind, name in (("dataset", "report_document"), ("model", "model_document"), ("inference", "inference_document"), ("dashboard", "dashboard_document"), ("audit", "audit_document"))
+    ),
+    "recent_lines": f"SELECT name, type || ' \u00b7 ' || date AS line FROM ({_OTHERS['recent_assessments']})",
     "quarantine_history": f"WITH {_STAYS} SELECT user_id, strftime(since, '%Y-%m-%d %H:%M:%S.%f') AS since, strftime(until, '%Y-%m-%d %H:%M:%S.%f') AS until FROM stays",
     "quarantine_as_of": f"""WITH {_STAYS}, t AS (SELECT unnest([{", ".join(f"TIMESTAMP '{x}'" for x in INSTANTS)}]) AS instant), u AS (SELECT DISTINCT user_id FROM events)
       SELECT strftime(instant, '%Y-%m-%d %H:%M:%S') AS instant, u.user_id FROM t, u

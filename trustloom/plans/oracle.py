@@ -119,12 +119,13 @@ _SHOWN = "strftime(ts, '%-d %b %Y, %I:%M %p')"
 _CHECKED = f"""{_INTEGRITY}, {_SCORES}, model AS (
   SELECT sha256(string_agg(label || ':' || parts, ';' ORDER BY label)) AS digest FROM (
     SELECT other AS label, string_agg(printf('%.6f', m), ',' ORDER BY i) AS parts FROM cent WHERE other IS NOT NULL GROUP BY other)),
-checked AS (
+marked AS (
   SELECT e.*, sha256(props)[1:4] || '...' || right(sha256(props), 4) AS input_shown, sha256(event_type)[1:4] || '...' || right(sha256(event_type), 4) AS config_shown,
     (SELECT digest[1:4] || '...' || right(digest, 4) FROM model) AS model_shown, concat_ws('-', user_id, event_type, props) AS nonce, replay_id IS NOT NULL AS replayed,
-    sha256(props) IS DISTINCT FROM sha256(CASE WHEN value >= 1 THEN props ELSE 'changed' END) AS altered, i.level
-  FROM events e LEFT JOIN (SELECT event_id AS replay_id FROM replays) r ON replay_id = e.event_id
-  LEFT JOIN (SELECT event_type AS kind, level FROM integ) i ON kind = e.event_type)"""
+    sha256(props) IS DISTINCT FROM sha256(CASE WHEN value >= 1 THEN props ELSE 'changed' END) AS altered
+  FROM events e LEFT JOIN (SELECT event_id AS replay_id FROM replays) r ON replay_id = e.event_id),
+checked AS (SELECT c.*, i.level FROM marked c LEFT JOIN (SELECT kind, {_LEVEL.format("rate", 0.002, 0.01, 0.05)} AS level
+  FROM (SELECT event_type AS kind, round(avg(CAST(CAST(replayed OR altered AS INT) AS DOUBLE)), 6) AS rate FROM marked GROUP BY event_type)) i ON kind = c.event_type)"""
 _PROVENANCE_ROWS = """(SELECT event_id, 0 AS pos, 'Input SHA256' AS label, input_shown AS value, true AS copyable FROM checked
   UNION ALL SELECT event_id, 1, 'Model Digest', model_shown, true FROM checked
   UNION ALL SELECT event_id, 2, 'Config Hash', config_shown, true FROM checked UNION ALL SELECT event_id, 3, 'Nonce ID', nonce, true FROM checked
@@ -141,6 +142,9 @@ _LEDGER = f"""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS time_key,
 _NEWEST = f"(SELECT * FROM ({_LEDGER}) ORDER BY time_key DESC, event_id DESC LIMIT 20)"
 _STATUS_OF = "CASE WHEN {0} < 60 THEN 'Quarantined' WHEN {0} < 75 THEN 'Needs Review' ELSE 'Trusted' END"
 
+_DEFECT = "{{'label': '{0}', 'count': format('{{:,}}', CAST({1} AS BIGINT)), 'percent': CAST(round(round({1} * 100.0 / n, 2)) AS INT)}}"
+_ANOMALY = "{{'name': '{0}', 'level': " + _LEVEL.format("round({1} / n, 6)", 0.02, 0.1, 0.5) + ", 'icon': 'alert'}}"
+
 
 def _drift_list(rows: str) -> str:
     return f"(SELECT list({{'label': label, 'reference': reference, 'uploaded': uploaded}} ORDER BY pos) FROM ({rows}))"
@@ -203,23 +207,35 @@ SQL = {
     "model_document": f"""WITH {_SCORES}, {_TRIGGERS}, {_RISKS}, t AS ({_risk("lang")}),
       e AS (SELECT count(DISTINCT label) AS classes, max(len(embedding)) AS dims, count(*) AS n FROM embeddings),
       m AS (SELECT CAST(round(avg(score)) AS INT) AS score FROM {_MODELS})
-      SELECT CAST(to_json({{'file': {{'name': 'embeddings', 'meta': '', 'status': 'Processed', 'timestamp': CAST(NULL AS VARCHAR)}},
+      SELECT CAST(to_json({{'file': {{'name': 'embeddings', 'meta': '', 'status': 'Processed', 'timestamp': CAST(NULL AS VARCHAR), 'scene': CAST(NULL AS VARCHAR)}},
         'overview': (SELECT [{{'label': 'Model Type', 'value': 'Nearest centroid'}}, {{'label': 'Classes', 'value': CAST(classes AS VARCHAR)}},
           {{'label': 'Input Size', 'value': CAST(dims AS VARCHAR)}}, {{'label': 'Training Samples', 'value': CAST(n AS VARCHAR)}}] FROM e),
         'risks': (SELECT list({{'label': label, 'level': level, 'icon': icon}} ORDER BY label) FROM risks),
         'trainingRisk': (SELECT list({{'label': lang, 'level': level}} ORDER BY lang) FROM t),
         'summary': {{'percent': score, 'label': 'Model Trust Score', 'status': {_STATUS_OF.format("score")}}}}}) AS VARCHAR) AS document FROM m""",
-    "report_by_id": f"""WITH {_ASSESSED}
-      SELECT name AS dataset_id, CAST(to_json({{'file': {{'name': name, 'status': 'Processed'}}, 'summary': {{'percent': score, 'label': 'Dataset Trust Score', 'status': status}}}}) AS VARCHAR)
-        AS document, 'Backend live' AS status, true AS is_live FROM assessed WHERE type = 'Dataset'
-      UNION ALL SELECT '00000000-0000-0000-0000-000000000001', CAST(to_json({{'file': {{'name': 'default', 'status': 'Sample'}},
-        'summary': {{'percent': 0, 'label': 'Dataset Trust Score', 'status': 'Needs Review'}}}}) AS VARCHAR), 'Sample', false""",
+    "report_by_id": f"""WITH {_FLAGS}, k AS (SELECT unnest(['corrupted', 'duplicate', 'suspicious']) AS rule, unnest(['Corrupted Sample', 'Duplicate Sample', 'Suspicious Pattern']) AS chip),
+      shown AS (SELECT source, rule, chip, doc_id, row_number() OVER (PARTITION BY source, rule ORDER BY doc_id) AS place FROM flags, k
+        WHERE CASE rule WHEN 'corrupted' THEN corrupted WHEN 'duplicate' THEN duplicate ELSE suspicious END),
+      ev AS (SELECT source, list({{'scene': CAST(NULL AS VARCHAR), 'chip': [chip, 'Document ' || doc_id]}} ORDER BY rule, place) AS evidence FROM shown WHERE place <= 3 GROUP BY source),
+      g AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, sum(CAST(corrupted AS INT)) AS c, sum(CAST(duplicate AS INT)) AS d, sum(CAST(unlabelled AS INT)) AS u, sum(CAST(suspicious AS INT)) AS s,
+          round(avg(CAST(CAST(duplicate OR corrupted OR suspicious AS INT) AS DOUBLE)), 6) AS rate, count(DISTINCT lang) AS domains, string_agg(DISTINCT lang, ', ' ORDER BY lang) AS languages FROM flags GROUP BY source),
+      h AS (SELECT *, CAST(greatest(0, least(100, round(100 - (d * 100.0 / n * 0.8 + c * 100.0 / n * 1.2 + s * 100.0 / n * 2.0 + u * 100.0 / n * 0.1)))) AS INT) AS score FROM g)
+      SELECT 'dataset-' || source AS dataset_id, CAST(to_json({{
+        'file': {{'name': 'dataset-' || source, 'meta': '', 'status': 'Processed', 'timestamp': CAST(NULL AS VARCHAR), 'scene': CAST(NULL AS VARCHAR)}},
+        'overview': [{{'label': 'Total Samples', 'value': format('{{:,}}', CAST(n AS BIGINT))}}, {{'label': 'Domains', 'value': CAST(domains AS VARCHAR)}}, {{'label': 'Contributors', 'value': '1'}}, {{'label': 'Languages', 'value': languages}}],
+        'quality': [{_DEFECT.format("Corrupted", "c")}, {_DEFECT.format("Duplicates", "d")}, {_DEFECT.format("Missing Labels", "u")}, {_DEFECT.format("Suspicious", "s")}],
+        'featureDrift': {_drift_list(_FEATURE)}, 'classDrift': {_drift_list(_CLASS)}, 'domainDrift': {_drift_list(_DOMAIN)},
+        'contributors': [{{'name': source, 'level': {_LEVEL.format("rate", 0.12, 0.2, 0.4)}}}],
+        'anomalies': [{_ANOMALY.format("Corrupted", "c")}, {_ANOMALY.format("Duplicates", "d")}, {_ANOMALY.format("Suspicious", "s")}],
+        'evidence': coalesce(evidence, []), 'summary': {{'percent': score, 'label': 'Dataset Trust Score', 'status': {_STATUS_OF.format("score")}}}}}) AS VARCHAR) AS document, 'Backend live' AS status, true AS is_live
+      FROM h LEFT JOIN ev USING (source)
+      UNION ALL SELECT '00000000-0000-0000-0000-000000000001', '{{"file":{{"name":"default","meta":"","status":"Sample","timestamp":null,"scene":null}},"overview":[],"quality":[],"featureDrift":[],"classDrift":[],"domainDrift":[],"contributors":[],"anomalies":[],"evidence":[],"summary":{{"percent":0,"label":"Dataset Trust Score","status":"Needs Review"}}}}', 'Sample', false""",
     "report_document": f"""WITH {_SCORES}, {_FLAGS}, {_TRIGGERS}, {_LEVELS}, g AS ({_risk("source")}), q AS (
         SELECT 'Duplicates' AS label, sum(CAST(duplicate AS INT)) AS k, count(*) AS n FROM flags UNION ALL SELECT 'Corrupted', sum(CAST(corrupted AS INT)), count(*) FROM flags
         UNION ALL SELECT 'Missing Labels', sum(CAST(unlabelled AS INT)), count(*) FROM flags UNION ALL SELECT 'Suspicious', sum(CAST(suspicious AS INT)), count(*) FROM flags),
-      r AS (SELECT doc_id, 'duplicate' AS rule FROM flags WHERE duplicate
-        UNION ALL SELECT doc_id, 'corrupted' FROM flags WHERE corrupted UNION ALL SELECT doc_id, 'suspicious' FROM flags WHERE suspicious),
-      ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY doc_id) AS place FROM r) WHERE place <= 3),
+      cards AS (SELECT 'label flip' AS rule, CAST(vec_id AS BIGINT) AS id, ['True: ' || label, 'Pred: ' || nearest] AS chip FROM flips
+        UNION ALL SELECT DISTINCT 'suspicious', doc_id, ['Suspicious Pattern'] FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
+      ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY id) AS place FROM cards) WHERE place <= 3),
       o AS (SELECT count(*) AS a, count(DISTINCT lang) AS b, count(DISTINCT source) AS c, string_agg(DISTINCT lang, ', ' ORDER BY lang) AS d FROM documents),
       s AS (SELECT {_SCORE} FROM (SELECT {_RATES} FROM flags))
       SELECT 'documents' AS dataset_id, CAST(to_json({{
@@ -230,7 +246,7 @@ SQL = {
         'featureDrift': {_drift_list(_FEATURE)}, 'classDrift': {_drift_list(_CLASS)}, 'domainDrift': {_drift_list(_DOMAIN)},
         'contributors': (SELECT list({{'name': source, 'level': level}} ORDER BY source) FROM g),
         'anomalies': (SELECT list({{'name': name, 'level': level, 'icon': 'alert'}} ORDER BY name) FROM levels),
-        'evidence': (SELECT list({{'scene': CAST(NULL AS VARCHAR), 'chip': [rule, CAST(doc_id AS VARCHAR)]}} ORDER BY doc_id, rule) FROM ev),
+        'evidence': (SELECT list({{'scene': CAST(NULL AS VARCHAR), 'chip': chip}} ORDER BY rule, place) FROM ev),
         'summary': {{'percent': score, 'label': 'Trust score', 'status': {_STATUS_OF.format("score")}}}}}) AS VARCHAR) AS document FROM s""",
     "evidence_topk": f"""WITH {_FLAGS}, r AS (SELECT doc_id, 'duplicate' AS rule FROM flags WHERE duplicate
         UNION ALL SELECT doc_id, 'corrupted' FROM flags WHERE corrupted UNION ALL SELECT doc_id, 'suspicious' FROM flags WHERE suspicious)

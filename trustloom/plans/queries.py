@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trustloom.functions import columns as C
@@ -124,10 +124,13 @@ def evidence_topk(spark: SparkSession, d: str) -> DataFrame:
     return anomalies.evidence(_flags(spark, d))
 
 
+def _cards(spark: SparkSession, d: str) -> DataFrame:
+    return anomalies.evidence_chips(label_flips(spark, d), suspicious_samples(spark, d))
+
+
 def evidence_chips(spark: SparkSession, d: str) -> DataFrame:
     """The chips of the evidence cards, one row each."""
-    cards = anomalies.evidence_chips(label_flips(spark, d), suspicious_samples(spark, d))
-    return cards.select("rule", "place", "id", F.posexplode("chip").alias("pos", "chip"))
+    return _cards(spark, d).select("rule", "place", "id", F.posexplode("chip").alias("pos", "chip"))
 
 
 def overview_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -265,7 +268,7 @@ def report_document(spark: SparkSession, d: str) -> DataFrame:
     """The dataset document as JSON."""
     done = reports.dataset_document(
         dataset_overview(spark, d), dataset_quality(spark, d), drift_series(spark, d), contributor_risk(spark, d),
-        anomaly_levels(spark, d), evidence_topk(spark, d), trust_score(spark, d), "documents",
+        anomaly_levels(spark, d), _cards(spark, d), trust_score(spark, d), "documents",
     )
     return _json(done, "dataset_id")
 
@@ -276,7 +279,8 @@ def _json(documents: DataFrame, *keys: str) -> DataFrame:
 
 def dashboard_document(spark: SparkSession, d: str) -> DataFrame:
     whole = assessments(spark, d)
-    recent = whole.limit(5).withColumn("place", F.monotonically_increasing_id())  # five rows of one sorted partition
+    order = Window.orderBy(F.to_date("date", C.DATE_FORMAT).desc(), "name")
+    recent = whole.limit(5).withColumn("place", F.row_number().over(order))  # five rows
     return _json(reports.dashboard_document(assess.kpis(whole), recent))
 
 
@@ -300,17 +304,14 @@ def model_document(spark: SparkSession, d: str) -> DataFrame:
 
 
 def report_by_id(spark: SparkSession, d: str) -> DataFrame:
-    """Reports looked up by dataset id; an id without one gets the default document."""
-    live = _assessed(spark, d).filter("type = 'Dataset'")
-    summary = lambda score, status: F.struct(score.alias("percent"), F.lit("Dataset Trust Score").alias("label"), status.alias("status"))
-    document = lambda name, state, whole: F.struct(F.struct(name.alias("name"), state.alias("status")).alias("file"), whole.alias("summary"))
-    made = document(F.col("name"), F.lit("Processed"), summary(F.col("score"), F.col("status")))
-    live = live.select(F.col("name").alias("dataset_id"), made.alias("document"))
-    asked = table(spark, d, "documents").select(F.concat(F.lit("dataset-"), "source").alias("dataset_id")).distinct()
+    """Whole reports looked up by dataset id; an id without one gets the whole default document."""
+    docs = table(spark, d, "documents")
+    live = reports.contributor_documents(docs, _flags(spark, d), drift_series(spark, d), assess.WEIGHTS)
+    asked = docs.select(F.concat(F.lit("dataset-"), "source").alias("dataset_id")).distinct()
     asked = asked.unionByName(spark.createDataFrame([("00000000-0000-0000-0000-000000000001",)], "dataset_id string"))
-    fallback = document(F.lit("default"), F.lit("Sample"), summary(F.lit(0), F.lit("Needs Review")))
-    found = reports.with_live(asked.select("dataset_id", fallback.alias("document")), live, "dataset_id")
-    return found.select("dataset_id", F.to_json("document").alias("document"), "status", "is_live")
+    asked = asked.withColumn("document", reports.default_dataset())
+    found = reports.with_live(asked, live, "dataset_id")
+    return found.select("dataset_id", F.to_json("document", {"ignoreNullFields": "false"}).alias("document"), "status", "is_live")
 
 
 def json_documents(spark: SparkSession, d: str) -> DataFrame:

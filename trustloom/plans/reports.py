@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trustloom.functions.columns import clamp_pct, live_or_default, live_status, shown_timestamp, trust_status
+from trustloom.functions.columns import clamp_pct, live_or_default, live_status, risk_level, shown_timestamp, trust_status
+from trustloom.sources.documents import SCHEMAS
 
 
 def _rows(df: DataFrame, order: str, **fields: Column) -> DataFrame:
@@ -29,7 +30,7 @@ def dataset_document(overview: DataFrame, quality: DataFrame, drift: DataFrame,
         "quality": _rows(quality, "label", label=F.col("label"), count=F.format_number("count", 0), percent=F.round("percent").cast("int")),
         "contributors": _rows(contributors, "source", name=F.col("source"), level=F.col("level")),
         "anomalies": _rows(levels, "name", name=F.col("name"), level=F.col("level"), icon=F.lit("alert")),
-        "evidence": _rows(evidence, "doc_id", scene=F.lit(None).cast("string"), chip=F.array(F.col("rule"), F.col("doc_id").cast("string"))),
+        "evidence": _array(evidence, [F.col("rule"), F.col("place")], scene=F.lit(None).cast("string"), chip=F.col("chip")),
     }
     for kind in ("feature", "class", "domain"):
         part = drift.filter(F.col("drift_kind") == kind)
@@ -110,12 +111,59 @@ def model_document(overview: DataFrame, risks: DataFrame, training: DataFrame, m
         "trainingRisk": _array(training, [F.col("name")], label=F.col("name"), level=F.col("level")),
         "score": models.agg(F.round(F.avg("score")).cast("int").alias("a")),
     }
-    file = F.struct(F.lit("embeddings").alias("name"), F.lit("").alias("meta"), F.lit("Processed").alias("status"), F.lit(None).cast("string").alias("timestamp"))
+    file = F.struct(F.lit("embeddings").alias("name"), F.lit("").alias("meta"), F.lit("Processed").alias("status"), F.lit(None).cast("string").alias("timestamp"), F.lit(None).cast("string").alias("scene"))
     score = F.col("score")
     summary = F.struct(score.alias("percent"), F.lit("Model Trust Score").alias("label"), trust_status(score).alias("status"))
     return _together(facts, parts).select(F.struct(file.alias("file"), "overview", "risks", "trainingRisk", summary.alias("summary")).alias("document"))
 
 
+#: What the documents of single contributors show of their flags: the label of the count and of the chip.
+_DEFECTS = (("corrupted", "Corrupted", "Corrupted Sample"), ("duplicate", "Duplicates", "Duplicate Sample"), ("unlabelled", "Missing Labels", None), ("suspicious", "Suspicious", "Suspicious Pattern"))
+
+
+def contributor_documents(docs: DataFrame, flags: DataFrame, drift: DataFrame, weights: dict[str, float], k: int = 3) -> DataFrame:
+    """``dataset_id`` and the whole dataset document of every contributor.
+
+    Drift is that of all data; all else is the contributor's own. Evidence are the ``k`` flagged samples of smallest id for each kind.
+    """
+    own = docs.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("lang").alias("domains"), F.array_join(F.array_sort(F.collect_set("lang")), ", ").alias("languages"))
+    bad = F.col("duplicate") | F.col("corrupted") | F.col("suspicious")
+    rates = flags.groupBy("source").agg(F.round(F.avg(bad.cast("double")), 6).alias("rate"), *[F.sum(F.col(f).cast("bigint")).alias(f) for f, *_ in _DEFECTS])
+    place = F.row_number().over(Window.partitionBy("source", "rule").orderBy("doc_id"))
+    kinds = F.array(*[F.when(F.col(f), F.struct(F.lit(f).alias("rule"), F.lit(chip).alias("chip"))) for f, _, chip in _DEFECTS if chip])
+    shown = flags.select("source", "doc_id", F.inline(F.filter(kinds, lambda x: x.isNotNull()))).withColumn("place", place).filter(F.col("place") <= k)
+    item = F.struct("rule", "place", F.struct(F.lit(None).cast("string").alias("scene"), F.array("chip", F.concat(F.lit("Document "), F.col("doc_id").cast("string"))).alias("chip")).alias("x"))
+    evidence = shown.groupBy("source").agg(F.transform(F.sort_array(F.collect_list(item)), lambda r: r["x"]).alias("evidence"))
+    out = own.join(rates, "source").join(evidence, "source", "left")
+    for kind in ("feature", "class", "domain"):
+        part = _rows(drift.filter(F.col("drift_kind") == kind), "pos", label=F.col("label"), reference=F.col("reference"), uploaded=F.col("uploaded"))
+        out = out.join(F.broadcast(part.withColumnRenamed("a", f"{kind}Drift")))  # one row
+    pair = lambda label, value: F.struct(F.lit(label).alias("label"), value.alias("value"))
+    share = lambda f: F.round(F.col(f) * 100.0 / F.col("n"), 2)
+    none = F.lit(None).cast("string")
+    score = clamp_pct(F.round(100 - sum((F.col(f) * 100.0 / F.col("n") * w for f, w in weights.items()), F.lit(0.0)))).cast("int")
+    parts = {
+        "file": F.struct(F.concat(F.lit("dataset-"), "source").alias("name"), F.lit("").alias("meta"), F.lit("Processed").alias("status"), none.alias("timestamp"), none.alias("scene")),
+        "overview": F.array(pair("Total Samples", F.format_number("n", 0)), pair("Domains", F.col("domains").cast("string")), pair("Contributors", F.lit("1")), pair("Languages", F.col("languages"))),
+        "quality": F.array(*[F.struct(F.lit(label).alias("label"), F.format_number(f, 0).alias("count"), F.round(share(f)).cast("int").alias("percent")) for f, label, _ in _DEFECTS]),
+        "featureDrift": F.col("featureDrift"), "classDrift": F.col("classDrift"), "domainDrift": F.col("domainDrift"),
+        "contributors": F.array(F.struct(F.col("source").alias("name"), risk_level(F.col("rate"), 0.12, 0.2, 0.4).alias("level"))),
+        "anomalies": F.array(*[F.struct(F.lit(label).alias("name"), risk_level(F.round(F.col(f) / F.col("n"), 6), 0.02, 0.1, 0.5).alias("level"), F.lit("alert").alias("icon")) for f, label, chip in _DEFECTS if chip]),
+        "evidence": F.coalesce("evidence", F.array().cast("array<struct<scene:string,chip:array<string>>>")),
+        "summary": F.struct(score.alias("percent"), F.lit("Dataset Trust Score").alias("label"), trust_status(score).alias("status")),
+    }
+    return out.select(F.concat(F.lit("dataset-"), "source").alias("dataset_id"), F.struct(*[c.alias(name) for name, c in parts.items()]).alias("document"))
+
+
+#: What is shown for an id without a report.
+DEFAULT_DATASET = """{"file": {"name": "default", "meta": "", "status": "Sample"}, "overview": [], "quality": [], "featureDrift": [], "classDrift": [],
+  "domainDrift": [], "contributors": [], "anomalies": [], "evidence": [], "summary": {"percent": 0, "label": "Dataset Trust Score", "status": "Needs Review"}}"""
+
+
+def default_dataset() -> Column:
+    return F.from_json(F.lit(DEFAULT_DATASET), SCHEMAS["dataset"])
+
+
 def with_live(defaults: DataFrame, live: DataFrame, key: str) -> DataFrame:
     """``key``, ``document`` (the whole live one, else the default), ``status`` and ``is_live``."""
     joined = defaults.join(live.withColumnRenamed("document", "live"), key, "left")
