@@ -244,3 +244,70 @@ def test_stream_leaves_no_state(spark, sf_dir):
     import os
 
     assert os.listdir(folder) == ["rows"]
+
+
+# sketches and documents
+
+
+def test_sketches_of_days_merge(spark):
+    from trustloom.operators import sketches
+
+    events = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("kind"), (F.col("id") % 7001).alias("value"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(cast(id % 20 as int))").alias("ts")
+    )
+    daily = sketches.daily_distinct(events, "kind", "value")
+    assert daily.count() == 40
+    estimates = {r["kind"]: r["estimate"] for r in sketches.merged_distinct(daily, "kind").collect()}
+    assert all(abs(n - 7001) < 350 for n in estimates.values())
+    limits = {r["kind"]: r["threshold"] for r in sketches.thresholds(events, "kind", "value", 0.25).collect()}
+    assert all(abs(x / 7001 - 0.25) < 0.01 for x in limits.values())
+    assert all(r["close"] for r in sketches.threshold_check(events, "kind", "value", 0.02).collect())
+
+
+def test_http_documents_over_their_defaults(spark):
+    """The whole flow: requests, a failed one, a body that is no document, and the default where there is none."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from trustloom.plans import reports
+    from trustloom.sources.http_json import HttpJson
+
+    live = json.loads(reports.DEFAULT_DATASET) | {"file": {"name": "live", "meta": "m", "status": "Processed", "timestamp": "t", "scene": None}, "summary": {"percent": 88, "label": "l", "status": "Trusted"}}
+    bodies = {"/a": json.dumps(live), "/b": '{"other": 1}', "/c": "not json"}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            found = bodies.get(self.path)
+            self.send_response(200 if found else 404)
+            self.end_headers()
+            self.wfile.write((found or "").encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        base = f"http://127.0.0.1:{server.server_port}"
+        urls = spark.createDataFrame([(x, f"{base}/{x}") for x in "abcd"], "dataset_id string, url string")
+        spark.dataSource.register(HttpJson)
+        fetched = spark.read.format("http_json").option("urls", "\n".join(f"{base}/{x}" for x in "abcd")).load()
+        defaults = spark.createDataFrame([(x,) for x in "abcde"], "dataset_id string").withColumn("document", reports.default_dataset())
+        found = {r["dataset_id"]: r for r in reports.overlaid(defaults, fetched, urls, "dataset", "dataset_id").collect()}
+    finally:
+        server.shutdown()
+    assert {x for x, r in found.items() if r["is_live"]} == {"a"}
+    assert found["a"]["document"]["summary"]["percent"] == 88 and found["a"]["document"]["file"]["name"] == "live"
+    assert all(found[x]["document"]["file"]["name"] == "default" and found[x]["document"]["summary"]["percent"] == 0 for x in "bcde")
+
+
+def test_tampering_counts_as_manipulation(spark):
+    from trustloom.operators import provenance
+
+    start = datetime(2024, 1, 1)
+    events = spark.createDataFrame([(i, start + timedelta(days=3 * i), i, "view" if i % 2 else "buy", 1.0, f"p{i}") for i in range(40)], EVENTS)
+    recorded = events.select("event_id", F.sha2(F.when(F.col("event_id") == 1, "other").otherwise(F.col("props")), 256).alias("digest"))
+    model = spark.createDataFrame([("m",)], "model_sha256 string")
+    levels = {r["event_type"]: r["level"] for r in provenance.checked(events, recorded, model).select("event_type", "level").distinct().collect()}
+    assert levels == {"view": "critical", "buy": "low"}

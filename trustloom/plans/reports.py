@@ -164,6 +164,19 @@ def default_dataset() -> Column:
     return F.from_json(F.lit(DEFAULT_DATASET), SCHEMAS["dataset"])
 
 
+def overlaid(defaults: DataFrame, fetched: DataFrame, urls: DataFrame, kind: str, key: str) -> DataFrame:
+    """Documents fetched by HTTP laid over their defaults, whole or not at all.
+
+    ``defaults``: ``key`` and ``document``; ``urls``: ``key`` and ``url``; ``fetched``: ``url`` and ``body``, as the HTTP source gives them. A request that
+    failed, and a body that is no document of this ``kind``, leave the default and its status.
+    """
+    document = F.from_json("body", SCHEMAS[kind], {"mode": "PERMISSIVE"})
+    known = F.get_json_object("body", f"$.{'entries' if kind == 'audit' else 'kpis' if kind == 'dashboard' else 'summary'}").isNotNull()
+    live = urls.join(fetched, "url").select(key, F.when(known, document).alias("document")).filter("document is not null")
+    joined = defaults.join(live.withColumnRenamed("document", "live"), key, "left")
+    return joined.select(key, live_or_default(F.col("live"), F.col("document")).alias("document"), F.col("live").isNotNull().alias("is_live"))
+
+
 def with_live(defaults: DataFrame, live: DataFrame, key: str) -> DataFrame:
     """``key``, ``document`` (the whole live one, else the default), ``status`` and ``is_live``."""
     joined = defaults.join(live.withColumnRenamed("document", "live"), key, "left")
