@@ -769,6 +769,21 @@ def test_stages_on_awkward_tables(spark, awkward_dir, name):
     assert stage(spark, docs.limit(0), awkward_dir).collect() == []
 
 
+def test_packing_stage_on_awkward_tables(spark, awkward_dir):
+    """Every row's pieces hold all its ids, whatever the other columns are called; the null id is carried along."""
+    import corpus_pipeline
+
+    docs = stage_rows(spark, [r[:5] for r in corpus()])
+    rows = corpus_pipeline.packing(spark, docs, awkward_dir).collect()
+    assert {r["doc_id"] for r in rows} == {r[0] for r in corpus()}
+    assert all(0 < r["length"] <= 2048 and r["offset"] + r["length"] <= 2048 for r in rows)
+    places: dict = {}
+    for r in rows:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all([o for o, _ in sorted(p)] == [sum(n for _, n in sorted(p)[:i]) for i in range(len(p))] for p in places.values())
+    assert corpus_pipeline.packing(spark, docs.limit(0), awkward_dir).collect() == []
+
+
 def test_near_dedup_keeps_one_row_of_repeats(spark, awkward_dir):
     import corpus_pipeline
 
