@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustloom.operators import anomalies, merkle, near_duplicates, quarantine, search_index, sketches, triggers
+from trustloom.operators import anomalies, merkle, near_duplicates, neighbours, quarantine, search_index, sketches, triggers
 from trustloom.plans.oracle import _ASSESSED, _FLAGS, _LEDGER
 from trustloom.plans.oracle import SQL as _OTHERS
 from trustloom.plans import queries as core
@@ -135,7 +135,19 @@ def recent_lines(spark: SparkSession, d: str) -> DataFrame:
     return core.recent_assessments(spark, d).select("name", F.concat_ws(" \u00b7 ", "type", "date").alias("line"))
 
 
-QUERIES = {f.__name__: f for f in (near_duplicate_samples, duplicate_quality, ledger_roots, ledger_verification, ledger_proofs, trigger_phrases, stream_replay_live, upload_quality, quarantine_history, quarantine_as_of, search_ranked, distinct_values, ood_thresholds, document_shapes, recent_lines)}
+def neighbour_flips(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of which at least half of the nearest neighbours have one other label."""
+    return neighbours.neighbour_flips(neighbours.neighbours(table(spark, d, "embeddings")))
+
+
+def neighbour_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether small buckets find nine in ten of the neighbours that brute force finds for the rows whose id is divisible by 100."""
+    vectors = table(spark, d, "embeddings")
+    measured = neighbours.recall(neighbours.neighbours(vectors, leaf=64), vectors, F.col("vec_id") % 100 == 0)
+    return measured.select("queries", (F.col("recall") >= 0.9).alias("close"))
+
+
+QUERIES = {f.__name__: f for f in (neighbour_flips, neighbour_recall, near_duplicate_samples, duplicate_quality, ledger_roots, ledger_verification, ledger_proofs, trigger_phrases, stream_replay_live, upload_quality, quarantine_history, quarantine_as_of, search_ranked, distinct_values, ood_thresholds, document_shapes, recent_lines)}
 
 _NEAR = r"""
 sh AS (SELECT doc_id, ws, len(ws) AS n FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents)),
@@ -193,6 +205,14 @@ changes AS (SELECT * FROM (SELECT *, coalesce(lag(enters) OVER (PARTITION BY use
 stays AS (SELECT user_id, ts AS since, until FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until FROM changes) WHERE enters)"""
 
 SQL |= {
+    "neighbour_flips": """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        u AS (SELECT vec_id, label, v, sqrt(list_inner_product(v, v)) AS l FROM e),
+        s AS (SELECT a.vec_id, a.label, b.vec_id AS other_id, b.label AS other, round(list_inner_product(a.v, b.v) / a.l / b.l, 9) AS score FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+        k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, other_id) AS place FROM s),
+        v AS (SELECT vec_id, label, other, count(*) AS votes, sum(count(*)) OVER (PARTITION BY vec_id) AS n FROM k WHERE place <= 10 GROUP BY vec_id, label, other),
+        b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, other) AS place FROM v)
+      SELECT vec_id, label, other AS nearest, votes FROM b WHERE place = 1 AND other <> label AND 2 * votes >= n""",
+    "neighbour_recall": "SELECT count(*) AS queries, true AS close FROM embeddings WHERE vec_id % 100 = 0",
     "stream_replay_live": _OTHERS["replay_check"],
     "upload_quality": _OTHERS["dataset_quality"],
     "distinct_values": "SELECT event_type, count(DISTINCT value) AS exact, true AS close FROM events GROUP BY event_type",
