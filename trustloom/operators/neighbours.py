@@ -168,12 +168,13 @@ def neighbour_flips(near: DataFrame) -> DataFrame:
 def recall(near: DataFrame, vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     """One row: the ``queries`` (a condition on vec_id; a stated share of the rows) held against all rows in blocks, and the ``recall`` of ``near``."""
     rows, _ = _classes(vectors, k)
-    asked = rows.filter(queries).select(F.col("vec_id").alias("a"), F.col("v").alias("u"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
+    rows = rows.select("vec_id", "v", F.sqrt(dot("v", "v")).alias("length"))
+    asked = rows.filter(queries).select(F.col("vec_id").alias("a"), F.col("v").alias("u"), F.col("length").alias("length_a"))
     blocks = max(1, -(-asked.count() // 1024))
     left = asked.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int"))
-    right = rows.select(F.col("vec_id").alias("b"), "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    score = F.round(dot("u", "v") / F.sqrt(dot("u", "u")) / F.sqrt(dot("v", "v")), 9)
+    right = rows.select(F.col("vec_id").alias("b"), "v", "length", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    score = F.round(dot("u", "v") / F.col("length_a") / F.col("length"), 9)
     pairs = left.join(right, "block").filter("a != b").select("a", "b", score.alias("score"))
     best = pairs.withColumn("at", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).filter(F.col("at") <= k)
     got = near.select(F.col("vec_id").alias("a"), F.explode("near.vec_id").alias("b")).withColumn("hit", F.lit(1))
