@@ -4,7 +4,8 @@ Two texts are near-duplicates if their sets of five-word shingles have a Jaccard
 and, as the least of its bin, is the bin's value (one-permutation MinHash); ``ROWS`` bins are a band, and texts that agree in a band
 are candidates. A pair at the limit agrees in one of the bands with probability 1 - (1 - 0.8^5)^25, 0.99995, and a candidate is verified on the whole sets.
 
-Texts of equal sets are one class before that, so a group of copies of any size is one row. What the report needs is whether a document has
+Texts of equal sets (by 128 bits of hash) are one class before that, so a group of copies of any size is one row. A row carries its 25 keys, not its set: the sets of those
+that a pair names are made anew from their texts. What the report needs is whether a document has
 a near-duplicate of smaller id. So the classes of a band are first held against the band's first class only, one pair a row; those which
 that settles are done, and only the rest look through their bands. A band of many classes is cut into blocks of ``block`` there,
 so no task holds it; the pairs of a band that are left are those of its unsettled classes, quadratic only in a family of texts that are alike but under the limit.
@@ -12,6 +13,8 @@ so no task holds it; the pairs of a band that are left are those of its unsettle
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,11 @@ SHINGLE = 5
 BANDS, ROWS = 25, 5
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is worked out once and not wherever it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def shingles(text: Column, n: int = SHINGLE) -> Column:
     """The set of 64-bit hashes of the runs of ``n`` words (fewer words: of all of them; none: empty)."""
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -30,23 +38,31 @@ def shingles(text: Column, n: int = SHINGLE) -> Column:
         starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (n - 1)))).otherwise(F.array().cast("array<int>"))
         return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(n)), " "))))
 
-    # an array of one, so that the text is split once and not for every shingle
-    return F.get(F.transform(F.array(words), hashes), 0)
+    return _bound(words, hashes)
+
 
+def band_keys(hashes: Column) -> Column:
+    """A key for each band of the set that is not empty. The bin of a hash stands in its word's upper bits, so one sort brings the least of each bin to its front."""
+    word = lambda h: F.shiftleft(F.pmod(h, F.lit(BANDS * ROWS)), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    bin_ = lambda x: F.shiftright(x, 56)
+    first = lambda s: F.filter(s, lambda x, i: (i == 0) | (bin_(x) != bin_(F.get(s, F.greatest(i - 1, F.lit(0))))))
 
-def _bands(classes: DataFrame) -> DataFrame:
-    """``key``, ``first`` and ``size`` of each class and each of its bands that is not empty."""
-    rows = classes.select("first", "size", F.explode("hashes").alias("h"))
-    bin_ = F.pmod(F.col("h"), F.lit(BANDS * ROWS))
-    rows = rows.select("first", "size", "h", F.floor(bin_ / ROWS).cast("int").alias("band"), (bin_ % ROWS).alias("row"))
-    least = [F.min(F.when(F.col("row") == i, F.col("h"))).alias(f"m{i}") for i in range(ROWS)]
-    return rows.groupBy("first", "size", "band").agg(*least).select(F.xxhash64("band", *[f"m{i}" for i in range(ROWS)]).alias("key"), "first", "size")
+    def keys(least: Column) -> Column:
+        band = lambda b: F.filter(least, lambda x: F.floor(bin_(x) / ROWS) == b)
+        key = lambda b: _bound(band(b), lambda xs: F.when(F.size(xs) > 0, F.xxhash64(b, xs)))
+        return F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key))
 
+    return _bound(_bound(F.sort_array(F.transform(hashes, word)), first), keys)
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs ``a``, ``b`` (b < a) those of similarity 0.8 or more."""
-    of = lambda name: sets.select(F.col("first").alias(name), F.col("hashes").alias(f"set_{name}"))
-    both = pairs.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
+
+def _alike(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of the pairs ``a``, ``b`` (b < a) those of similarity 0.8 or more. Only the texts that are in a pair are read, and their sets made anew."""
+    pairs = materialise(pairs.select("a", "b").distinct(), "near-pairs")
+    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", shingles(F.col("text")).alias("hashes"))
+    sets = materialise(sets, "near-sets")
+    of = lambda name: sets.select(F.col("doc_id").alias(name), F.col("hashes").alias(f"set_{name}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     return both.filter(9 * common >= 4 * (F.size("set_a") + F.size("set_b"))).select("a", "b")
 
@@ -54,29 +70,31 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, block: int = 256) -> DataFrame:
     """``doc_id`` and ``near_duplicate``: whether a document of smaller id is a copy or a near-duplicate. Texts without words are copies of each other."""
     rows = docs.select("doc_id", shingles(F.col("text")).alias("hashes"))
-    rows = rows.select("doc_id", "hashes", F.md5(F.array_join(F.transform(F.array_sort("hashes"), lambda h: F.hex(h)), ",")).alias("digest"))
-    rows = materialise(rows, "near-rows")
-    firsts = materialise(rows.groupBy("digest").agg(F.min("doc_id").alias("first")), "near-firsts")
-    own = F.col("doc_id") == F.col("first")
-    sets = rows.join(firsts, "digest").filter(own).select("first", "hashes").dropDuplicates(["first"])
-    sets = materialise(sets, "near-sets")
-    bands = materialise(_bands(sets.withColumn("size", F.size("hashes"))), "near-bands")
+    digest = _bound(F.sort_array("hashes"), lambda s: F.struct(F.xxhash64(s).alias("x"), F.xxhash64(F.lit(1), s).alias("y")))
+    rows = rows.select("doc_id", F.size("hashes").alias("size"), digest.alias("digest"), band_keys(F.col("hashes")).alias("keys"))
+    rows = materialise(rows.select("doc_id", "size", "digest.x", "digest.y", "keys"), "near-rows")
+    firsts = materialise(rows.groupBy("x", "y").agg(F.min("doc_id").alias("first")), "near-firsts")
+    own = rows.withColumnRenamed("doc_id", "first").join(firsts, ["first", "x", "y"]).dropDuplicates(["first"])
+    bands = materialise(own.select("first", "size", F.explode("keys").alias("key")), "near-bands")
     shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("first").alias("lead")).filter("n > 1")
     shared = materialise(shared, "near-shared")
-    met = materialise(bands.join(shared, "key"), "near-met")
+    sizes = own.select(F.col("first").alias("lead"), F.col("size").alias("size_lead"))
+    met = bands.join(shared.join(sizes, "lead"), "key")
+    met = materialise(met, "near-met")
 
-    leads = met.filter("first != lead").select(F.col("first").alias("a"), F.col("lead").alias("b"))
-    settled = materialise(_alike(leads, sets), "near-settled")
+    sized = lambda a, b: 5 * F.least(a, b) >= 4 * F.greatest(a, b)  # noqa: E731  - sets of other sizes can't be alike
+    leads = met.filter("first != lead").filter(sized("size", "size_lead")).select(F.col("first").alias("a"), F.col("lead").alias("b"))
+    settled = materialise(_alike(leads, docs), "near-settled")
     open_ = met.filter("first != lead").join(settled.select(F.col("a").alias("first")).distinct(), "first", "left_anti")
     # every block of a band's classes as partners; a class that looks for one is sent to each block
     blocks = F.ceil(F.col("n") / block).cast("int")
     partners = met.select("key", F.pmod(F.xxhash64("first"), blocks).cast("int").alias("block"), F.col("first").alias("b"), F.col("size").alias("size_b"))
     seekers = open_.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("first").alias("a"), F.col("size").alias("size_a"), "lead")
-    near_size = (5 * F.least("size_a", "size_b") >= 4 * F.greatest("size_a", "size_b")) & (F.col("b") < F.col("a")) & (F.col("b") != F.col("lead"))
-    more = materialise(_alike(seekers.join(partners, ["key", "block"]).filter(near_size), sets), "near-more")
+    near_size = sized("size_a", "size_b") & (F.col("b") < F.col("a")) & (F.col("b") != F.col("lead"))
+    more = materialise(_alike(seekers.join(partners, ["key", "block"]).filter(near_size), docs), "near-more")
     found = settled.unionAll(more).select(F.col("a").alias("first"), F.lit(True).alias("hit")).distinct()
-    classes = firsts.join(found, "first", "left").select("digest", "first", F.col("hit").isNotNull().alias("hit"))
-    flagged = rows.select("doc_id", "digest").join(classes, "digest")
+    classes = firsts.join(found, "first", "left").select("x", "y", "first", F.col("hit").isNotNull().alias("hit"))
+    flagged = rows.select("doc_id", "x", "y").join(classes, ["x", "y"])
     return flagged.select("doc_id", (F.col("hit") | (F.col("doc_id") != F.col("first"))).alias("near_duplicate"))
 
 
