@@ -74,7 +74,8 @@ def _may_be_alike(size_a: str, sketch_a: str, size_b: str, sketch_b: str) -> Col
     """Sets of similarity 0.8 have such sizes, always, and such sketches but for one in a million."""
     sizes = 5 * F.least(size_a, size_b) >= 4 * F.greatest(size_a, size_b)
     apart = sum((F.bit_count(F.get(sketch_a, F.lit(j)).bitwiseXOR(F.get(sketch_b, F.lit(j)))) for j in range(WORDS)), F.lit(0))
-    return sizes & (apart <= APART)
+    differing = (F.col(size_a) + F.col(size_b)) / 9  # elements of one set only, at most; each changes one bin at most, and two of its bits on average
+    return sizes & (apart <= F.least(F.lit(float(APART)), 2 * differing + 5 * F.sqrt(differing)))
 
 
 def _alike(pairs: DataFrame, docs: DataFrame) -> DataFrame:
