@@ -315,6 +315,24 @@ def test_recall_of_nearest_with_little_reranking(spark, sf_dir):
     assert asked == 20 * len(got) and hits / asked >= 0.9
 
 
+def test_nearest_of_lengths_far_apart_and_of_near_copies(spark):
+    """Few long vectors and many short ones, and 700 that differ in the sixth place; the codes alone don't tell them apart."""
+    from trustloom.llm.ann import nearest
+
+    r = np.random.default_rng(4)
+    v = r.normal(size=(3000, 64)) * np.exp(3 * r.normal(size=(3000, 1)))
+    v[1000:1700] = r.normal(size=64) + 1e-6 * r.normal(size=(700, 64))
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for x in nearest(frame, F.col("vec_id") % 20 == 0, k=20, rerank=25, sample_rows=400, code_block=1100, query_block=90).orderBy("query_id", "rank").collect():
+        got.setdefault(x["query_id"], []).append((x["vec_id"], x["score"]))
+    assert len(got) == 150
+    for q, found in got.items():
+        scores = np.cumsum(v * v[q], axis=1)[:, -1]
+        want = [i for i in np.lexsort((np.arange(3000), -scores)).tolist() if i != q][:20]
+        assert found == [(i, scores[i]) for i in want]
+
+
 # 5 WARC
 
 

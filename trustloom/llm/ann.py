@@ -1,15 +1,15 @@
-"""Approximate nearest neighbours by additive quantisation.
+"""Nearest neighbours by additive quantisation, with the error of each code as a bound.
 
-A vector is coded as the sum of one word of each of several full-dimensional codebooks. The codebooks are
+A vector's direction is coded as the sum of one word of each of several full-dimensional codebooks. The codebooks are
 trained one after the other on residuals (k-means on a bounded sample), a vector is encoded by beam search over
-all of them, and the norm of the vector and of its reconstruction are stored. A query scores all codes by look-up
-tables of its inner products with the words, scaled by the stored norms; the best are reranked by the exact
-inner product in double precision.
+all of them, and its length, the scale of its reconstruction and what the code leaves of it are stored. A query scores all codes by
+look-up tables of its inner products with the words. The best are scored by the exact inner product in double precision, and
+so is every other that could still be as near as the last of them: a score by look-up is wrong by no more than what the code leaves.
+So nothing near is missed, whatever the vectors; poor codes cost exact scores, not neighbours.
 
-Work is dealt as blocks of queries against blocks of codes, each of bounded size. Only codes (some 30 bytes a row)
-are copied to the blocks of queries; each gives its best per query, a merge keeps the best ``rerank`` of each query, and these alone
-are joined to their vectors for the exact scores. Equal vectors are one class in the index: of each
-class only the ``k + 1`` smallest ids can be among the nearest, so a hot vector costs no more than another.
+Work is dealt as blocks of queries against blocks of vectors with their codes, each of bounded size. Blocks of queries are large, so
+vectors are copied seldom; each pair of blocks gives the ``k`` nearest of each query, and a merge keeps the best. Equal vectors are one
+class in the index: of each class only the ``k + 1`` smallest ids can be among the nearest, so a hot vector costs no more than another.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or that hold null or non-finite
 components take no part, neither as query nor as candidate; ties go to the smaller id; repeated
@@ -55,9 +55,9 @@ def train_codebooks(sample: np.ndarray, books: int, rounds: int = 8, seed: int =
 
 
 def encode(vectors: np.ndarray, books: np.ndarray, beam: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (uint8, one per codebook) and the norms of the reconstructions."""
+    """Codes (uint8, one per codebook) and the reconstructions."""
     n = len(vectors)
-    left, codes, cost = vectors[:, None, :].astype(np.float32), np.zeros((n, 1, 0), np.uint8), np.zeros((n, 1), np.float32)
+    left, codes = vectors[:, None, :].astype(np.float32), np.zeros((n, 1, 0), np.uint8)
     for words in books:
         # squared error of each beam entry less each word
         error = (left**2).sum(2)[:, :, None] - 2 * (left @ words.T) + (words**2).sum(1)
@@ -68,24 +68,35 @@ def encode(vectors: np.ndarray, books: np.ndarray, beam: int = 4) -> tuple[np.nd
         left = left[rows, entry] - words[word]
         codes = np.concatenate((codes[rows, entry], word[:, :, None].astype(np.uint8)), axis=2)
         cost = flat[rows, best]
-    best = np.argmin(cost, axis=1)
-    chosen = codes[np.arange(n), best]
-    made = sum(words[chosen[:, j]] for j, words in enumerate(books))
-    return chosen, np.linalg.norm(made, axis=1)
+    chosen = codes[np.arange(n), np.argmin(cost, axis=1)]
+    return chosen, sum(words[chosen[:, j]].astype(np.float64) for j, words in enumerate(books))
 
 
-def best_by_lookup(codebooks: np.ndarray, code: np.ndarray, scale: np.ndarray, queries: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rows and scores of the ``want`` best codes (books x rows) of each query, by tables of its inner products with the words."""
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    """By way of the greatest component, so that no square overflows or vanishes."""
+    most = np.abs(vectors).max(axis=1)
+    return most * np.linalg.norm(vectors / most[:, None], axis=1)
+
+
+def by_lookup(codebooks: np.ndarray, code: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """The inner product of each query with what each code (books x rows) stands for, by tables of its inner products with the words."""
     tables = codebooks @ queries.T  # books x words x queries
-    scores = np.empty((len(queries), len(scale)), np.float32)
-    for at in range(0, len(scale), 4096):
+    scores = np.empty((len(queries), code.shape[1]))
+    for at in range(0, code.shape[1], 4096):
         part = code[:, at : at + 4096]
         sums = tables[0][part[0]]
         for table, words in zip(tables[1:], part[1:]):
             sums += table[words]
-        scores[:, at : at + 4096] = (sums * scale[at : at + 4096, None]).T
-    top = np.argpartition(-scores, want - 1, axis=1)[:, :want]
-    return top, np.take_along_axis(scores, top, axis=1)
+        scores[:, at : at + 4096] = sums.T
+    return scores
+
+
+def exact(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Inner products of the rows, summed from the first component to the last."""
+    out = np.empty(len(left))
+    for at in range(0, len(left), 1 << 15):
+        out[at : at + (1 << 15)] = np.cumsum(left[at : at + (1 << 15)] * right[at : at + (1 << 15)], axis=1)[:, -1] + 0.0
+    return out
 
 
 def nearest(
@@ -95,13 +106,13 @@ def nearest(
     books: int = 32,
     sample_rows: int = 8192,
     rerank: int = 150,
-    query_block: int = 4096,
-    code_block: int = 1 << 18,
+    query_block: int = 1 << 14,
+    code_block: int = 1 << 16,
 ) -> DataFrame:
     """The ``k`` nearest found of every row for which ``is_query`` holds, among all other rows.
 
     ``vectors``: vec_id and embedding. The codebooks are fitted on at most ``sample_rows`` vectors, the smallest
-    by hash; every row is indexed. The ``rerank`` best of each query by look-up are scored exactly.
+    by hash; every row is indexed. The ``rerank`` best of each query and block by look-up are scored exactly, and all that may be as near.
     Returns query_id, rank, vec_id and score.
     """
     valid = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), is_query.alias("q"))
@@ -121,53 +132,76 @@ def nearest(
     classes = materialise(narrow.groupBy("class", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "ann-classes")
 
     sample = classes.select("v").orderBy(F.xxhash64("v", F.lit(1)), "v").limit(sample_rows)
-    codebooks = train_codebooks(np.array([r["v"] for r in sample.toLocalIterator()]), books)
+    sampled = np.array([r["v"] for r in sample.toLocalIterator()]).reshape(-1, dims)
+    codebooks = train_codebooks(sampled / lengths(sampled)[:, None], books)
     shared = vectors.sparkSession.sparkContext.broadcast(codebooks)  # books x 256 x dimensions
+    # what sums in single precision may be wrong by
+    slack = (dims + books) * 2.0**-22 * float(np.linalg.norm(codebooks, axis=2).max(axis=1).sum())
 
     asked = materialise(valid.filter("q").select("vec_id", "v").distinct(), "ann-queries")
     count, queries = classes.count(), asked.count()
-    # smaller blocks of queries where there are few, so that all cores have some; the grid does not change what is found
-    query_block = min(query_block, max(64, -(-queries // (2 * vectors.sparkSession.sparkContext.defaultParallelism))))
+    # smaller blocks of codes where there are few, so that all cores have some; the grid does not change what is found
+    code_block = min(code_block, max(1024, (1 << 22) // dims))
     code_blocks, query_blocks = max(1, -(-count // code_block)), max(1, -(-queries // query_block))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    code_blocks = max(code_blocks, min(-(-2 * cores // query_blocks), -(-count // 4096)))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = batch.column("v").flatten().to_numpy().reshape(-1, dims)
-            for at in range(0, len(v), 1024):
-                codes, norms = encode(v[at : at + 1024], shared.value)
-                scale = np.linalg.norm(v[at : at + 1024], axis=1) / np.maximum(norms, 1e-30)
-                columns = [batch.column("class").slice(at, 1024), pa.array([c.tobytes() for c in codes], pa.binary())]
-                columns += [pa.array(scale.astype(np.float32)), batch.column("block").slice(at, 1024)]
-                yield pa.RecordBatch.from_arrays(columns, ["class", "codes", "scale", "block"])
-
+            every = batch.column("v").flatten().to_numpy().reshape(-1, dims).astype(np.float64)
+            for at in range(0, len(every), 1024):
+                length = lengths(every[at : at + 1024])
+                v = every[at : at + 1024] / length[:, None]
+                codes, made = encode(v, shared.value)
+                scale = (v * made).sum(1) / np.maximum((made**2).sum(1), 1e-30)
+                left = np.linalg.norm(v - scale[:, None] * made, axis=1) + np.abs(scale) * slack + 1e-12
+                columns = [batch.column(c).slice(at, 1024) for c in ("ids", "v", "block")] + [pa.array([c.tobytes() for c in codes], pa.binary())]
+                columns += [pa.array(scale * length), pa.array(left * length)]
+                yield pa.RecordBatch.from_arrays(columns, ["ids", "v", "block", "codes", "scale", "wrong"])
+
+    # single precision is sent where the vectors come in it
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     blocked = classes.withColumn("block", F.pmod(F.xxhash64("class", F.lit(2)), F.lit(code_blocks)).cast("int"))
-    codes = blocked.select("class", "v", "block").mapInArrow(encoded, "class bigint, codes binary, scale float, block int")
+    codes = blocked.select("ids", F.col("v").cast(kind).alias("v"), "block")
+    codes = codes.mapInArrow(encoded, f"ids array<bigint>, v {kind}, block int, codes binary, scale double, wrong double")
     codes = materialise(codes, "ann-codes")
     asked = asked.withColumn("qblock", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int"))
 
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy().reshape(-1, dims).astype(np.float64)
+
     def search(own: pa.Table, index: pa.Table) -> pa.Table:
-        code = np.frombuffer(b"".join(index.column("codes").to_pylist()), np.uint8).reshape(-1, books).T
-        scale, classes = index.column("scale").to_numpy(), index.column("class").to_numpy()
-        vectors = own.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dims).astype(np.float32)
-        ids, want = own.column("vec_id").to_numpy(), min(rerank, len(scale))
-        found: list[tuple] = [(ids[:0], classes[:0], scale[:0])]
-        for at in range(0, len(vectors) if want else 0, _TILE):
+        out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if own.num_rows and index.num_rows:
+            code = np.ascontiguousarray(np.frombuffer(b"".join(index.column("codes").to_pylist()), np.uint8).reshape(-1, books).T)
+            scale, wrong, held = index.column("scale").to_numpy(), index.column("wrong").to_numpy(), matrix(index.column("v"))
+            lists = index.column("ids").combine_chunks()
+            starts, members = lists.offsets.to_numpy(), lists.values.to_numpy()
+            first, names, vectors = members[starts[:-1]], own.column("vec_id").to_numpy(), matrix(own.column("v"))
+            best, want = min(max(rerank, k + 1), len(scale)), min(k + 1, len(scale))
+        for at in range(0, own.num_rows if index.num_rows else 0, _TILE):
             some = vectors[at : at + _TILE]
-            top, score = best_by_lookup(shared.value, code, scale, some, want)
-            found.append((np.repeat(ids[at : at + _TILE], want), classes[top].ravel(), score.ravel()))
-        return pa.table(dict(zip(("query_id", "class", "near"), map(np.concatenate, zip(*found)))))
+            length = lengths(some)
+            near = by_lookup(shared.value, code, (some / length[:, None]).astype(np.float32)) * scale
+            top = np.argpartition(-near, best - 1, axis=1)[:, :best]
+            sure = exact(np.repeat(some, best, axis=0), held[top.ravel()]).reshape(-1, best)
+            last = -np.partition(-sure, want - 1, axis=1)[:, want - 1] / length
+            near += wrong
+            np.put_along_axis(near, top, np.inf, axis=1)
+            for i, (query, name) in enumerate(zip(some, names[at : at + _TILE].tolist())):
+                rows = np.flatnonzero(near[i] >= last[i])
+                score = np.concatenate([exact(held[rows[j : j + (1 << 15)]], query[None, :]) for j in range(0, len(rows), 1 << 15)])
+                # of more than k + 1 classes the others come after k ids that are not the query's own
+                chosen = np.lexsort((first[rows], -score))[: k + 1]
+                found = [(-score[j], id_) for j in chosen.tolist() for id_ in members[starts[rows[j]] : starts[rows[j] + 1]].tolist() if id_ != name]
+                found = sorted(found)[:k]
+                out.append((np.full(len(found), name), np.array([x[1] for x in found], np.int64), np.array([-x[0] for x in found])))
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
 
     pair = ["qblock", "block"]
     left = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(code_blocks - 1)))).groupBy(*pair)
     right = codes.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).groupBy(*pair)
-    near = left.cogroup(right).applyInArrow(search, "query_id bigint, class bigint, near float")
-    merge = Window.partitionBy("query_id").orderBy(F.desc("near"), "class")
-    near = near.withColumn("at", F.row_number().over(merge)).filter(F.col("at") <= rerank).select("query_id", "class").distinct()
-
-    # the exact scores; a class of equal hashes holds several vectors, of which each is scored
-    exact = near.join(classes, "class").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("own")), "query_id")
-    score = F.aggregate(F.zip_with("v", "own", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = exact.select("query_id", F.explode("ids").alias("vec_id"), score.alias("score")).filter("vec_id != query_id")
+    near = left.cogroup(right).applyInArrow(search, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    ranked = near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
