@@ -12,7 +12,7 @@ from trustloom.functions import columns as C
 from trustloom.operators import anomalies, assess, drift, ledger, provenance, quality
 from trustloom.plans import reports
 from trustloom.sources.documents import read_documents, write_documents
-from trustloom.sources.storage import shared_folder
+from trustloom.sources.storage import materialise, shared_folder
 from trustloom.sources.tables import table
 from trustloom.streaming import streams
 
@@ -108,9 +108,13 @@ def backdoor_triggers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anomaly_levels(spark: SparkSession, d: str) -> DataFrame:
-    vectors, flags = table(spark, d, "embeddings"), _flags(spark, d)
+    return _anomaly_levels(spark, d, _flags(spark, d), label_flips(spark, d))
+
+
+def _anomaly_levels(spark: SparkSession, d: str, flags: DataFrame, flips: DataFrame) -> DataFrame:
+    vectors = table(spark, d, "embeddings")
     whole = vectors.agg(F.count("*").alias("n"))
-    parts = [("Label Flips", anomalies.label_flips(vectors)), ("Out-of-Distribution", anomalies.out_of_distribution(vectors))]
+    parts = [("Label Flips", flips), ("Out-of-Distribution", anomalies.out_of_distribution(vectors))]
     rates = [df.agg(F.count("*").alias("k")).join(F.broadcast(whole)).select(F.lit(n).alias("name"), (F.col("k") / F.col("n")).alias("rate")) for n, df in parts]
     rates.append(flags.agg(F.avg(F.col("duplicate").cast("double")).alias("rate")).select(F.lit("Duplicates").alias("name"), "rate"))
     words = table(spark, d, "documents").select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word"))
@@ -189,7 +193,11 @@ def quarantine_view(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trust_score(spark: SparkSession, d: str) -> DataFrame:
-    flags = _flags(spark, d).agg(*[(F.avg(F.col(f).cast("double")) * 100).alias(f) for f in assess.WEIGHTS])
+    return _trust_score(_flags(spark, d))
+
+
+def _trust_score(flags: DataFrame) -> DataFrame:
+    flags = flags.agg(*[(F.avg(F.col(f).cast("double")) * 100).alias(f) for f in assess.WEIGHTS])
     score = flags.select(assess.trust_score({f: F.col(f) for f in assess.WEIGHTS}).alias("score"))
     return score.withColumn("status", C.trust_status(F.col("score"))).withColumn("tone", C.trust_tone(F.col("score")))
 
@@ -265,11 +273,14 @@ def drift_by_kind(spark: SparkSession, d: str) -> DataFrame:
 
 
 def report_document(spark: SparkSession, d: str) -> DataFrame:
-    """The dataset document as JSON."""
-    done = reports.dataset_document(
-        dataset_overview(spark, d), dataset_quality(spark, d), drift_series(spark, d), contributor_risk(spark, d),
-        anomaly_levels(spark, d), _cards(spark, d), trust_score(spark, d), "documents",
-    )
+    """The dataset document as JSON. Flags, flips and each part are made once and written, so that no plan holds them all."""
+    flags, flips = materialise(_flags(spark, d), "report-flags"), materialise(label_flips(spark, d), "report-flips")
+    hits = flags.filter("suspicious").select("doc_id")
+    parts = {
+        "overview": dataset_overview(spark, d), "quality": quality.dataset_quality(flags), "drift": drift_series(spark, d), "contributors": quality.group_risk(flags, "source"),
+        "levels": _anomaly_levels(spark, d, flags, flips), "evidence": anomalies.evidence_chips(flips, hits), "score": _trust_score(flags),
+    }
+    done = reports.dataset_document(**{name: materialise(part, f"report-{name}") for name, part in parts.items()}, dataset_id="documents")
     return _json(done, "dataset_id")
 
 
@@ -278,9 +289,9 @@ def _json(documents: DataFrame, *keys: str) -> DataFrame:
 
 
 def dashboard_document(spark: SparkSession, d: str) -> DataFrame:
-    whole = assessments(spark, d)
+    whole = materialise(assessments(spark, d), "dashboard-assessments")
     order = Window.orderBy(F.to_date("date", C.DATE_FORMAT).desc(), "name")
-    recent = whole.limit(5).withColumn("place", F.row_number().over(order))  # five rows
+    recent = whole.orderBy(F.to_date("date", C.DATE_FORMAT).desc(), "name").limit(5).withColumn("place", F.row_number().over(order))  # five rows
     return _json(reports.dashboard_document(assess.kpis(whole), recent))
 
 
@@ -300,7 +311,8 @@ def model_document(spark: SparkSession, d: str) -> DataFrame:
     training = training_source_risk(spark, d).select(F.col("lang").alias("name"), "level")
     newest = table(spark, d, "events").agg(F.max("ts").alias("at"))
     models = assess.model_scores(vectors, anomalies.label_flips(vectors), newest)
-    return _json(reports.model_document(overview, model_risks(spark, d), training, models))
+    parts = {"overview": overview, "risks": model_risks(spark, d), "training": training, "models": models}
+    return _json(reports.model_document(**{name: materialise(part, f"model-{name}") for name, part in parts.items()}))
 
 
 def report_by_id(spark: SparkSession, d: str) -> DataFrame:
