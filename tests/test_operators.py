@@ -181,3 +181,12 @@ def test_stream_replay_over_many_files_in_any_order(spark, tmp_path):
         os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
     got = sorted(tuple(r) for r in stream_replay(spark, str(tmp_path)).collect())
     assert got == sorted([(n, kind, "p") for n in range(70) for kind in ("view", "buy")])
+
+
+def test_documents_hold_no_plan_of_all_their_parts(spark, sf_dir):
+    """Parts are made one by one; a driver that plans and runs all of them at once has no memory for it."""
+    from trustloom.plans import queries as core
+
+    for query in (core.report_document, core.model_document, core.dashboard_document):
+        plan = query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("\n") < 120 and "documents.parquet" not in plan and "text#" not in plan, query.__name__
