@@ -190,3 +190,12 @@ def test_documents_hold_no_plan_of_all_their_parts(spark, sf_dir):
     for query in (core.report_document, core.model_document, core.dashboard_document):
         plan = query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("\n") < 120 and "documents.parquet" not in plan and "text#" not in plan, query.__name__
+
+
+def test_each_entry_has_one_proof_though_ids_repeat(spark):
+    from trustloom.operators import merkle
+
+    rows = [(i, "2024-01-01 00:00:00", i % 7, "view", str(i)) for i in range(150)] + [(140, "2024-01-01 00:00:00", 1, "view", "again")]
+    events = spark.createDataFrame(rows, "event_id long, at string, user_id long, event_type string, props string").withColumn("ts", F.col("at").cast("timestamp"))
+    found = merkle.verified(merkle.proofs(events), merkle.day_roots(events)).collect()
+    assert len(found) == 151 and all(r["holds"] for r in found)

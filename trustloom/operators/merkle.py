@@ -45,25 +45,25 @@ def _roots(blocks: DataFrame) -> DataFrame:
     return blocks.select("day", F.col("block").alias("place"), F.get(F.element_at("levels", -1), F.lit(0)).alias("digest"))
 
 
-def _tree(events: DataFrame) -> list[DataFrame]:
-    """The blocks of each height. Their number follows the logarithm of the largest id."""
+def _tree(events: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """The blocks of each height, and the root of each day. Their number follows the logarithm of the largest id."""
     most = events.agg(F.max("event_id")).first()[0] or 0
     heights, nodes = [], leaves(events).withColumnRenamed("event_id", "place")
     while True:
         heights.append(_blocks(nodes))
         nodes, most = _roots(heights[-1]), most // FAN
         if not most:
-            return heights
+            return heights, nodes
 
 
 def day_roots(events: DataFrame) -> DataFrame:
     """``day`` and ``root``."""
-    return _roots(_tree(events)[-1]).select("day", F.col("digest").alias("root"))
+    return _tree(events)[1].select("day", F.col("digest").alias("root"))
 
 
 def block_roots(events: DataFrame) -> DataFrame:
     """``day``, ``block`` (event_id div ``FAN``) and ``root``: what is recorded of a ledger to find alterations in it."""
-    return _roots(_tree(events)[0]).select("day", F.col("place").alias("block"), F.col("digest").alias("root"))
+    return _roots(_blocks(leaves(events).withColumnRenamed("event_id", "place"))).select("day", F.col("place").alias("block"), F.col("digest").alias("root"))
 
 
 def altered_blocks(recorded: DataFrame, events: DataFrame) -> DataFrame:
@@ -75,8 +75,11 @@ def altered_blocks(recorded: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def _siblings(blocks: DataFrame) -> DataFrame:
-    """``day``, ``place`` and ``path``: for each child its siblings on the way to the block's root, and whether they stand on the left."""
-    rows = blocks.select("day", "levels", F.posexplode("children").alias("i", "child"))
+    """``day``, ``place``, ``digest`` and ``path``: for each child its siblings on the way to the day's root, and whether they stand on the left.
+
+    ``blocks`` have ``above``, the path of their own root.
+    """
+    rows = blocks.select("day", "levels", "above", F.posexplode("children").alias("i", "child"))
 
     def at(level: Column) -> Column:
         here = F.floor(F.col("i") / F.pow(F.lit(2.0), level)).cast("int")
@@ -84,21 +87,21 @@ def _siblings(blocks: DataFrame) -> DataFrame:
         return F.struct(sibling.alias("digest"), (here.bitwiseAND(F.lit(1)) == 1).alias("left"))
 
     path = F.filter(F.transform(F.sequence(F.lit(0), F.lit(DEPTH - 1)), at), lambda s: s["digest"].isNotNull())
-    return rows.select("day", F.col("child.place").alias("place"), path.alias("path"))
+    whole = F.when(F.col("above").isNull(), path).otherwise(F.concat(path, "above"))
+    return rows.select("day", "child.place", "child.digest", whole.alias("path"))
 
 
 def proofs(events: DataFrame) -> DataFrame:
     """``day``, ``event_id``, ``digest`` and ``path`` of every entry: the digests that lead from it to its day's root."""
-    heights = _tree(events)
     up = None
-    for blocks in reversed(heights):
-        own = _siblings(blocks)
-        if up is not None:
-            above = up.select("day", F.col("place").alias("block"), F.col("path").alias("above"))
-            own = own.withColumn("block", F.floor(F.col("place") / FAN)).join(above, ["day", "block"])
-            own = own.select("day", "place", F.concat("path", "above").alias("path"))
-        up = own
-    return leaves(events).join(up.withColumnRenamed("place", "event_id"), ["day", "event_id"]).select("day", "event_id", "digest", "path")
+    for blocks in reversed(_tree(events)[0]):
+        # paths are joined to blocks and each entry's is made after that, so none is shuffled
+        if up is None:
+            blocks = blocks.withColumn("above", F.lit(None).cast("array<struct<digest:string,left:boolean>>"))
+        else:
+            blocks = blocks.join(up.select("day", F.col("place").alias("block"), F.col("path").alias("above")), ["day", "block"])
+        up = _siblings(blocks)
+    return up.select("day", F.col("place").alias("event_id"), "digest", "path")
 
 
 def folded(digest: Column, path: Column) -> Column:
