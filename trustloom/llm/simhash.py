@@ -19,7 +19,7 @@ component has one; an empty table gives no row; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import acos, ceil, comb, log, pi
 
 import numpy as np
@@ -125,10 +125,10 @@ def ball_links(fps: DataFrame, bits: int = 64, radius: int = 2, key: tuple[str,
     return stars.filter((F.col("a") != F.col("b")) & near).distinct()
 
 
-def _ball_groups(fps: DataFrame, bits: int, key: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+def _ball_groups(fps: DataFrame, bits: int, key: tuple[str, ...] = (), held: dict[str, Callable[[str], Column]] | None = None) -> DataFrame:
     """``variant`` and ``members`` of each value that several of the distinct values ``fp`` of equal ``key`` come to
     by flipping one of the lowest ``bits`` bits at most; any two values within two of these bits are members of a group.
-    ``weight``: a column of which each group also has its members' sum."""
+    ``held``: columns and the aggregates of them that each group also has of its members."""
     # a table of fingerprints is small to read and large once exploded, so it is spread by what a task emits
     spread = fps.repartition(-(-fps.count() * (bits + 1) // _VARIANTS) or 1)
     flips = F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda i: i)
@@ -137,15 +137,15 @@ def _ball_groups(fps: DataFrame, bits: int, key: tuple[str, ...] = (), weight: s
     room = bits < 63
     mask = flip if room else F.when(i < bits, flip).otherwise(F.lit(0).cast("long"))
     own = {} if room else {"own": (i == bits).cast("int")}
-    weights = [weight] if weight else []
-    variants = spread.select(*key, "fp", *weights, F.explode(flips).alias("i")).select(
+    held = held or {}
+    variants = spread.select(*key, "fp", *held, F.explode(flips).alias("i")).select(
         *key,
-        *weights,
+        *held,
         F.when(i < bits, F.col("fp").bitwiseXOR(flip)).otherwise(F.col("fp")).alias("variant"),
         mask.alias("mask"),
         *[c.alias(name) for name, c in own.items()],
     )
-    groups = variants.groupBy(*key, "variant").agg(F.bit_or("mask").alias("mask"), *[F.max(name).alias(name) for name in own], *[F.sum(w).alias(w) for w in weights])
+    groups = variants.groupBy(*key, "variant").agg(F.bit_or("mask").alias("mask"), *[F.max(name).alias(name) for name in own], *[f(c).alias(c) for c, f in held.items()])
     n = F.bit_count("mask") if room else F.bit_count("mask") + F.col("own")
     groups = groups.filter(n >= 2)
     itself = F.col("mask").bitwiseAND(_bit(F.lit(bits))) != 0 if room else F.col("own") == 1
@@ -156,7 +156,7 @@ def _ball_groups(fps: DataFrame, bits: int, key: tuple[str, ...] = (), weight: s
         ),
         F.when(itself, F.array("variant")).otherwise(F.array().cast("array<bigint>")),
     )
-    return groups.select(*key, *weights, "variant", members.alias("members"))
+    return groups.select(*key, *held, "variant", members.alias("members"))
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -184,12 +184,12 @@ def _tables(bits: int, similarity: float, recall: float) -> int:
     return max(1, ceil(log(1 - recall) / log(max(1e-12, 1 - found))))
 
 
-def _keyed_slices(classes: DataFrame, tables: int, bits: int) -> DataFrame:
-    """``fp`` and ``first`` of each class and slice; ``fp``: the number of the slice over its ``bits`` bits of the long fingerprint."""
+def _keyed_slices(classes: DataFrame, tables: int, bits: int, *more: str) -> DataFrame:
+    """``fp`` and ``first`` (and ``more``) of each class and slice; ``fp``: the number of the slice over its ``bits`` bits of the long fingerprint."""
     each = 64 // bits
     at = lambda t: F.shiftrightunsigned(F.get("fps", F.lit(t // each)), bits * (t % each)).bitwiseAND(F.lit((1 << bits) - 1))
     rows = F.array(*[at(t).bitwiseOR(F.lit(t << bits).cast("long")) for t in range(tables)])
-    return classes.select("first", F.explode(rows).alias("fp"))
+    return classes.select("first", *more, F.explode(rows).alias("fp"))
 
 
 def _spanning(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -377,7 +377,8 @@ def near_duplicates(
     value, and the values to each other, so that a crowd gives a row per document and slice. In a crowd, pairs are verified that
     might not meet elsewhere. What all this connects is verified by the Jaccard similarity of
     the sets of shingles, all pairs of a family where need be. Variants shuffled are a fixed number per document (19 x 33).
-    Groups are joined as values, each with the documents that have it, and groups of the same values count once.
+    Documents of one value come first; a group whose documents that already connects needs no look and is dropped as it is made, so near copies of
+    one text are not joined with all the groups they form. The other groups are joined as values, each with the documents that have it, and groups of the same values count once.
 
     Defined results: null text is the empty text, and texts without words are alike; a row without a doc_id gives none; repeated
     rows are copies; texts of equal sets of shingles are alike unverified; an empty table gives no row; other columns are ignored.
@@ -391,24 +392,38 @@ def near_duplicates(
     if classes.count() > corpus:
         raise ValueError(f"there are more than {corpus} different documents; give a larger corpus")
     slices = materialise(_keyed_slices(classes, tables, bits), "near-slices")
-    counted = materialise(slices.groupBy("fp").agg(F.count("*").alias("n"), F.min("first").alias("lead")), "near-counted")
-    balls = _ball_groups(counted.select("fp", "n"), bits, weight="n").select(F.array_sort("members").alias("members"), "n")
-    copies = counted.filter("n > 1").select(F.array("fp").alias("members"), "n")
-    groups = materialise(balls.unionAll(copies).groupBy("members").agg(F.first("n").alias("n")), "near-groups")
+    long = classes.select(F.col("first").alias("id"), "fps")
+
+    def values(wanted: DataFrame, name: str) -> DataFrame:
+        # a value of such groups has at most crowd documents
+        have = slices.join(wanted, "fp").select("fp", F.col("first").alias("id")).join(long, "id")
+        have = have.groupBy("fp").agg(F.collect_list(F.struct("id", "fps")).alias("docs"))
+        return materialise(have.select("fp", F.col("docs.id").alias("ids"), F.flatten("docs.fps").alias("fps")), name)
+
+    shared = slices.groupBy("fp").agg(F.count("*").alias("n"), F.min("first").alias("lead")).filter("n > 1")
+    shared = materialise(shared, "near-shared")
+    same = _linked_in_groups(values(shared.filter(F.col("n") <= crowd).select("fp"), "near-same").withColumn("g", F.col("fp")), words, _FAMILY_BITS * words)
+    stars = slices.join(shared.filter(F.col("n") > crowd).select("fp", "lead"), "fp").select(F.col("first").alias("a"), F.col("lead").alias("b"))
+    same = materialise(same.unionAll(stars.filter("a != b").distinct()), "near-same-links")
+    labels = connected_components(same)
+    # a document that nothing connects yet settles no group; its ends are constants, which cost a shuffle next to nothing
+    ends = [F.coalesce("component", F.lit(x)).alias(name) for name, x in (("low", -(1 << 63)), ("high", (1 << 63) - 1))]
+    labelled = materialise(classes.join(labels, classes["first"] == labels["node"], "left").select("fps", "first", *ends), "near-labelled")
+    held = {"n": F.sum, "low": F.min, "high": F.max}
+    counted = _keyed_slices(labelled, tables, bits, "low", "high").groupBy("fp")
+    counted = counted.agg(F.count("*").alias("n"), F.min("first").alias("lead"), F.min("low").alias("low"), F.max("high").alias("high"))
+    counted = materialise(counted, "near-counted")
+    balls = _ball_groups(counted.select("fp", *held), bits, held=held).filter("low < high").select(F.array_sort("members").alias("members"), "n")
+    groups = materialise(balls.groupBy("members").agg(F.first("n").alias("n")), "near-groups")
     met = groups.filter(F.col("n") <= crowd).select(F.xxhash64("members").alias("g"), F.explode("members").alias("fp"))
     met = materialise(met, "near-met")
-    long = classes.select(F.col("first").alias("id"), "fps")
-    # a value of such groups has at most crowd documents
-    have = slices.join(met.select("fp").distinct(), "fp").select("fp", F.col("first").alias("id")).join(long, "id")
-    have = have.groupBy("fp").agg(F.collect_list(F.struct("id", "fps")).alias("docs"))
-    have = materialise(have.select("fp", F.col("docs.id").alias("ids"), F.flatten("docs.fps").alias("fps")), "near-values")
-    close = _linked_in_groups(met.join(have, "fp"), words, _FAMILY_BITS * words)
+    close = _linked_in_groups(met.join(values(met.select("fp").distinct(), "near-values"), "fp"), words, _FAMILY_BITS * words).unionAll(same)
 
     crowded = groups.filter(F.col("n") > crowd).select(F.explode("members").alias("fp"), F.array_min("members").alias("least")).distinct()
     crowded, leads = materialise(crowded, "near-crowded"), counted.select("fp", "lead")
-    values = crowded.join(leads, "fp").join(leads.select(F.col("fp").alias("least"), F.col("lead").alias("b")), "least")
+    across = crowded.join(leads, "fp").join(leads.select(F.col("fp").alias("least"), F.col("lead").alias("b")), "least")
     inside = slices.join(crowded.select("fp").distinct(), "fp", "left_semi").join(leads, "fp")
-    together = values.select(F.col("lead").alias("a"), "b").unionAll(inside.select(F.col("first").alias("a"), F.col("lead").alias("b")))
+    together = across.select(F.col("lead").alias("a"), "b").unionAll(inside.select(F.col("first").alias("a"), F.col("lead").alias("b")))
     close = materialise(close.unionAll(together.filter("a != b").distinct()), "near-close")
     families = connected_components(close).select(F.col("node").alias("id"), F.col("component").alias("family"))
     families = materialise(families.join(long, "id"), "near-families")
