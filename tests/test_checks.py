@@ -312,3 +312,16 @@ def test_tampering_counts_as_manipulation(spark):
     model = spark.createDataFrame([("m",)], "model_sha256 string")
     levels = {r["event_type"]: r["level"] for r in provenance.checked(events, recorded, model).select("event_type", "level").distinct().collect()}
     assert levels == {"view": "critical", "buy": "low"}
+
+
+def test_live_replays_hold_many_nonces_in_a_bucket(spark, tmp_path):
+    r, start = random.Random(9), datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(seconds=60 * i), r.randrange(40), "view", 1.0, r.choice("abc")) for i in range(3000)]
+    folder = str(tmp_path / "in")
+    for at in (0, 1000, 2000):
+        spark.createDataFrame(rows[at : at + 1000], EVENTS).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    with live.rocksdb(spark):
+        got = streams.run_to_table(live.live_replays(stream, hours=1, buckets=2), "stream-buckets", "append").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, replays(spark.createDataFrame(rows, EVENTS), hours=1).collect()))
+    assert len(got) > 500
