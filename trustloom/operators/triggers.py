@@ -1,31 +1,29 @@
-"""Backdoor triggers of one to three words: frequent n-grams, found level by level, that go with a class.
+"""Backdoor triggers of one to three words: frequent n-grams that go with a class.
 
-A run of words is frequent only if the runs inside it are (a-priori), so each level joins neighbouring places of the frequent runs of the level
-before, and what it counts is bounded by those. Frequent means: in at least ``support`` samples of the class.
+Frequent means: in at least ``support`` samples of the class. Those are found in the samples of the class alone, and only they are counted in all
+samples. A sample's runs are made in its own row, so no places of words are shuffled or sorted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustloom.sources.storage import materialise
 
 
-def _frequent(places: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
-    """The counts of the frequent runs, and the places where they stand."""
-    # a sample counts once, whatever it repeats
-    counts = places.select("doc_id", "toxic", "gram").distinct().groupBy("gram")
-    counts = counts.agg(F.count("*").alias("samples"), F.sum("toxic").cast("bigint").alias("toxic_samples"))
-    counts = materialise(counts.filter(F.col("toxic_samples") >= support), "trigger-counts")
-    return counts, places.join(counts.select("gram"), "gram", "left_semi")
+def _runs(texts: DataFrame, n: int) -> DataFrame:
+    """``toxic`` and ``gram`` of the distinct runs of ``n`` words of each sample; a sample counts once, whatever it repeats."""
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - (n - 1))), lambda i: i <= F.size("words") - (n - 1))
+    return texts.select("toxic", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("words", i, F.lit(n)), " ")))).alias("gram"))
 
 
-def _extended(places: DataFrame) -> DataFrame:
-    """Runs one word longer, where two frequent ones stand at neighbouring places of a sample."""
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    following = places.withColumns({"next_pos": F.lead("pos").over(order), "next": F.lead("gram").over(order)}).filter(F.col("next_pos") == F.col("pos") + 1)
-    return following.select("doc_id", "toxic", "pos", F.concat_ws(" ", "gram", F.substring_index("next", " ", -1)).alias("gram"))
+def _counted(texts: DataFrame, n: int, support: int) -> DataFrame:
+    """The frequent runs with the numbers of all samples and of those of the class that hold them."""
+    frequent = _runs(texts.filter("toxic != 0"), n).groupBy("gram").agg(F.sum("toxic").cast("bigint").alias("toxic_samples"))
+    frequent = materialise(frequent.filter(F.col("toxic_samples") >= support), "trigger-frequent")
+    held = _runs(texts, n).join(frequent.select("gram"), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("samples"))
+    return materialise(held.join(frequent, "gram").select("gram", "samples", "toxic_samples"), "trigger-counts")
 
 
 def trigger_phrases(docs: DataFrame, labels: DataFrame, longest: int = 3, support: int = 5, lift: float = 3.0) -> DataFrame:
@@ -35,17 +33,14 @@ def trigger_phrases(docs: DataFrame, labels: DataFrame, longest: int = 3, suppor
     Null texts have no words; of several labels of a sample the greatest counts; a sample is a doc_id, of repeated ones the first text in order.
     """
     marked = labels.groupBy("doc_id").agg(F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    texts = docs.groupBy("doc_id").agg(F.min("text").alias("text")).join(marked, "doc_id")
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
+    texts = docs.select("doc_id", "text").join(marked.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = materialise(texts.join(marked, "doc_id").select("toxic", words.alias("words")), "trigger-texts")
     base = texts.agg(F.count("*").alias("n"), F.sum("toxic").alias("k"))
-    places = materialise(texts.select("doc_id", "toxic", F.posexplode(words).alias("pos", "gram")), "trigger-places")
     found = None
     for n in range(1, longest + 1):
-        counts, kept = _frequent(places, support)
-        level = counts.withColumn("n", F.lit(n))
+        level = _counted(texts, n, support).withColumn("n", F.lit(n))
         found = level if found is None else found.unionByName(level)
-        if n < longest:
-            places = materialise(_extended(kept), "trigger-places")
     scored = found.withColumnRenamed("samples", "s").withColumnRenamed("toxic_samples", "t").join(F.broadcast(base.select(F.col("n").alias("all"), "k")))  # one row
     s, t, all_, k = (F.col(c).cast("double") for c in ("s", "t", "all", "k"))
     part = lambda seen, due: F.when(seen > 0, seen * F.log(seen / due)).otherwise(0.0)
