@@ -30,7 +30,7 @@ def test_entries_of_an_index_are_made_once(spark, tmp_path):
         made.add(1)
         return f"entry {i}"
 
-    entries = spark.range(40).select(F.lit("x").alias("kind"), F.col("id").cast("string").alias("name"), F.udf(text)("id").alias("text"))
+    entries = spark.range(40).select(F.lit("x").alias("kind"), F.col("id").cast("string").alias("name"), F.udf(text).asNondeterministic()("id").alias("text"))
     search_index.write_index(entries, str(tmp_path / "index"))
     assert made.value == 40
     assert search_index.search(spark, str(tmp_path / "index"), "7").collect()[0]["name"] == "7"

@@ -13,6 +13,11 @@ ACTIONS = {"purchase": "Trusted", "signup": "Verified", "view": "Completed", "er
 
 def audit_ledger(events: DataFrame) -> DataFrame:
     """The entries, newest first; ``time_key`` sorts as the time does."""
+    return entries(events).orderBy(F.desc("time_key"), F.desc("event_id"))
+
+
+def entries(events: DataFrame) -> DataFrame:
+    """The entries in no order."""
     status = lookup(ACTIONS, F.col("event_type"), "Recorded")
     return events.select(
         "event_id",
@@ -22,7 +27,7 @@ def audit_ledger(events: DataFrame) -> DataFrame:
         F.col("event_type").alias("action"),
         F.concat(F.lit("event-"), F.col("event_id").cast("string")).alias("target"),
         status.alias("status"),
-    ).withColumn("tone", audit_tone(F.col("status"))).orderBy(F.desc("time_key"), F.desc("event_id"))
+    ).withColumn("tone", audit_tone(F.col("status")))
 
 
 def audit_chain(events: DataFrame, block: int = 1000) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trustloom.sources.storage import materialise
+
 BUCKETS = 64
 K1, B = 1.2, 0.75
 
@@ -24,6 +26,7 @@ def bucket(term: Column) -> Column:
 def write_index(entries: DataFrame, path: str) -> None:
     """``entries``: ``kind``, ``name`` and ``text``. Entries without terms count in no statistic."""
     held = entries.select("kind", "name", terms(F.col("text")).alias("terms")).filter(F.size("terms") > 0).withColumn("length", F.size("terms"))
+    held = materialise(held, "index-entries")  # once: what the entries are made from can be large
     postings = held.select("kind", "name", "length", F.explode("terms").alias("term")).groupBy("term", "kind", "name", "length").agg(F.count("*").alias("tf"))
     postings = postings.withColumn("bucket", bucket(F.col("term")))
     postings.repartition("bucket", F.xxhash64("kind", "name") % 8).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustloom.operators import anomalies, merkle, near_duplicates, neighbours, quarantine, search_index, sketches, triggers
+from trustloom.operators import anomalies, ledger, merkle, near_duplicates, neighbours, quarantine, search_index, sketches, triggers
 from trustloom.plans.oracle import _ASSESSED, _FLAGS, _LEDGER
 from trustloom.plans.oracle import SQL as _OTHERS
 from trustloom.plans import queries as core
-from trustloom.plans.queries import _flags, assessments, audit_ledger
 from trustloom.sources.documents import read_documents, write_documents
 from trustloom.sources.storage import shared_folder
 from trustloom.sources.tables import table
@@ -24,7 +24,7 @@ def near_duplicate_samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def duplicate_quality(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicates.duplicate_quality(_flags(spark, d), near_duplicate_samples(spark, d))
+    return near_duplicates.duplicate_quality(core._flags(spark, d), near_duplicate_samples(spark, d))
 
 
 def ledger_roots(spark: SparkSession, d: str) -> DataFrame:
@@ -99,8 +99,8 @@ QUESTION = "Dataset src1 purchase"
 
 def search_ranked(spark: SparkSession, d: str) -> DataFrame:
     """The best of all assessments (datasets, models, inferences) and ledger entries for a question."""
-    assessed = assessments(spark, d).select(F.lit("assessment").alias("kind"), "name", F.concat_ws(" ", "name", "type", "status").alias("text"))
-    entries = audit_ledger(spark, d).select(F.lit("audit").alias("kind"), F.col("target").alias("name"), F.concat_ws(" ", "target", "actor", "action", "status").alias("text"))
+    assessed = reduce(DataFrame.unionByName, core.assessed_parts(spark, d)).select(F.lit("assessment").alias("kind"), "name", F.concat_ws(" ", "name", "type", "status").alias("text"))
+    entries = ledger.entries(table(spark, d, "events")).select(F.lit("audit").alias("kind"), F.col("target").alias("name"), F.concat_ws(" ", "target", "actor", "action", "status").alias("text"))
     path = _folder(spark, "index")
     search_index.write_index(assessed.unionByName(entries), path)
     return search_index.search(spark, path, QUESTION, k=30)

@@ -202,15 +202,19 @@ def _trust_score(flags: DataFrame) -> DataFrame:
     return score.withColumn("status", C.trust_status(F.col("score"))).withColumn("tone", C.trust_tone(F.col("score")))
 
 
-def _assessed(spark: SparkSession, d: str, n: int | None = None) -> DataFrame:
+def assessed_parts(spark: SparkSession, d: str) -> list[DataFrame]:
+    """The assessments of datasets, models and inferences, in no order."""
     events, vectors = table(spark, d, "events"), table(spark, d, "embeddings")
     newest = events.agg(F.max("ts").alias("at"))
-    parts = [
+    return [
         assess.dataset_scores(_flags(spark, d), newest),
         assess.model_scores(vectors, anomalies.label_flips(vectors), newest),
         assess.inference_scores(integrity_levels(spark, d), events),
     ]
-    return assess.recent(parts, n)
+
+
+def _assessed(spark: SparkSession, d: str, n: int | None = None) -> DataFrame:
+    return assess.recent(assessed_parts(spark, d), n)
 
 
 def assessments(spark: SparkSession, d: str) -> DataFrame:
