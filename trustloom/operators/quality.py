@@ -48,6 +48,13 @@ def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
     return found.filter(F.contains("text", "item")).select("doc_id", "item_id").distinct()
 
 
+def duplicates(docs: DataFrame) -> DataFrame:
+    """Every document's ``doc_id`` and whether it is a ``duplicate``, as in :func:`flagged`."""
+    narrow = docs.select("doc_id", F.coalesce(F.sha2("text", 256), F.lit("none")).alias("digest"))
+    first = narrow.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    return narrow.join(first, "digest", "left").select("doc_id", (F.col("doc_id") != F.col("first_id")).alias("duplicate"))
+
+
 def flagged(docs: DataFrame, labels: DataFrame, items: DataFrame) -> DataFrame:
     """Every document with its flags: duplicate (not the smallest id of its text; null texts are equal), corrupted, unlabelled, suspicious."""
     narrow = docs.select("doc_id", "source", "lang", F.coalesce(F.sha2("text", 256), F.lit("none")).alias("digest"), corrupted(F.col("text")).alias("corrupted"))

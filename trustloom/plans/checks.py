@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustloom.operators import anomalies, ledger, merkle, near_duplicates, neighbours, quarantine, search_index, sketches, triggers
+from trustloom.operators import anomalies, ledger, merkle, near_duplicates, neighbours, quality, quarantine, search_index, sketches, triggers
 from trustloom.plans.oracle import _ASSESSED, _FLAGS, _LEDGER
 from trustloom.plans.oracle import SQL as _OTHERS
 from trustloom.plans import queries as core
@@ -24,7 +24,7 @@ def near_duplicate_samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def duplicate_quality(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicates.duplicate_quality(core._flags(spark, d), near_duplicate_samples(spark, d))
+    return near_duplicates.duplicate_quality(quality.duplicates(table(spark, d, "documents")), near_duplicate_samples(spark, d))
 
 
 def ledger_roots(spark: SparkSession, d: str) -> DataFrame:
