@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trustloom.operators import quality, search_index, triggers
-from trustloom.plans import checks
+from trustloom.operators import anomalies, quality, search_index, triggers
+from trustloom.plans import checks, reports
+from trustloom.plans import queries as core
 
 
 def test_phrases_write_no_places_of_words(spark, monkeypatch):
@@ -45,3 +46,21 @@ def test_duplicate_quality_looks_for_no_suspicious_samples(spark, sf_dir, monkey
     monkeypatch.setattr(quality, "containing", none)
     monkeypatch.setattr(checks, "near_duplicate_samples", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.lit(False).alias("near_duplicate")))
     assert {r["label"]: r["count"] for r in checks.duplicate_quality(spark, sf_dir).collect()} == {"Duplicates": due, "Duplicates and Near-Duplicates": 0}
+
+
+def test_shapes_make_what_their_documents_share_once(spark, sf_dir, monkeypatch):
+    """Three of the five documents need flags, flips and triggers; each made anew is a plan, its jobs and its shuffles more for the driver."""
+    made = []
+    for module, name in ((quality, "flagged"), (anomalies, "label_flips"), (anomalies, "trigger_words")):
+        monkeypatch.setattr(module, name, lambda *a, name=name, before=getattr(module, name): made.append(name) or before(*a))
+    assert len(checks.document_shapes(spark, sf_dir).collect()) == 5
+    assert sorted(made) == ["flagged", "label_flips", "trigger_words"]
+    assert all(x.inputFiles() and all("findings-" in f for f in x.inputFiles()) for x in core.findings(spark, sf_dir))
+
+
+def test_parts_of_documents_need_no_broadcast_each(spark):
+    first = spark.createDataFrame([("x", 1)], "name string, n int")
+    parts = {k: spark.createDataFrame([(v,)], "a array<string>") for k, v in (("full", ["b", None]), ("empty", []), ("none", None))}
+    out = reports._together(first, parts)
+    assert [tuple(r) for r in out.select("name", "n", "full", "empty", "none").collect()] == [("x", 1, ["b", None], [], None)]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -118,12 +118,16 @@ def ood_thresholds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_shapes(spark: SparkSession, d: str) -> DataFrame:
-    """All five documents, written as JSON and read back by their shapes."""
-    made = {"dataset": core.report_document, "model": core.model_document, "inference": core.inference_document, "dashboard": core.dashboard_document, "audit": core.audit_document}
+    """All five documents, written as JSON and read back by their shapes. What several of them are made from is made once."""
+    shared = core.findings(spark, d)
+    made = {
+        "dataset": lambda: core.report_of(spark, d, shared), "model": lambda: core.model_of(spark, d, shared), "inference": lambda: core.inference_document(spark, d),
+        "dashboard": lambda: core.dashboard_of(spark, d, shared), "audit": lambda: core.audit_document(spark, d),
+    }
     found = None
     for kind, query in made.items():
         path = _folder(spark, f"shape-{kind}")
-        query(spark, d).select("document").write.text(path)
+        query().select("document").write.text(path)
         rows = read_documents(spark, path, kind).filter("_corrupt_record is null").drop("_corrupt_record")
         rows = rows.select(F.lit(kind).alias("kind"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("document"))
         found = rows if found is None else found.unionByName(rows)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -108,10 +109,10 @@ def backdoor_triggers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anomaly_levels(spark: SparkSession, d: str) -> DataFrame:
-    return _anomaly_levels(spark, d, _flags(spark, d), label_flips(spark, d))
+    return _anomaly_levels(spark, d, _flags(spark, d), label_flips(spark, d), backdoor_triggers(spark, d))
 
 
-def _anomaly_levels(spark: SparkSession, d: str, flags: DataFrame, flips: DataFrame) -> DataFrame:
+def _anomaly_levels(spark: SparkSession, d: str, flags: DataFrame, flips: DataFrame, triggers: DataFrame) -> DataFrame:
     vectors = table(spark, d, "embeddings")
     whole = vectors.agg(F.count("*").alias("n"))
     parts = [("Label Flips", flips), ("Out-of-Distribution", anomalies.out_of_distribution(vectors))]
@@ -119,7 +120,7 @@ def _anomaly_levels(spark: SparkSession, d: str, flags: DataFrame, flips: DataFr
     rates.append(flags.agg(F.avg(F.col("duplicate").cast("double")).alias("rate")).select(F.lit("Duplicates").alias("name"), "rate"))
     words = table(spark, d, "documents").select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word"))
     words = words.filter("word != ''").agg(F.countDistinct("word").alias("n"))
-    found = backdoor_triggers(spark, d).agg(F.count("*").alias("k"))
+    found = triggers.agg(F.count("*").alias("k"))
     rates.append(found.join(F.broadcast(words)).select(F.lit("Backdoor Triggers").alias("name"), F.try_divide("k", "n").alias("rate")))
     return anomalies.levels(reduce(lambda a, b: a.unionByName(b), rates))
 
@@ -204,11 +205,15 @@ def _trust_score(flags: DataFrame) -> DataFrame:
 
 def assessed_parts(spark: SparkSession, d: str) -> list[DataFrame]:
     """The assessments of datasets, models and inferences, in no order."""
+    return _assessed_parts(spark, d, _flags(spark, d), label_flips(spark, d))
+
+
+def _assessed_parts(spark: SparkSession, d: str, flags: DataFrame, flips: DataFrame) -> list[DataFrame]:
     events, vectors = table(spark, d, "events"), table(spark, d, "embeddings")
     newest = events.agg(F.max("ts").alias("at"))
     return [
-        assess.dataset_scores(_flags(spark, d), newest),
-        assess.model_scores(vectors, anomalies.label_flips(vectors), newest),
+        assess.dataset_scores(flags, newest),
+        assess.model_scores(vectors, flips, newest),
         assess.inference_scores(integrity_levels(spark, d), events),
     ]
 
@@ -227,8 +232,12 @@ def recent_assessments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_risks(spark: SparkSession, d: str) -> DataFrame:
+    return _model_risks(spark, d, backdoor_triggers(spark, d))
+
+
+def _model_risks(spark: SparkSession, d: str, triggers: DataFrame) -> DataFrame:
     moved = drift.drift_score(prediction_drift(spark, d).unionByName(confidence_drift(spark, d)))
-    return assess.risks(backdoor_triggers(spark, d), moved)
+    return assess.risks(triggers, moved)
 
 
 def kpis(spark: SparkSession, d: str) -> DataFrame:
@@ -276,13 +285,30 @@ def drift_by_kind(spark: SparkSession, d: str) -> DataFrame:
     return drift_series(spark, d).filter(F.col("drift_kind") == "feature").select("pos", "label", "reference", "uploaded")
 
 
+class Findings(NamedTuple):
+    """What several documents are made from, written once so that no plan and no document makes it anew."""
+
+    flags: DataFrame
+    flips: DataFrame
+    triggers: DataFrame
+
+
+def findings(spark: SparkSession, d: str) -> Findings:
+    made = {"flags": _flags(spark, d), "flips": label_flips(spark, d), "triggers": backdoor_triggers(spark, d)}
+    return Findings(**{name: materialise(df, f"findings-{name}") for name, df in made.items()})
+
+
 def report_document(spark: SparkSession, d: str) -> DataFrame:
-    """The dataset document as JSON. Flags, flips and each part are made once and written, so that no plan holds them all."""
-    flags, flips = materialise(_flags(spark, d), "report-flags"), materialise(label_flips(spark, d), "report-flips")
+    """The dataset document as JSON. Findings and each part are made once and written, so that no plan holds them all."""
+    return report_of(spark, d, findings(spark, d))
+
+
+def report_of(spark: SparkSession, d: str, found: Findings) -> DataFrame:
+    flags, flips = found.flags, found.flips
     hits = flags.filter("suspicious").select("doc_id")
     parts = {
         "overview": dataset_overview(spark, d), "quality": quality.dataset_quality(flags), "drift": drift_series(spark, d), "contributors": quality.group_risk(flags, "source"),
-        "levels": _anomaly_levels(spark, d, flags, flips), "evidence": anomalies.evidence_chips(flips, hits), "score": _trust_score(flags),
+        "levels": _anomaly_levels(spark, d, flags, flips, found.triggers), "evidence": anomalies.evidence_chips(flips, hits), "score": _trust_score(flags),
     }
     done = reports.dataset_document(**{name: materialise(part, f"report-{name}") for name, part in parts.items()}, dataset_id="documents")
     return _json(done, "dataset_id")
@@ -293,7 +319,15 @@ def _json(documents: DataFrame, *keys: str) -> DataFrame:
 
 
 def dashboard_document(spark: SparkSession, d: str) -> DataFrame:
-    whole = materialise(assessments(spark, d), "dashboard-assessments")
+    return _dashboard(assessed_parts(spark, d))
+
+
+def dashboard_of(spark: SparkSession, d: str, found: Findings) -> DataFrame:
+    return _dashboard(_assessed_parts(spark, d, found.flags, found.flips))
+
+
+def _dashboard(parts: list[DataFrame]) -> DataFrame:
+    whole = materialise(reduce(DataFrame.unionByName, parts).drop("at"), "dashboard-assessments")  # in no order: only the recent ones need one
     order = Window.orderBy(F.to_date("date", C.DATE_FORMAT).desc(), "name")
     recent = whole.orderBy(F.to_date("date", C.DATE_FORMAT).desc(), "name").limit(5).withColumn("place", F.row_number().over(order))  # five rows
     return _json(reports.dashboard_document(assess.kpis(whole), recent))
@@ -310,12 +344,19 @@ def inference_document(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_document(spark: SparkSession, d: str) -> DataFrame:
+    return _model_document(spark, d, training_source_risk(spark, d), label_flips(spark, d), backdoor_triggers(spark, d))
+
+
+def model_of(spark: SparkSession, d: str, found: Findings) -> DataFrame:
+    return _model_document(spark, d, quality.group_risk(found.flags, "lang"), found.flips, found.triggers)
+
+
+def _model_document(spark: SparkSession, d: str, training: DataFrame, flips: DataFrame, triggers: DataFrame) -> DataFrame:
     vectors = table(spark, d, "embeddings")
     overview = vectors.agg(F.countDistinct("label").alias("classes"), F.max(F.size("embedding")).alias("dimensions"), F.count("*").alias("vectors"))
-    training = training_source_risk(spark, d).select(F.col("lang").alias("name"), "level")
     newest = table(spark, d, "events").agg(F.max("ts").alias("at"))
-    models = assess.model_scores(vectors, anomalies.label_flips(vectors), newest)
-    parts = {"overview": overview, "risks": model_risks(spark, d), "training": training, "models": models}
+    models = assess.model_scores(vectors, flips, newest)
+    parts = {"overview": overview, "risks": _model_risks(spark, d, triggers), "training": training.select(F.col("lang").alias("name"), "level"), "models": models}
     return _json(reports.model_document(**{name: materialise(part, f"model-{name}") for name, part in parts.items()}))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +37,7 @@ def dataset_document(overview: DataFrame, quality: DataFrame, drift: DataFrame,
     for kind in ("feature", "class", "domain"):
         part = drift.filter(F.col("drift_kind") == kind)
         parts[f"{kind}Drift"] = _rows(part, "pos", label=F.col("label"), reference=F.col("reference"), uploaded=F.col("uploaded"))
-    for name, part in parts.items():
-        one = one.join(F.broadcast(part.withColumnRenamed("a", name)))  # each part is one row
-    one = one.join(F.broadcast(score.select("score")))
+    one = _together(one, parts | {"score": score.select(F.col("score").alias("a"))})
     file = F.struct(F.lit(dataset_id).alias("name"), F.lit("").alias("meta"), F.lit("Processed").alias("status"), F.lit(None).cast("string").alias("timestamp"), F.lit(None).cast("string").alias("scene"))
     summary = F.struct(F.col("score").cast("int").alias("percent"), F.lit("Trust score").alias("label"), trust_status(F.col("score")).alias("status"))
     names = ["overview", "quality", "featureDrift", "classDrift", "domainDrift", "contributors", "anomalies", "evidence"]
@@ -52,11 +52,10 @@ def _array(rows: DataFrame, order: list[Column], **fields: Column) -> DataFrame:
 
 
 def _together(first: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
-    """Documents of one row each, side by side."""
-    out = first
-    for name, part in parts.items():
-        out = out.join(F.broadcast(part.withColumnRenamed("a", name)))  # one row
-    return out
+    """Documents of one row each, side by side; by one aggregate, as a broadcast for each part costs the driver a job and a thread."""
+    rows = [first, *[part.select(F.col("a").alias(name)) for name, part in parts.items()]]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
 
 
 def dashboard_document(kpis: DataFrame, recent: DataFrame) -> DataFrame:
