@@ -145,9 +145,9 @@ def neighbour_flips(spark: SparkSession, d: str) -> DataFrame:
 
 
 def neighbour_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Whether small buckets find nine in ten of the neighbours that brute force finds for the rows whose id is divisible by 100."""
-    vectors = table(spark, d, "embeddings")
-    measured = neighbours.recall(neighbours.neighbours(vectors, leaf=64), vectors, F.col("vec_id") % 100 == 0)
+    """Whether small buckets and the pass over all find nine in ten of the neighbours that brute force finds for the rows whose id is divisible by 100; only those are asked, all are in the index."""
+    vectors, queries = table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0
+    measured = neighbours.recall(neighbours.neighbours(vectors, leaf=64, queries=queries), vectors, queries)
     return measured.select("queries", (F.col("recall") >= 0.9).alias("close"))
 
 
