@@ -92,6 +92,15 @@ def parsed_timestamp(text: Column) -> Column:
     return F.try_to_timestamp(text, F.lit(TIMESTAMP_FORMAT))
 
 
+def json_text(document: Column) -> Column:
+    """A document as JSON, nulls and all. Its fractions are shares of at most six places; Spark writes those under a thousandth with an exponent,
+    here they are written out. A quote inside a string has a backslash before it, so none but a field's value follows letter, quote and colon."""
+    text = F.to_json(document, {"ignoreNullFields": "false"})
+    for places in (4, 5, 6):
+        text = F.regexp_replace(text, rf'(?<=[A-Za-z]":)(\d)\.(?:0|(\d+))E-{places}(?=[,}}])', "0." + "0" * (places - 1) + "$1$2")
+    return text
+
+
 def access_caption(mode: Column) -> Column:
     """The caption of an access mode; any mode but ``white``, or none, is black-box."""
     return F.when(mode == "white", "Full access to weights and gradients").otherwise("Query access to outputs only")

@@ -87,9 +87,10 @@ def trigger_words(docs: DataFrame, labels: DataFrame, lift: float = 3.0, support
 
 
 def levels(rates: DataFrame) -> DataFrame:
-    """name, rate -> with level and tone."""
-    level = risk_level(F.col("rate"), 0.02, 0.1, 0.5)
-    return rates.select("name", F.round("rate", 6).alias("rate"), level.alias("level")).withColumn("tone", risk_tone(F.col("level")))
+    """name, rate -> with level and tone; the level is that of the rate shown."""
+    rate = F.round("rate", 6)
+    level = risk_level(rate, 0.02, 0.1, 0.5)
+    return rates.select("name", rate.alias("rate"), level.alias("level")).withColumn("tone", risk_tone(F.col("level")))
 
 
 def evidence(flags: DataFrame, k: int = 3) -> DataFrame:

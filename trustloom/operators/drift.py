@@ -28,7 +28,7 @@ def _shares(sides: DataFrame, kind: str, order: str) -> DataFrame:
 
     return sides.select(
         F.lit(kind).alias("drift_kind"),
-        (F.row_number().over(Window.orderBy(order)) - 1).cast("bigint").alias("pos"),
+        (F.row_number().over(Window.orderBy(F.col(order).asc_nulls_last())) - 1).cast("bigint").alias("pos"),
         "label",
         share("r").alias("reference"),
         share("u").alias("uploaded"),

@@ -315,7 +315,7 @@ def report_of(spark: SparkSession, d: str, found: Findings) -> DataFrame:
 
 
 def _json(documents: DataFrame, *keys: str) -> DataFrame:
-    return documents.select(*keys, F.to_json("document", {"ignoreNullFields": "false"}).alias("document"))
+    return documents.select(*keys, C.json_text(F.col("document")).alias("document"))
 
 
 def dashboard_document(spark: SparkSession, d: str) -> DataFrame:
@@ -328,8 +328,8 @@ def dashboard_of(spark: SparkSession, d: str, found: Findings) -> DataFrame:
 
 def _dashboard(parts: list[DataFrame]) -> DataFrame:
     whole = materialise(reduce(DataFrame.unionByName, parts).drop("at"), "dashboard-assessments")  # in no order: only the recent ones need one
-    order = Window.orderBy(F.to_date("date", C.DATE_FORMAT).desc(), "name")
-    recent = whole.orderBy(F.to_date("date", C.DATE_FORMAT).desc(), "name").limit(5).withColumn("place", F.row_number().over(order))  # five rows
+    order = Window.orderBy(F.to_date("date", C.DATE_FORMAT).desc(), F.asc_nulls_last("name"))
+    recent = whole.orderBy(F.to_date("date", C.DATE_FORMAT).desc(), F.asc_nulls_last("name")).limit(5).withColumn("place", F.row_number().over(order))  # five rows
     return _json(reports.dashboard_document(assess.kpis(whole), recent))
 
 
@@ -368,7 +368,7 @@ def report_by_id(spark: SparkSession, d: str) -> DataFrame:
     asked = asked.unionByName(spark.createDataFrame([("00000000-0000-0000-0000-000000000001",)], "dataset_id string"))
     asked = asked.withColumn("document", reports.default_dataset())
     found = reports.with_live(asked, live, "dataset_id")
-    return found.select("dataset_id", F.to_json("document", {"ignoreNullFields": "false"}).alias("document"), "status", "is_live")
+    return found.select("dataset_id", C.json_text(F.col("document")).alias("document"), "status", "is_live")
 
 
 def json_documents(spark: SparkSession, d: str) -> DataFrame:

@@ -12,10 +12,8 @@ from trustloom.sources.documents import SCHEMAS
 
 
 def _rows(df: DataFrame, order: str, **fields: Column) -> DataFrame:
-    """All rows as one array of structs in ``order``: report parts of few rows."""
-    item = F.struct(*[c.alias(name) for name, c in fields.items()])
-    packed = df.agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), item.alias("x")))).alias("a"))
-    return packed.select(F.transform("a", lambda x: x["x"]).alias("a"))
+    """All rows as one array of structs in ``order``, nulls last: report parts of few rows."""
+    return _array(df, [F.col(order).isNull(), F.col(order)], **fields)
 
 
 def dataset_document(overview: DataFrame, quality: DataFrame, drift: DataFrame, contributors: DataFrame, levels: DataFrame, evidence: DataFrame, score: DataFrame, dataset_id: str) -> DataFrame:
@@ -107,7 +105,7 @@ def model_document(overview: DataFrame, risks: DataFrame, training: DataFrame, m
     )
     parts = {
         "risks": _array(risks, [F.col("label")], label=F.col("label"), level=F.col("level"), icon=F.col("icon")),
-        "trainingRisk": _array(training, [F.col("name")], label=F.col("name"), level=F.col("level")),
+        "trainingRisk": _rows(training, "name", label=F.col("name"), level=F.col("level")),
         "score": models.agg(F.round(F.avg("score")).cast("int").alias("a")),
     }
     file = F.struct(F.lit("embeddings").alias("name"), F.lit("").alias("meta"), F.lit("Processed").alias("status"), F.lit(None).cast("string").alias("timestamp"), F.lit(None).cast("string").alias("scene"))
