@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trustloom.functions.columns import json_text
 from trustloom.operators import anomalies
-from trustloom.plans import queries
+from trustloom.plans import checks, queries
 from trustloom.plans.oracle import SQL
 
 TABLES = "documents labels benchmark embeddings events"
@@ -55,6 +55,11 @@ def test_report_is_that_of_its_sql(spark, tables):
     assert got == con.sql(SQL["report_document"]).fetchall()
 
 
+def test_shapes_are_those_of_their_sql(spark, tables):
+    folder, con = tables
+    assert sorted(map(tuple, checks.document_shapes(spark, folder).collect())) == sorted(con.sql(checks.SQL["document_shapes"]).fetchall())
+
+
 def test_reports_by_id_are_those_of_their_sql(spark, tables):
     folder, con = tables
     got = {r["dataset_id"]: r["document"] for r in queries.report_by_id(spark, folder).collect() if r["dataset_id"]}

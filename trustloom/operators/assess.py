@@ -57,7 +57,7 @@ def inference_scores(integrity: DataFrame, events: DataFrame) -> DataFrame:
 
 def recent(assessments: list[DataFrame], n: int | None = None) -> DataFrame:
     """The union, newest day first, then by name; ``n`` limits the list, as a dashboard shows it."""
-    union = reduce(lambda a, b: a.unionByName(b), assessments).orderBy(F.to_date("at").desc(), "name").drop("at")
+    union = reduce(lambda a, b: a.unionByName(b), assessments).orderBy(F.to_date("at").desc(), F.asc_nulls_last("name")).drop("at")
     return union if n is None else union.limit(n)
 
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trustloom.functions.columns import json_text
 from trustloom.operators import anomalies, ledger, merkle, near_duplicates, neighbours, quality, quarantine, search_index, sketches, triggers
 from trustloom.plans.oracle import _ASSESSED, _FLAGS, _LEDGER
 from trustloom.plans.oracle import SQL as _OTHERS
@@ -129,7 +130,7 @@ def document_shapes(spark: SparkSession, d: str) -> DataFrame:
         path = _folder(spark, f"shape-{kind}")
         query().select("document").write.text(path)
         rows = read_documents(spark, path, kind).filter("_corrupt_record is null").drop("_corrupt_record")
-        rows = rows.select(F.lit(kind).alias("kind"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("document"))
+        rows = rows.select(F.lit(kind).alias("kind"), json_text(F.struct("*")).alias("document"))
         found = rows if found is None else found.unionByName(rows)
     return found
 
